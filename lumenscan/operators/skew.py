@@ -25,14 +25,14 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFra
     what is broadcast is bounded by the number of partitions, not by the data.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(df.repartitionByRange(n, *order).withColumn("_rp", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("_rp").agg(F.sum(value).alias("_t"))
-    before = totals.select("_rp", (F.sum("_t").over(W.orderBy("_rp")) - F.col("_t")).alias("_before"))
-    w = W.partitionBy("_rp").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranged = materialise(df.repartitionByRange(n, *order).withColumn("_range__", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_range__").agg(F.sum(value).alias("_total__"))
+    before = totals.select("_range__", (F.sum("_total__").over(W.orderBy("_range__")) - F.col("_total__")).alias("_base__"))
+    w = W.partitionBy("_range__").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.join(F.broadcast(before), "_rp")
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0)))
-        .drop("_rp", "_before")
+        ranged.join(F.broadcast(before), "_range__")
+        .withColumn(out, F.col("_base__") + F.coalesce(F.sum(value).over(w), F.lit(0)))
+        .drop("_range__", "_base__")
     )
 
 

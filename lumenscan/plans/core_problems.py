@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenscan.operators.compaction import compact_entities
 from lumenscan.operators.scans import counted_results
 from lumenscan.operators.skew import chunked_aggregate
 from lumenscan.runtime import materialise, table
@@ -46,6 +47,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_keys(spark, sf_dir).filter("heavy").select("field", "ap_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that stood more than once in the committed files, as read back from the compacted ones."""
+    records, _ = compact_entities(table(spark, sf_dir, "entity_files"))
+    return records.filter("n_copies > 1").select("entity", "ap_id")
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the compacted files, once each."""
+    records, _ = compact_entities(table(spark, sf_dir, "entity_files"))
+    return records.select("entity", "ap_id", "length", F.col("n_copies").cast("long").alias("n_copies"))
+
+
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files written for each entity and what was checked of them."""
+    _, report = compact_entities(table(spark, sf_dir, "entity_files"))
+    return report.select(F.col("grp").alias("entity"), "files_in", "blocks", "n_rows", "n_bytes", "valid")
+
+
 _SCANS = """
 latest AS (SELECT query_id, lower(trim(ap_source)) AS ap_source, CAST(ap_id AS BIGINT) AS ap_id,
   arg_max(struct_pack(d := ap_distance), scored_at) AS l, min(scored_at) AS first_at, max(scored_at) AS last_at
@@ -61,8 +80,17 @@ k AS (SELECT 'leader' AS field, CAST(leader AS BIGINT) AS ap_id, count(DISTINCT
   SELECT 'ap_id', ap_id, count(*), min(first_at), max(last_at), min(distance), (SELECT count(*) FROM counted) FROM counted GROUP BY ap_id)
 SELECT field, ap_id, n, first_at, last_at, least_distance, n * 100 >= t * {HEAVY_PERCENT} AS heavy FROM k"""
 
-QUERIES = {"p2_found": p2_found, "p2_keys": p2_keys}
+_P6_RECORDS = r"""WITH lines AS (SELECT lower(regexp_replace(coalesce(entityname, ''), '[^A-Za-z0-9_]', '', 'g')) AS entity,
+    string_split(unnest(regexp_split_to_array(content, '\r\n|\n|\r')), chr(9)) AS p FROM entity_files WHERE state = 'committed'),
+parts AS (SELECT entity, TRY_CAST(p[1] AS BIGINT) AS ap_id, TRY_CAST(p[3] AS INT) AS length,
+    list_filter(string_split(p[4], ' '), lambda v: v <> '') AS v FROM lines WHERE len(p) = 4)
+SELECT entity, ap_id, min(length) AS length, count(*) AS n_copies FROM parts
+WHERE ap_id IS NOT NULL AND len(v) = length AND len(list_filter(v, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) = 0 GROUP BY 1, 2"""
+
+QUERIES = {"p2_found": p2_found, "p2_keys": p2_keys, "p6_found": p6_found, "p6_records": p6_records, "p6_files": p6_files}
 SQL = {
+    "p6_found": f"SELECT entity, ap_id FROM ({_P6_RECORDS}) WHERE n_copies > 1",
+    "p6_records": _P6_RECORDS,
     "p2_keys": _P2_KEYS,
     "p2_found": f"SELECT field, ap_id FROM ({_P2_KEYS}) WHERE heavy",
 }
