@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenscan.llm import collections as C
 from lumenscan.llm.clusters import all_clusters, similar_pairs
+from lumenscan.llm.rankwalk import answered_results, rank_items
+from lumenscan.llm.topn import oriented_results, top_n
+from lumenscan.runtime import table
 
 
 def _p1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,30 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ranking of every query's tuples over its answered scans."""
+    results = answered_results(table(spark, sf_dir, "scan_results"), table(spark, sf_dir, "expression_details"))
+    return rank_items(results)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples of the ranking that every answered scan has among its five best."""
+    ranking = p3_ranking(spark, sf_dir)
+    return ranking.filter("scans >= 2 AND listed = scans AND worst_rank <= 5").select("query_id", "ap_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = oriented_results(table(spark, sf_dir, "scan_results"), table(spark, sf_dir, "expression_details"))
+    return top_n(results, ["query_id", "ap_source"], F.col("cost"), "ap_id", 3).select("query_id", "ap_source", "ap_id")
+
+
+_RESULTS = """
+counted AS (SELECT query_id, lower(trim(ap_source)) AS ap_source, CAST(ap_id AS BIGINT) AS ap_id, arg_max(struct_pack(d := ap_distance), scored_at).d AS d
+  FROM scan_results WHERE ap_id IS NOT NULL GROUP BY 1, 2, 3),
+sense AS (SELECT lower(trim(ap_source)) AS ap_source, max(CASE WHEN sense = 'desc' THEN -1 ELSE 1 END * -1) AS minus FROM expression_details GROUP BY 1),
+result AS (SELECT query_id, c.ap_source, ap_id, CASE WHEN minus = 1 THEN -d ELSE d END AS cost FROM counted c LEFT JOIN sense USING (ap_source)
+  WHERE d IS NOT NULL AND NOT isnan(d) AND abs(d) < 1.7976931348623157e308)"""
+
 _UNIT = """
 raw AS (
   SELECT 'ap_indexable' AS field, e AS part, ap_id AS id, ap_indexable::DOUBLE[] AS v FROM (
@@ -45,5 +72,13 @@ SQL = {
     "p1_found": f"""WITH {_UNIT}
 SELECT a.field, a.id AS id_a, b.id AS id_b FROM vecs a JOIN vecs b ON a.field = b.field AND a.part = b.part AND a.id < b.id
 WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.9""",
+    "p3_found": f"""WITH {_RESULTS},
+trusted AS (SELECT DISTINCT query_id, lower(trim(ap_source)) AS ap_source FROM expression_details WHERE confidence > 0 AND NOT isnan(confidence)),
+ranked AS (SELECT query_id, ap_source, ap_id, row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) AS r
+  FROM result JOIN trusted USING (query_id, ap_source)),
+scans AS (SELECT query_id, count(DISTINCT ap_source) AS k FROM ranked GROUP BY 1)
+SELECT query_id, ap_id FROM ranked JOIN scans USING (query_id) WHERE r <= 5 AND k >= 2 GROUP BY query_id, ap_id, k HAVING count(*) = k""",
+    "p5_found": f"""WITH {_RESULTS}
+SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found}
