@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lumenscan.llm import collections as C
 from lumenscan.llm.clusters import all_clusters, similar_pairs
 from lumenscan.llm.rankwalk import answered_results, rank_items
+from lumenscan.llm.subjects import corpus_by_subject, subject_areas
 from lumenscan.llm.topn import oriented_results, top_n
-from lumenscan.runtime import table
+from lumenscan.runtime import materialise, table
 
 
 def _p1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(results, ["query_id", "ap_source"], F.col("cost"), "ap_id", 3).select("query_id", "ap_source", "ap_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"))
+
+
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus by subject."""
+    return corpus_by_subject(table(spark, sf_dir, "documents"), materialise(p9_found(spark, sf_dir), "subjects"))
+
+
 _RESULTS = """
 counted AS (SELECT query_id, lower(trim(ap_source)) AS ap_source, CAST(ap_id AS BIGINT) AS ap_id, arg_max(struct_pack(d := ap_distance), scored_at).d AS d
   FROM scan_results WHERE ap_id IS NOT NULL GROUP BY 1, 2, 3),
@@ -81,4 +91,4 @@ SELECT query_id, ap_id FROM ranked JOIN scans USING (query_id) WHERE r <= 5 AND
     "p5_found": f"""WITH {_RESULTS}
 SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p9_found": p9_found, "p9_corpus": p9_corpus}
