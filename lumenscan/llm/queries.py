@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenscan.llm import collections as C
 from lumenscan.llm.clusters import all_clusters, similar_pairs
+from lumenscan.llm.leaks import find_leaks
 from lumenscan.llm.rankwalk import answered_results, rank_items
 from lumenscan.llm.subjects import corpus_by_subject, subject_areas
 from lumenscan.llm.topn import oriented_results, top_n
@@ -52,6 +53,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(results, ["query_id", "ap_source"], F.col("cost"), "ap_id", 3).select("query_id", "ap_source", "ap_id")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they leak, the longest run and the words found in order."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"))
 
@@ -91,4 +101,4 @@ SELECT query_id, ap_id FROM ranked JOIN scans USING (query_id) WHERE r <= 5 AND
     "p5_found": f"""WITH {_RESULTS}
 SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_corpus": p9_corpus}
