@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lumenscan.llm import collections as C
 from lumenscan.llm.clusters import all_clusters, similar_pairs
 from lumenscan.llm.leaks import find_leaks
+from lumenscan.llm.neighbours import nearest, search
 from lumenscan.llm.rankwalk import answered_results, rank_items
 from lumenscan.llm.subjects import corpus_by_subject, subject_areas
 from lumenscan.llm.topn import oriented_results, top_n
@@ -48,6 +50,28 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.filter("scans >= 2 AND listed = scans AND worst_rank <= 5").select("query_id", "ap_id")
 
 
+def _p4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuples = C.tuple_vectors(spark, sf_dir, "index_tuples|")
+    return tuples.unionByName(C.shot_vectors(spark, sf_dir)).unionByName(C.sparse_vectors(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a vector that has five others at 0.9 or above with its five most similar."""
+    lists = nearest(_p4_vectors(spark, sf_dir), 5, 0.9)
+    full = lists.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("grp", "id"))).filter("n = 5")
+    return full.select(
+        F.substring_index("grp", "|", 1).alias("collection"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")
+    ).distinct()
+
+
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar others of every tuple whose id is divisible by 50, by greedy graph search."""
+    vectors = C.tuple_vectors(spark, sf_dir)
+    wanted = vectors.filter(F.col("id").cast("long") % 50 == 0)
+    out = search(vectors, wanted, 5, 0.9)
+    return out.select(F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), F.col("s").alias("similarity"), F.col("rank").cast("long").alias("place"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = oriented_results(table(spark, sf_dir, "scan_results"), table(spark, sf_dir, "expression_details"))
     return top_n(results, ["query_id", "ap_source"], F.col("cost"), "ap_id", 3).select("query_id", "ap_source", "ap_id")
@@ -98,7 +122,33 @@ ranked AS (SELECT query_id, ap_source, ap_id, row_number() OVER (PARTITION BY qu
   FROM result JOIN trusted USING (query_id, ap_source)),
 scans AS (SELECT query_id, count(DISTINCT ap_source) AS k FROM ranked GROUP BY 1)
 SELECT query_id, ap_id FROM ranked JOIN scans USING (query_id) WHERE r <= 5 AND k >= 2 GROUP BY query_id, ap_id, k HAVING count(*) = k""",
+    "p4_found": f"""WITH {_UNIT},
+shot AS (SELECT DISTINCT id, list_transform(regexp_split_to_array(trim(regexp_replace(feature, '[\\[\\](){{}}<>]', ' ', 'g')), '\\s*[,;\\s]\\s*'), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM shot_features),
+sp AS (SELECT DISTINCT ap_id, list_sort(list_filter(list_zip(feature.index, feature.data), lambda p: p[2] <> 0)) AS p FROM sparse_features
+  WHERE len(feature.index) = len(feature.data) AND len(list_filter(feature.data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(feature.index, lambda i: i < 0 OR i >= feature.length)) = 0 AND len(list_filter(feature.data, lambda x: x <> 0)) > 0),
+entry AS (SELECT ap_id, unnest(p) AS e FROM sp), cell AS (SELECT ap_id, e[1] AS i, CAST(e[2] AS DOUBLE) AS x FROM entry),
+norm AS (SELECT ap_id, sqrt(sum(x * x)) AS n FROM cell GROUP BY 1),
+sims AS (
+  SELECT 'index_tuples' AS collection, CAST(a.id AS VARCHAR) AS a, CAST(b.id AS VARCHAR) AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s
+  FROM vecs a JOIN vecs b ON a.field = 'ap_indexable' AND b.field = 'ap_indexable' AND a.part = b.part AND a.id <> b.id
+  UNION ALL
+  SELECT 'shot_features', a.id, b.id, round(list_cosine_similarity(a.v, b.v), 6) FROM
+    (SELECT * FROM shot WHERE len(v) = 48 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0) a JOIN
+    (SELECT * FROM shot WHERE len(v) = 48 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0) b ON a.id <> b.id
+  UNION ALL
+  SELECT 'sparse_features', CAST(a AS VARCHAR), CAST(b AS VARCHAR), round(dot / (m.n * k.n), 6) FROM
+    (SELECT a.ap_id AS a, b.ap_id AS b, sum(a.x * b.x) AS dot FROM cell a JOIN cell b USING (i) WHERE a.ap_id <> b.ap_id GROUP BY 1, 2)
+    JOIN norm m ON m.ap_id = a JOIN norm k ON k.ap_id = b),
+near AS (SELECT *, row_number() OVER (PARTITION BY collection, a ORDER BY s DESC, b) AS r FROM sims WHERE s >= 0.9),
+five AS (SELECT collection, a FROM near GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT DISTINCT collection, least(a, b) AS id_a, greatest(a, b) AS id_b FROM near JOIN five USING (collection, a) WHERE r <= 5""",
+    "p4_search": f"""WITH {_UNIT}
+SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity,
+  row_number() OVER (PARTITION BY a.part, a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) AS place
+FROM vecs a JOIN vecs b ON a.field = 'ap_indexable' AND b.field = 'ap_indexable' AND a.part = b.part AND a.id <> b.id
+WHERE a.id % 50 = 0 AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.9 QUALIFY place <= 5""",
     "p5_found": f"""WITH {_RESULTS}
 SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_search": p4_search, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_corpus": p9_corpus}
