@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from lumenscan.llm import collections as C
 from lumenscan.llm.clusters import all_clusters, similar_pairs
 from lumenscan.llm.leaks import find_leaks
+from lumenscan.llm.mixture import mix
 from lumenscan.llm.neighbours import nearest, search
 from lumenscan.llm.rankwalk import answered_results, rank_items
 from lumenscan.llm.subjects import corpus_by_subject, subject_areas
@@ -86,6 +87,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each drawn document is in the mixture."""
+    draws, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    return draws.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.first("tokens").alias("tokens"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats or part taken, actual share and what is missing, for every source."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"))
 
@@ -151,4 +163,4 @@ WHERE a.id % 50 = 0 AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.9 QUALIF
     "p5_found": f"""WITH {_RESULTS}
 SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_search": p4_search, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_search": p4_search, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_draws": p8_draws, "p8_mix": p8_mix, "p9_found": p9_found, "p9_corpus": p9_corpus}
