@@ -32,7 +32,7 @@ BLOCK_DOCUMENTS = 2000
 #: Items searched at once: what is broadcast is bounded by it. More items take further passes.
 ITEMS_AT_ONCE = 20_000
 
-_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*(?=[^\W\d_])")
+_HYPHEN = re.compile(r"[-‐‑](?<=[^\W\d_].)\s*(?=[^\W\d_])")
 _UNSEEN = re.compile(r"[­​-‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 _NUMERAL = re.compile(r"\d+[a-z]?")
@@ -42,7 +42,7 @@ def words(text: str | None) -> list[str]:
     """Words past case, punctuation, spacing, hyphenation, forms of characters and numerals."""
     t = unicodedata.normalize("NFKC", text or "").lower()
     t = _HYPHEN.sub("", _UNSEEN.sub("", t))
-    return [w for w in _WORD.findall(t) if not _NUMERAL.fullmatch(w)]
+    return [w for w in _WORD.findall(t) if not w[0].isdigit() or not _NUMERAL.fullmatch(w)]
 
 
 def _term(word: str) -> int:
@@ -160,17 +160,24 @@ def _search_block(term: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.nd
         lo, hi = int(deltas[f]) - BAND // 2, int(deltas[l]) + len(item) + BAND // 2
         a, z = np.searchsorted(sd, d), np.searchsorted(sd, d, "right")
         a, z = a + np.searchsorted(sp[a:z], lo), a + np.searchsorted(sp[a:z], hi)
-        need = int(np.ceil(PART * len(item) - 1e-9))
-        if z - a < min(need, RUN_WORDS):
+        need, wanted = int(np.ceil(PART * len(item) - 1e-9)), min(RUN_WORDS, len(item))
+        if z - a < min(need, wanted):
+            continue
+        own = a + np.flatnonzero(np.isin(st[a:z], item))
+        # Neither a run nor enough words in order is possible where too few of the item's words stand.
+        at = sp[own]
+        runs = len(at) >= wanted and (at[wanted - 1 :] - at[: len(at) - wanted + 1] == wanted - 1).any()
+        if not runs and len(own) < need:
             continue
         passage = np.full(hi - lo, -1, np.int64)
-        passage[sp[a:z] - lo] = st[a:z]
+        passage[at - lo] = st[own]
         run = longest_run(item, passage)
         best = 0
         width = len(item) + BAND  # about the item's length
-        for s in range(0, max(1, len(passage) - width + 1), BAND // 2):
-            best = max(best, ordered_words(item, passage[s : s + width]))
-        if run >= min(RUN_WORDS, len(item)) or best >= need:
+        if len(own) >= need or run >= wanted:
+            for s in range(0, max(1, len(passage) - width + 1), BAND // 2):
+                best = max(best, ordered_words(item, passage[s : s + width]))
+        if run >= wanted or best >= need:
             done.add((d, number))
             yield d, number, run, best
 
