@@ -37,7 +37,7 @@ def consolidate(files: DataFrame, out_dir: str, target_bytes: int = 128 << 20) -
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grp, b = key
-        folder = "_" if grp is None else "".join(c if c.isalnum() or c == "_" else "-" for c in str(grp))
+        folder = "none" if grp is None else "g-" + "".join(c if c.isalnum() or c == "_" else "-" for c in str(grp))
         m = merge_files(sorted(pdf["path"]), f"{out_dir}/{folder}/part-{int(b):06d}.parquet")
         return pd.DataFrame([[grp, m.path, m.files_in, m.blocks, m.rows, m.n_bytes, m.ok]], columns=["grp", "file", "files_in", "blocks", "n_rows", "n_bytes", "valid"])
 

@@ -213,7 +213,7 @@ def _moved(group: dict, source, sink, ordinal: int) -> dict:
 def merge_files(inputs: list[str], output: str) -> Merged:
     """Writes one Parquet file with all row groups of `inputs`, in that order.
 
-    Raises if schemas differ. Files without rows add nothing. The result is
+    Raises if schemas differ. Files and row groups without rows add nothing. The result is
     written beside its place and moved there only once it has been read back
     and agrees in schema, row groups and rows, so a retried task cannot leave
     a torn or doubled file.
@@ -236,6 +236,8 @@ def merge_files(inputs: list[str], output: str) -> Merged:
                     raise ValueError(f"schema of {uri} differs")
                 expected += footer[FILE_ROWS][1]
                 for group in footer[FILE_GROUPS][1][1]:
+                    if not group[GROUP_ROWS][1]:
+                        continue
                     groups.append(_moved(group, source, sink, len(groups)))
                     rows += group[GROUP_ROWS][1]
         footer = dict(head)
