@@ -24,6 +24,8 @@ from lumenscan.runtime import discard, materialise
 
 DAMPING = 0.85
 ROUNDS = 60
+#: Every so many rounds the walk jumps ahead along its last change (Aitken's rule).
+LEAP = 6
 TOLERANCE = 1e-7
 #: Results of a query that are solved in one task; larger queries by distributed steps.
 PACK_ROWS = 50_000
@@ -31,6 +33,11 @@ PACK_ROWS = 50_000
 _OUT = "query_id string, ap_id long, stationarity double, scans int, listed int, worst_rank int"
 
 
+def _ahead(ratio: float) -> float:
+    """What is left of a series of changes that shrink by `ratio`, in terms of the last one."""
+    return ratio / (1 - ratio)
+
+
 def walk(item: np.ndarray, scan: np.ndarray, cost: np.ndarray, ids: np.ndarray, damping: float = DAMPING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """item, scan: positions from 0. Gives per item: stationary probability, scans that list it, worst rank.
 
@@ -44,8 +51,8 @@ def walk(item: np.ndarray, scan: np.ndarray, cost: np.ndarray, ids: np.ndarray,
     size = np.diff(np.append(first, len(scan)))
     rank = np.arange(len(scan)) - first[scan] + 1
     listed = np.bincount(item, minlength=n)
-    p = np.full(n, 1 / n)
-    for _ in range(ROUNDS):
+    p, last = np.full(n, 1 / n), 0.0
+    for turn in range(1, ROUNDS + 1):
         share = p[item] / rank
         upward = np.cumsum(share[::-1])[::-1]
         beyond = np.append(upward, 0.0)[first + size]  # what lies after the scan's last rank
@@ -53,10 +60,14 @@ def walk(item: np.ndarray, scan: np.ndarray, cost: np.ndarray, ids: np.ndarray,
         absent = (p.sum() - np.bincount(scan, p[item], minlength=k)) / size
         new = np.bincount(item, flow + absent[scan], minlength=n) / k
         new = damping * new + (1 - damping) / n
-        done = np.abs(new - p).sum() < TOLERANCE
+        step, change = new - p, np.abs(new - p).sum()
         p = new
-        if done:
+        if change < TOLERANCE:
             break
+        if turn % LEAP == 0 and change < last:
+            p = np.maximum(p + step * _ahead(change / last), 0)
+            p /= p.sum()
+        last = change
     worst = np.zeros(n, np.int64)
     np.maximum.at(worst, item, rank)
     return p, listed, worst
@@ -94,32 +105,43 @@ def _distributed(results: DataFrame, damping: float) -> DataFrame:
     size, a step sums within blocks and adds the totals of the later blocks."""
     block_rows = 20_000
     ranked = materialise(_ranked(results).withColumn("block", F.floor((F.col("rank") - 1) / block_rows)), "ranked")
-    q = ranked.groupBy("query_id").agg(F.countDistinct("ap_source").alias("k"))
     items = ranked.groupBy("query_id", "ap_id").agg(F.count(F.lit(1)).alias("listed"), F.max("rank").alias("worst_rank"))
-    sizes = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(q, "query_id")
-    sizes = materialise(sizes, "sizes")
-    state = materialise(items.join(sizes, "query_id").withColumn("p", F.lit(1.0) / F.col("n")), "walk")
+    k = ranked.groupBy("query_id").agg(F.countDistinct("ap_source").alias("k"))
+    sizes = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(k, "query_id")
+    entries = materialise(ranked.join(sizes, "query_id").select("query_id", "ap_id", "ap_source", "block", "rank", "size", "n", "k"), "entries")
+    state = materialise(entries.groupBy("query_id", "ap_id").agg((1.0 / F.max("n")).alias("p"), F.lit(0.0).alias("step")), "walk")
     inside = W.partitionBy("query_id", "ap_source", "block").orderBy(F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
     later = W.partitionBy("query_id", "ap_source").orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
-    for _ in range(ROUNDS):
-        held = ranked.join(state.select("query_id", "ap_id", "p"), ["query_id", "ap_id"])
-        held = held.withColumn("within", F.sum(F.col("p") / F.col("rank")).over(inside))
-        totals = held.groupBy("query_id", "ap_source", "block").agg(F.sum(F.col("p") / F.col("rank")).alias("t"), F.sum("p").alias("listed_p"), F.max("size").alias("size"))
-        whole = W.partitionBy("query_id", "ap_source")
+    whole = W.partitionBy("query_id", "ap_source")
+    last = 0.0
+    for turn in range(1, ROUNDS + 1):
+        held = entries.join(state.select("query_id", "ap_id", "p"), ["query_id", "ap_id"])
+        held = materialise(held.withColumn("within", F.sum(F.col("p") / F.col("rank")).over(inside)), "held")
+        totals = held.groupBy("query_id", "ap_source", "block").agg(F.max("within").alias("t"), F.sum("p").alias("listed_p"), F.max("size").alias("size"))
         totals = totals.select(
-            "query_id", "ap_source", "block", F.coalesce(F.sum("t").over(later), F.lit(0.0)).alias("after"),
-            ((1 - F.sum("listed_p").over(whole)) / F.col("size")).alias("absent"),
+            "query_id", "ap_source", "block",
+            (F.coalesce(F.sum("t").over(later), F.lit(0.0)) + (1 - F.sum("listed_p").over(whole)) / F.col("size")).alias("more"),
         )
-        moved = held.join(totals, ["query_id", "ap_source", "block"]).groupBy("query_id", "ap_id").agg(F.sum(F.col("within") + F.col("after") + F.col("absent")).alias("flow"))
-        new = state.join(moved, ["query_id", "ap_id"]).withColumn("new", damping * F.col("flow") / F.col("k") + (1 - damping) / F.col("n"))
-        new = materialise(new.withColumn("change", F.abs(F.col("new") - F.col("p"))).drop("p", "flow").withColumnRenamed("new", "p"), "walk")
-        change = new.groupBy("query_id").agg(F.sum("change").alias("c")).agg(F.max("c")).first()[0]
+        moved = held.join(totals, ["query_id", "ap_source", "block"]).groupBy("query_id", "ap_id")
+        moved = moved.agg(F.sum(F.col("within") + F.col("more")).alias("flow"), F.max("p").alias("old"), F.max("n").alias("n"), F.max("k").alias("k"))
+        new = damping * F.col("flow") / F.col("k") + (1 - damping) / F.col("n")
+        after = materialise(moved.select("query_id", "ap_id", new.alias("p"), (new - F.col("old")).alias("step")), "walk")
+        change = after.groupBy("query_id").agg(F.sum(F.abs("step")).alias("c")).agg(F.max("c")).first()[0]
+        discard(held)
         discard(state)
-        state = new.drop("change")
-        state._scratch_path = new._scratch_path
+        state = after
         if change is None or change < TOLERANCE:
             break
-    return state.select("query_id", "ap_id", F.col("p").alias("stationarity"), F.col("k").cast("int").alias("scans"), F.col("listed").cast("int").alias("listed"), F.col("worst_rank").cast("int").alias("worst_rank"))
+        if turn % LEAP == 0 and change < last:
+            leap = F.greatest(F.col("p") + F.col("step") * _ahead(change / last), F.lit(0.0))
+            ahead = state.select("query_id", "ap_id", leap.alias("p"), "step")
+            scale = ahead.groupBy("query_id").agg(F.sum("p").alias("t"))
+            state = materialise(ahead.join(scale, "query_id").select("query_id", "ap_id", (F.col("p") / F.col("t")).alias("p"), "step"), "walk")
+        last = change
+    return (
+        state.select("query_id", "ap_id", F.col("p").alias("stationarity")).join(items, ["query_id", "ap_id"]).join(k, "query_id")
+        .select("query_id", "ap_id", "stationarity", F.col("k").cast("int").alias("scans"), F.col("listed").cast("int").alias("listed"), F.col("worst_rank").cast("int").alias("worst_rank"))
+    )
 
 
 def answered_results(scans: DataFrame, details: DataFrame) -> DataFrame:
