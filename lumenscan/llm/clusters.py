@@ -138,6 +138,7 @@ def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
     several members. An empty collection gives empty tables.
     """
     nodes, members, sketches, edges = similarity_graph(vectors, threshold)
+    discard(sketches)
     labels = components(edges)
     found = blocks(labels, nodes).mapInArrow(lambda it: _solve_blocks(it, threshold), _OUT)
     large = materialise(large_components(labels), "large")

@@ -97,10 +97,9 @@ def to_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows leave one member.
     """
     keyed = vectors.withColumn("nid", F.xxhash64("grp", "vec", "pos"))
-    base = materialise(keyed.groupBy("nid", "grp", "id").agg(F.first("vec").alias("vec"), F.first("pos").alias("pos")), "vectors")
-    members = base.select("nid", "id", "grp")
-    nodes = base.groupBy("nid").agg(F.first("grp").alias("grp"), F.first("vec").alias("vec"), F.first("pos").alias("pos"))
-    return nodes, members
+    members = materialise(keyed.select("nid", "id", "grp").distinct(), "members")
+    nodes = keyed.groupBy("nid").agg(F.first("grp").alias("grp"), F.first("vec").alias("vec"), F.first("pos").alias("pos"))
+    return materialise(nodes, "nodes"), members
 
 
 def sketch(nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
