@@ -25,6 +25,8 @@ from lumenscan.plans import planner
 from lumenscan.plans.parser import parse
 from lumenscan.runtime import delete_path, scratch_path
 from lumenscan.sources import stores
+from lumenscan.sources.importers import export, import_files
+from lumenscan.sources.parquet_blocks import open_fs
 from lumenscan.types import DISTANCE, PK, SOURCE, SPARK_TYPES, Attribute, EngineError, check_attributes, kind_of
 
 VACUUM_AFTER = 100
@@ -49,6 +51,7 @@ class Engine:
         self.results: OrderedDict[str, tuple[float, DataFrame]] = OrderedDict()
         self.lock = RLock()
         self.scorer: Callable | None = None
+        self.log: list[tuple[float, M.Node]] = []
 
     # ---- definition ----
 
@@ -371,6 +374,7 @@ class Engine:
         on_step is called with every node and its DataFrame, innermost first.
         """
         node = q if isinstance(q, M.Node) else parse(q)
+        self.log = [*self.log[-CACHE_ENTRIES + 1 :], (time.time(), node)]
         df = self._run(node, on_step, "source" in levels)
         return basic.with_partition(df) if "partition" in levels else df
 
@@ -606,18 +610,26 @@ class Engine:
 
     # ---- planner training ----
 
-    def train_planner(self, entity: str, attribute: str, n_queries: int = 3, k: int = 100, kind: str = "naive", runs: int = 2) -> dict[str, float]:
-        """Measures every path on sampled vectors and makes the planner choose by what it learnt."""
+    def _training_rankings(self, entity: str, attribute: str, n: int, k: int, logged: bool) -> list[M.Ranking]:
+        if logged:
+            kept = [q.ranking for _, q in self.log if isinstance(q, (M.Scan, M.HintScan)) and q.ranking and clean_name(q.entity) == clean_name(entity)]
+            return list(dict.fromkeys(r for r in kept if r.attribute == clean_name(attribute)))[-n:]
+        rows = basic.sample_rows(self.table(entity).filter(F.col(attribute).isNotNull()).select(PK, attribute), n).collect()
+        return [M.Ranking(clean_name(attribute), tuple(float(x) for x in r[attribute]), k) for r in rows]
+
+    def train_planner(self, entity: str, attribute: str, n_queries: int = 3, k: int = 100, kind: str = "naive", runs: int = 2, logged: bool = False) -> dict[str, float]:
+        """Measures every path on sampled vectors (or logged queries) and makes the planner choose by what it learnt."""
         models = {"naive": planner.NaiveScores, "svm": planner.OnlineSVR}
         model = models[kind]() if kind in models else planner.SparkRegression(self.spark, kind)
         n_rows, seen = self.count(entity), []
-        for row in basic.sample_rows(self.table(entity).filter(F.col(attribute).isNotNull()).select(PK, attribute), n_queries).collect():
-            r = M.Ranking(clean_name(attribute), tuple(float(x) for x in row[attribute]), k)
+        for r in self._training_rankings(entity, attribute, n_queries, k, logged):
             truth = [x[0] for x in self.query(M.Scan(entity, (), r)).select(PK).collect()]
             for node in self.paths(entity, r, "all"):
                 ix = self.index(node.index) if isinstance(node, M.IndexScan) else None
                 name = ix.name if ix else "sequential"
                 seen += planner.measure(name, planner.features(ix, r, n_rows), lambda n=node: [x[0] for x in self._run(n).select(PK).collect()], truth, runs)
+        if not seen:
+            return {}
         model.train(seen)
         self.scorer = lambda ix, r: model.score(ix.name if ix else "sequential", planner.features(ix, r, n_rows))
         return {m.path: model.score(m.path, m.features) for m in seen}
@@ -627,6 +639,41 @@ class Engine:
         score = self.scorer or (lambda ix, _: ix.score if ix else 0.5)
         return sorted(((ix.name if ix else "sequential", score(ix, r)) for ix in [None, *own]), key=lambda x: (-x[1], x[0]))
 
+    # ---- catalog on disk, import and export, log ----
+
+    def save(self) -> str:
+        """Writes the catalog (entities, index metadata) beside the data; attached tables are not part of it."""
+        fs, path = open_fs(self.root)
+        fs.create_dir(path, recursive=True)
+        ixs = {n: (replace(ix, data=None), ix.data.inputFiles()[:1], ix.data.schema.json()) for n, ix in self.indexes.items() if ix.entity in self.entities}
+        with fs.open_output_stream(f"{path}/catalog.bin") as f:
+            f.write(pickle.dumps({"entities": self.entities, "indexes": ixs, "minimum": self.minimum}))
+        return f"{self.root}/catalog.bin"
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Engine:
+        """The engine whose catalog was saved under root. Only open what you wrote: the catalog is a pickle."""
+        fs, path = open_fs(root)
+        with fs.open_input_stream(f"{path}/catalog.bin") as f:
+            kept = pickle.loads(f.read())
+        e = cls(spark, root, kept["minimum"])
+        e.entities = kept["entities"]
+        for name, (ix, files, schema) in kept["indexes"].items():
+            if files:
+                folder = files[0].rsplit("/", 1)[0].split("/part=")[0]
+                ix.data = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(folder)
+                e.indexes[name] = ix
+        return e
+
+    def export_data(self, name: str, path: str, fmt: str = "parquet") -> None:
+        export(self.table(name), path, fmt)
+
+    def import_data(self, name: str, path: str, fmt: str = "parquet") -> None:
+        """Inserts the rows of a file that has the entity's attributes."""
+        made = [a for a in self.attributes(name) if a.kind != "auto"]
+        rows = import_files(self.spark, path, fmt, T.StructType([T.StructField(a.name, a.spark) for a in made]))
+        self.insert(name, rows)
+
     def catalog(self) -> str:
         """The catalog as JSON."""
         e = {n: {"version": x["version"], "attributes": [[a.name, a.kind, a.engine] for a in x["attributes"]]} for n, x in self.entities.items()}

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenscan.functions import distance as D
-from lumenscan.functions.names import clean_name
 from lumenscan.model import OPERATORS, Predicate, Ranking
 from lumenscan.types import DISTANCE, PK, SOURCE, EngineError
 
@@ -209,7 +208,3 @@ def tuple_ids(df: DataFrame, batch: int, pk: str = PK) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, pk: str = PK, seed: int = 7) -> DataFrame:
     """n rows, the same ones each time: those with the least hash of their id."""
     return df.orderBy(F.xxhash64(F.col(pk), F.lit(seed)), F.col(pk)).limit(n)
-
-
-def normalised(name: str) -> str:
-    return clean_name(name)

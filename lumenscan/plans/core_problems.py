@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenscan.operators.compaction import compact_entities
 from lumenscan.operators.scans import counted_results
-from lumenscan.operators.skew import chunked_aggregate
+from lumenscan.operators.skew import chunked_aggregate, heavy_keys
 from lumenscan.runtime import materialise, table
 
 HEAVY_PERCENT = 3
@@ -38,9 +38,8 @@ def p2_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_tuples = table(spark, sf_dir, "index_tuples").agg(F.countDistinct("ap_id").alias("t")).select(F.lit("leader").alias("field"), "t")
     n_scans = keys.filter("field = 'ap_id'").agg(F.sum("n").alias("t")).select(F.lit("ap_id").alias("field"), "t")
     totals = n_tuples.unionByName(n_scans)
-    return keys.join(F.broadcast(totals), "field").select(
-        "field", "ap_id", "n", "first_at", "last_at", "least_distance", (F.col("n") * 100 >= F.col("t") * HEAVY_PERCENT).alias("heavy")
-    )
+    marked = heavy_keys(keys.join(F.broadcast(totals), "field"), "n", F.col("t"), HEAVY_PERCENT)  # a total for each field
+    return marked.select("field", "ap_id", "n", "first_at", "last_at", "least_distance", "heavy")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ _DISTANCES: dict[str, tuple[str, tuple | None, dict, str]] = {
     "chisquared": ("chisquared", None, {}, _sum("CASE WHEN x + y > 0 THEN (x - y) * (x - y) / (x + y) ELSE 0 END")),
     "cosine": ("cosine", None, {}, f"1 - {_DOT} / (sqrt({_AA}) * sqrt({_BB}))"),
     "correlation": ("correlation", None, {}, _COR),
-    "hamming": ("hamming", None, {}, _sum("CASE WHEN abs(x - y) > 1e-5 THEN 1.0 ELSE 0.0 END")),
+    "hamming": ("hamming", None, {}, _sum("CASE WHEN abs(x - y) > 1e-5 THEN 1.0::DOUBLE ELSE 0.0 END")),
     "spannorm": ("spannorm", None, {}, f"{_max('(x - y)')} - {_max('(x - y)', 'list_min')}"),
     "modulo": ("modulo", None, {}, _sum("(y % x)")),
     "weighted_manhattan": ("manhattan", WEIGHTS, {}, _sum("(# * abs(x - y))")),

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables that materialise and others wrote, for cleanup().
+_written: list[str] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -39,7 +41,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
@@ -59,10 +63,18 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | N
     return out
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Deletes every table this process wrote to the shared folder. DataFrames over them can no longer be read."""
+    while _written:
+        delete_path(spark, _written.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing will read again."""
     path = getattr(df, "_scratch_path", None)
     if path:
+        if path in _written:
+            _written.remove(path)
         delete_path(df.sparkSession, path)
 
 

@@ -1,23 +1,24 @@
 """Storage engines: where the attributes of an entity lie, and reading and writing them.
 
 Spark's own sources do the work, so predicates and columns are pushed down by
-Catalyst. Avro and JDBC need their modules or a database; without them their
+Catalyst. Avro, JDBC and other databases need their modules; without them their
 use is refused with a clear message.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from lumenscan.model import Predicate
 from lumenscan.operators.basic import where
 from lumenscan.types import ENGINE_TYPES, EngineError
 
 FILE_ENGINES = ("parquet", "orc", "json", "avro")
+#: Engines that are reached by options instead of a path, and their Spark formats.
+CONNECTORS = {"jdbc": "jdbc", "cassandra": "org.apache.spark.sql.cassandra", "hbase": "org.apache.hadoop.hbase.spark"}
 
 
 def handlers() -> dict[str, list[str]]:
@@ -29,26 +30,30 @@ def supports(engine: str, kind: str) -> bool:
     return kind in ENGINE_TYPES.get(engine, ())
 
 
+def _connected(engine: str, act: Callable):
+    try:
+        return act()
+    except Exception as e:
+        if any(x in str(e) for x in ("DATA_SOURCE_NOT_FOUND", "Failed to find data source", "No suitable driver", "external but built-in", "ClassNotFound")):
+            raise EngineError(f"the module of the {engine} store is not installed") from e
+        raise
+
+
 def write(df: DataFrame, engine: str, path: str, mode: str = "append", **options) -> None:
-    if engine == "jdbc":
-        df.write.format("jdbc").options(**options).mode(mode).save()
+    if engine in CONNECTORS:
+        _connected(engine, lambda: df.write.format(CONNECTORS[engine]).options(**options).mode(mode).save())
         return
     if engine not in FILE_ENGINES:
         raise EngineError(f"unknown engine {engine!r}")
-    try:
-        df.write.format(engine).mode(mode).save(path)
-    except AnalysisException as e:
-        if engine == "avro":
-            raise EngineError("the Avro source is not installed") from e
-        raise
+    _connected(engine, lambda: df.write.format(engine).mode(mode).save(path))
 
 
 def read(spark: SparkSession, engine: str, path: str, schema: T.StructType, predicates: Sequence[Predicate] = (), **options) -> DataFrame:
     """The stored rows; predicates reach the scan."""
-    if engine == "jdbc":
-        df = spark.read.format("jdbc").options(**options).load()
+    if engine in CONNECTORS:
+        df = _connected(engine, lambda: spark.read.format(CONNECTORS[engine]).options(**options).load())
     elif engine in FILE_ENGINES:
-        df = spark.read.format(engine).schema(schema).load(path)
+        df = _connected(engine, lambda: spark.read.format(engine).schema(schema).load(path))
     else:
         raise EngineError(f"unknown engine {engine!r}")
     return where(df, predicates)

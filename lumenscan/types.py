@@ -38,6 +38,8 @@ ENGINE_TYPES: dict[str, frozenset[str]] = {
     "orc": frozenset(SPARK_TYPES),
     "json": frozenset(SPARK_TYPES),
     "avro": frozenset(SPARK_TYPES),
+    "cassandra": frozenset({"auto", "integer", "long", "float", "double", "string", "text", "boolean", "vector"}),
+    "hbase": frozenset({"auto", "integer", "long", "float", "double", "string", "text", "boolean"}),
     "jdbc": frozenset({"auto", "integer", "long", "float", "double", "string", "text", "boolean"}),
 }
 

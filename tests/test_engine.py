@@ -159,6 +159,29 @@ def test_write_operations(spark, engine, tmp_path):
     assert "pictures" in engine.catalog() and engine.ping()
 
 
+def test_saved_catalog_import_and_export(spark, engine, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), 10)
+    e.create_entity("c", [A("t", "long"), A("v", "vector")])
+    e.generate("c", 60, **{"fv-dimensions": 4})
+    name = e.create_index("c", "v", "vaf")
+    e.save()
+    back = Engine.open(spark, str(tmp_path / "e"))
+    r = M.Ranking("v", (0.5,) * 4, 5)
+    assert ids(back.knn_index(name, r), "t") == ids(e.knn("c", r), "t")
+    e.export_data("c", str(tmp_path / "out"), "json")
+    e.import_data("c", str(tmp_path / "out"), "json")
+    assert e.count("c") == 120
+    assert "vaf" in str(e.train_planner("c", "v", 1, 3, "naive", 1, logged=True)) or e.index(name).stale
+
+
+def test_missing_modules_are_refused(spark, tmp_path):
+    from lumenscan.sources import stores
+
+    for kind in ("avro", "jdbc", "cassandra", "hbase"):
+        with pytest.raises(EngineError):
+            stores.write(spark.range(1), kind, str(tmp_path / "x"), url="jdbc:none:x", dbtable="t")
+
+
 def test_text_and_geo(spark, engine):
     df = spark.createDataFrame([(1, "red fox and red hen", "POINT(8.5 47.4)"), (2, "blue hen", "POINT(2.3 48.9)"), (3, None, None)], "id long, x string, w string")
     engine.attach("ext", df.withColumn("g", F.struct(F.col("w").alias("geometry_desc"))), "id")
