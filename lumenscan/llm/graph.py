@@ -264,12 +264,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = both_ways(edges).select("u", "v")
     labels = materialise(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        heard = links.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        step = labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("new"))
-        jump = labels.select(F.col("u").alias("new"), F.col("label").alias("beyond"))
-        step = step.join(jump, "new", "left").select("u", F.least("new", "beyond").alias("label"), (F.least("new", "beyond") < F.col("label")).alias("moved"))
-        step = materialise(step, "labels")
+    for turn in range(max_rounds):
+        heard = links.join(labels.select(F.col("u").alias("v"), "label"), "v").select("u", "label", F.lit(None).cast("long").alias("own"))
+        told = heard.union(labels.select("u", "label", F.col("label").alias("own")))
+        step = told.groupBy("u").agg(F.min("label").alias("label"), F.max("own").alias("own"))
+        if turn >= 2:  # wide components only: most are settled before
+            jump = labels.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
+            step = step.join(jump, "label", "left").select("u", F.least("label", "beyond").alias("label"), "own")
+        step = materialise(step.select("u", "label", (F.col("label") < F.col("own")).alias("moved")), "labels")
         discard(labels)
         labels = step
         if labels.filter("moved").isEmpty():
