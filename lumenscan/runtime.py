@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenscan_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lumenscan-code-")) / "lumenscan.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path("lumenscan") / p.relative_to(here))
+    sc.addPyFile(str(archive))
+    sc._lumenscan_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; one of our own only where none is set."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
@@ -63,6 +79,17 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | N
     return out
 
 
+def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed") -> DataFrame:
+    """As materialise, laid out in buckets of `key`: later joins on it need not shuffle this side."""
+    spark = df.sparkSession
+    path, name = scratch_path(spark, label), f"{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_path = path
+    return out
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes every table this process wrote to the shared folder. DataFrames over them can no longer be read."""
     while _written:
