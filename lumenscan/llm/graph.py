@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.runtime import discard, materialise
+from lumenscan.runtime import discard, materialise, materialise_bucketed
 
 #: Width of the projection of sparse vectors, and of every sketch at most.
 SPARSE_WIDTH = 128
@@ -99,7 +99,7 @@ def to_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = vectors.withColumn("nid", F.xxhash64("grp", "vec", "pos"))
     members = materialise(keyed.select("nid", "id", "grp").distinct(), "members")
     nodes = keyed.groupBy("nid").agg(F.first("grp").alias("grp"), F.first("vec").alias("vec"), F.first("pos").alias("pos"))
-    return materialise(nodes, "nodes"), members
+    return materialise_bucketed(nodes, "nid", "nodes"), members
 
 
 def sketch(nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
