@@ -1,7 +1,7 @@
 """Subject areas of documents: truncated SVD of term weights, seeded centroids.
 
 Terms are hashed words; a word's weight falls with the share of all documents
-that hold it. Subspace iteration over all documents finds the leading right
+of a language that hold it. Subspace iteration over all documents finds the leading right
 singular vectors. A document is the sum of its terms in that space. Centroids
 start from labelled documents, one for each subject and language, and are
 refined over all documents. Then each sentence goes to its nearest centroid,
@@ -107,32 +107,34 @@ def _entries(terms: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key // BUCKETS, key % BUCKETS, count
 
 
-def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
-    """How many documents hold each bucket, and how many documents there are."""
+def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(languages, buckets): how many documents of a language hold each bucket; and how many there are of each."""
+    size = len(LANGUAGES) * BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total, n = np.zeros(size, np.int64), np.zeros(len(LANGUAGES), np.int64)
         for b in batches:
-            terms, off = _flat(b.column(0))
-            total += np.bincount(_entries(terms, off)[1], minlength=BUCKETS)
-            n += b.num_rows
+            lang = b.column(0).to_numpy()
+            row, term, _ = _entries(*_flat(b.column(1)))
+            total += np.bincount(lang[row].astype(np.int64) * BUCKETS + term, minlength=size)
+            n += np.bincount(lang, minlength=len(LANGUAGES))
         held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(total[held], n))], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1 - np.arange(len(n)))), pa.array(np.append(total[held], n))], ["term", "n"])
 
-    df, n = np.zeros(BUCKETS, np.int64), 0
-    for r in tokens.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    df, n = np.zeros(size, np.int64), np.zeros(len(LANGUAGES), np.int64)
+    for r in tokens.select("lang", "terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] < 0:
-            n = r["n"]
+            n[-1 - r["term"]] = r["n"]
         else:
             df[r["term"]] = r["n"]
-    return df, n
+    return df.reshape(len(LANGUAGES), BUCKETS), n
 
 
-def _weights(terms: np.ndarray, off: np.ndarray, slot: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weights(terms: np.ndarray, off: np.ndarray, lang: np.ndarray, slot: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot, weight) of documents as unit rows of the term matrix."""
     row, term, count = _entries(terms, off)
     at = slot[term] >= 0
-    row, s, w = row[at], slot[term[at]], (1 + np.log(count[at])) * idf[term[at]]
+    row, s, w = row[at], slot[term[at]], (1 + np.log(count[at])) * idf[lang[row[at]], term[at]]
     norm = np.sqrt(np.bincount(row, w * w, minlength=len(off) - 1))
     return row, s, (w / np.maximum(norm, 1e-12)[row]).astype(np.float32)
 
@@ -160,8 +162,8 @@ def leading_vectors(tokens: DataFrame, slot: np.ndarray, idf: np.ndarray, rank:
             total = np.zeros(basis.shape, np.float32)
             for b in batches:
                 for k in range(0, b.num_rows, 500):
-                    terms, off = _flat(b.column(0).slice(k, 500))
-                    row, s, w = _weights(terms, off, slot, idf)
+                    terms, off = _flat(b.column(1).slice(k, 500))
+                    row, s, w = _weights(terms, off, b.column(0).slice(k, 500).to_numpy(), slot, idf)
                     y = _sum_runs(basis[s] * w[:, None], row, len(off) - 1)
                     back = np.argsort(s, kind="stable")
                     total += _sum_runs(y[row[back]] * w[back, None], s[back], len(total))
@@ -169,7 +171,7 @@ def leading_vectors(tokens: DataFrame, slot: np.ndarray, idf: np.ndarray, rank:
             yield pa.RecordBatch.from_arrays([pa.array(held), pa.FixedSizeListArray.from_arrays(pa.array(total[held].ravel()), basis.shape[1]).cast(pa.list_(pa.float32()))], ["s", "y"])
 
         # Sums by slot and position: what comes back is one matrix of the basis' size.
-        sums = tokens.select("terms").mapInArrow(run, "s long, y array<float>")
+        sums = tokens.select("lang", "terms").mapInArrow(run, "s long, y array<float>")
         summed = sums.groupBy("s").agg(*[F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(q)]).toPandas()
         product = np.zeros((n, q))
         if len(summed):
@@ -189,7 +191,7 @@ def embed(tokens: DataFrame, space) -> DataFrame:
         basis, slot, idf = space.value
         for b in batches:
             terms, off = _flat(b.column(2))
-            row, s, w = _weights(terms, off, slot, idf)
+            row, s, w = _weights(terms, off, b.column(1).to_numpy(), slot, idf)
             e = _sum_runs(basis[s] * w[:, None], row, b.num_rows)
             norm = np.sqrt((e * e).sum(axis=1))
             at = np.flatnonzero(norm > 1e-9)
@@ -251,22 +253,22 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     empty = spark.createDataFrame([], "doc_id long, subject string")
     tokens = materialise(sentences(documents), "tokens")
     df, n = document_frequencies(tokens)
-    kept = np.flatnonzero(df >= MIN_DOCUMENTS)
+    kept = np.flatnonzero(df.sum(axis=0) >= MIN_DOCUMENTS)
     if not len(kept) or not subjects:
         return empty
     slot = np.full(BUCKETS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
-    idf = np.log(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
+    idf = np.log(np.maximum(np.maximum(n, 1)[:, None] / np.maximum(df, 1), 1)).astype(np.float32)
     basis = leading_vectors(tokens, slot, idf)
     space = spark.sparkContext.broadcast((basis, slot, idf))
     embedded = materialise(embed(tokens, space), "embedded")
     m = refined_centroids(embedded, labels, subjects, basis.shape[1])
     known = np.linalg.norm(m, axis=1) > 0
-    final = spark.sparkContext.broadcast((basis * idf[kept][:, None], slot, m.astype(np.float32), known))
+    final = spark.sparkContext.broadcast((m.astype(np.float32), known))
     k = len(subjects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, slot, m, known = final.value
+        (basis, slot, idf), (m, known) = space.value, final.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -277,10 +279,12 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
                 claim = _flat(b.column(4))[0]
                 doc = np.repeat(np.arange(b.num_rows), np.diff(sentence_off))
                 sentence = np.repeat(np.arange(len(lengths)), lengths)
+                lang = b.column(1).to_numpy()[doc]
                 s = slot[terms]
-                e = _sum_runs(weighted[s[s >= 0]], sentence[s >= 0], len(lengths))
+                weight = idf[lang[sentence], terms]
+                use = (s >= 0) & (weight > 0)
+                e = _sum_runs(basis[s[use]] * weight[use, None], sentence[use], len(lengths))
                 e /= np.maximum(np.sqrt((e * e).sum(axis=1)), 1e-9)[:, None]
-                lang = b.column(1).to_numpy()[doc]
                 score = (e @ m.T).reshape(len(e), -1, k)[np.arange(len(e)), lang]
                 score[~known.reshape(-1, k)[lang]] = -1
                 best = score.argmax(axis=1)
