@@ -46,8 +46,11 @@ _TOKENS = "doc_id long, lang int, terms array<int>, lengths array<int>, claim ar
 
 
 class _Hasher(dict):
+    """Bucket of a word, and above it 1 + the language of which it is a common word."""
+
     def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh32_intdigest(word.encode()) & (BUCKETS - 1)
+        lang = next((i + 1 for i, name in enumerate(LANGUAGES) if word in _COMMON[name]), 0)
+        h = self[word] = lang * BUCKETS + (xxhash.xxh32_intdigest(word.encode()) & (BUCKETS - 1))
         return h
 
 
@@ -69,7 +72,6 @@ def sentences(documents: DataFrame) -> DataFrame:
         for batch in batches:
             ids, langs, terms, lengths, claim = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = dict.fromkeys(LANGUAGES, 0)
                 row, lens, marks = [], [], []
                 for is_claim, part in enumerate(parts(text or "")):
                     for sentence in _SENTENCE.split(part.lower()):
@@ -78,13 +80,12 @@ def sentences(documents: DataFrame) -> DataFrame:
                             row.extend([hashed[w] for w in words])
                             lens.append(len(words))
                             marks.append(bool(is_claim))
-                            for name, common in _COMMON.items():
-                                seen[name] += sum(w in common for w in words)
                 if len(hashed) > 500_000:
                     hashed.clear()
                 ids.append(doc)
-                langs.append(max(range(3), key=lambda i: seen[LANGUAGES[i]]))
-                terms.append(np.asarray(row, np.int32))
+                codes = np.asarray(row, np.int32)
+                langs.append(int(np.bincount(codes // BUCKETS, minlength=1 + len(LANGUAGES))[1:].argmax()))
+                terms.append(codes & (BUCKETS - 1))
                 lengths.append(np.asarray(lens, np.int32))
                 claim.append(marks)
             yield pa.RecordBatch.from_arrays(
