@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,32 @@ BLOCK_NODES = 1024
 
 @dataclass(frozen=True)
 class HashPlan:
-    """Digits and tables for one group: the expected share of missed pairs is about `miss`."""
+    """Digits and tables for one group: a pair at the planned cosine shares no cell with a chance of about `miss`."""
 
     digits: int
     tables: int
 
 
-def plan_hashes(rows: int, width: int, agree: float = 0.75, miss: float = 0.001) -> HashPlan:
-    """agree: chance that one digit of two vectors at cosine 0.97 is the same."""
-    if rows <= ONE_CELL:
+@lru_cache(maxsize=256)
+def agreement(cosine: float, width: int) -> float:
+    """Chance that one digit of two vectors at `cosine` is the same, by sampling."""
+    rng = np.random.default_rng([width, 79])
+    same = 0
+    for _ in range(20):
+        x, y = rng.standard_normal((2, 2000, width), dtype=np.float32)
+        y = cosine * x + math.sqrt(1 - cosine * cosine) * y
+        i, j = np.abs(x).argmax(1), np.abs(y).argmax(1)
+        at = np.arange(len(x))
+        same += int(((i == j) & (x[at, i] * y[at, i] > 0)).sum())
+    return same / 40_000
+
+
+def plan_hashes(rows: int, width: int, cosine: float, miss: float = 0.001, one_cell: int = ONE_CELL, cell_rows: int = CELL_ROWS) -> HashPlan:
+    """cosine: the least at which pairs are sought."""
+    if rows <= one_cell:
         return HashPlan(0, 1)
-    digits = max(1, math.ceil(math.log(rows / CELL_ROWS) / math.log(2 * width)))
-    return HashPlan(digits, math.ceil(math.log(miss) / math.log(1 - agree**digits)))
+    digits = max(1, math.ceil(math.log(rows / cell_rows) / math.log(2 * width)))
+    return HashPlan(digits, math.ceil(math.log(miss) / math.log(1 - agreement(cosine, width) ** digits)))
 
 
 @lru_cache(maxsize=256)
@@ -76,18 +91,25 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _cells(unit: np.ndarray, plan: HashPlan, seed: int) -> np.ndarray:
+def _cells(unit: np.ndarray, plan: HashPlan, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, digits): a cell for each table, and the digits it is made of in as few bytes as hold them."""
     n, width = unit.shape
     out = np.empty((n, plan.tables), np.int64)
+    digits = np.empty((n, plan.tables, plan.digits), _digit_type(width))
     for t in range(plan.tables):
-        code = np.full(n, (seed * 1_000_003 + t * 7919) & 0x7FFFFFFFFFFF, np.int64)
+        code = np.full(n, ((seed * 1_000_003 + width) * 10_007 + t * 7919) & 0x7FFFFFFFFFFF, np.int64)
         for d in range(plan.digits):
             turned = unit @ _rotation(width, t, d)
             axis = np.abs(turned).argmax(1)
             digit = axis * 2 + (turned[np.arange(n), axis] > 0)
+            digits[:, t, d] = digit
             code = code * 1_315_423_911 + digit + 1
         out[:, t] = code
-    return out
+    return out, digits
+
+
+def _digit_type(width: int) -> type:
+    return np.uint8 if width <= 128 else np.uint32
 
 
 def to_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,8 +124,14 @@ def to_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise_bucketed(nodes, "nid", "nodes"), members
 
 
-def sketch(nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """(nid, slack, sketch, cells): slack is what the sketch's cosine may fall short by."""
+def sketch(nodes: DataFrame, counts: dict[str, int], threshold: float) -> DataFrame:
+    """(nid, slack, sketch, digits, cells): slack is what the sketch's cosine may fall short by.
+
+    Pairs at `threshold` or above are to share a cell. Cells of sparse vectors
+    are planned for two deviations of the projection less.
+    """
+    one_cell, cell_rows = ONE_CELL, CELL_ROWS
+    cosine = {True: threshold, False: threshold - 2 * (1 - threshold**2) / math.sqrt(SPARSE_WIDTH)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +151,9 @@ def sketch(nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
                         p = pos.values.to_numpy()[_list_index(pos, at)]
                         scale = np.repeat([np.abs(values[off[i] : off[i + 1]]).max() for i in at], size[at])
                         unit = unit_rows(_project(p, values[take] / scale, bounds).astype(np.float64)).astype(np.float32)
-                    cells = _cells(unit, plan_hashes(counts[g], unit.shape[1]), _seed(g))
+                    plan = plan_hashes(counts[g], unit.shape[1], cosine[bool(kind)], one_cell=one_cell, cell_rows=cell_rows)
+                    cells, digits = _cells(unit, plan, _seed(g))
+                    head = np.full((len(at), 1), plan.digits, np.uint8)
                     peak = np.abs(unit).max(axis=1, keepdims=True)
                     code = np.rint(unit / peak * 127).astype(np.int8)
                     yield pa.RecordBatch.from_arrays(
@@ -131,12 +161,13 @@ def sketch(nodes: DataFrame, counts: dict[str, int]) -> DataFrame:
                             pa.array(nids[at]),
                             pa.array(np.full(len(at), DENSE_MARGIN if kind else SPARSE_MARGIN, np.float32)),
                             _binary(code),
+                            _binary(np.hstack([head, digits.reshape(len(at), -1).view(np.uint8)])),
                             pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel())),
                         ],
-                        ["nid", "slack", "sketch", "cells"],
+                        ["nid", "slack", "sketch", "digits", "cells"],
                     )
 
-    return nodes.select("nid", "grp", "vec", "pos").mapInArrow(run, "nid long, slack float, sketch binary, cells array<long>")
+    return nodes.select("nid", "grp", "vec", "pos").mapInArrow(run, "nid long, slack float, sketch binary, digits binary, cells array<long>")
 
 
 def _seed(group: str) -> int:
@@ -167,7 +198,7 @@ def decode(column: pa.Array, rows: np.ndarray | None = None) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _block_pairs(cell: np.ndarray, table: np.ndarray, cells: list[np.ndarray], unit: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_pairs(cell: np.ndarray, table: np.ndarray, digits: np.ndarray, unit: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of the block that share `cell`, reach `floor` and did not meet in an earlier table."""
     found = []
     n = len(cell)
@@ -181,7 +212,7 @@ def _block_pairs(cell: np.ndarray, table: np.ndarray, cells: list[np.ndarray], u
             i, j, score = i[ok], j[ok], score[ok]
             earlier = np.zeros(len(i), bool)
             for t in range(table.max() if len(table) else 0):
-                earlier |= (t < table[i]) & (cells[t][i] == cells[t][j])
+                earlier |= (t < table[i]) & (digits[i, t] == digits[j, t]).all(axis=1)
             found.append((i[~earlier], j[~earlier], score[~earlier]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -193,9 +224,8 @@ def cell_pairs(sketches: DataFrame, floor: float) -> DataFrame:
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
             cell, table, nid = (t.column(c).to_numpy() for c in ("cell", "t", "nid"))
-            lists = t.column("cells").combine_chunks() if isinstance(t.column("cells"), pa.ChunkedArray) else t.column("cells")
-            off = lists.offsets.to_numpy()
-            flat, sizes = lists.values.to_numpy(), np.diff(off)
+            digits = t.column("digits")
+            sizes = pc.binary_length(digits).to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             ends = np.append(starts[1:], len(cell))
             k = 0
@@ -208,9 +238,9 @@ def cell_pairs(sketches: DataFrame, floor: float) -> DataFrame:
                 if z - a < 2:
                     continue
                 w = t.column("sketch").slice(a, z - a)
-                cs = flat[off[a] : off[z]].reshape(z - a, -1)
                 for at, unit in _by_width(w):
-                    i, j, s = _block_pairs(cell[a:z][at], table[a:z][at], list(cs[at].T), unit, floor - t.column("slack").to_numpy()[a:z][at])
+                    ds = _digits(digits.slice(a, z - a), at, unit.shape[1])
+                    i, j, s = _block_pairs(cell[a:z][at], table[a:z][at], ds, unit, floor - t.column("slack").to_numpy()[a:z][at])
                     if len(i):
                         own = nid[a:z][at]
                         yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j]), pa.array(s.astype(np.float32))], ["u", "v", "s"])
@@ -232,10 +262,17 @@ def cell_pairs(sketches: DataFrame, floor: float) -> DataFrame:
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    spread = sketches.select("nid", "slack", "sketch", "cells", F.posexplode("cells").alias("t", "cell"))
+    spread = sketches.select("nid", "slack", "sketch", "digits", F.posexplode("cells").alias("t", "cell"))
     return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, s float")
 
 
+def _digits(column: pa.ChunkedArray, rows: np.ndarray, width: int) -> np.ndarray:
+    """(row, table, digit) of rows of one width and number of tables."""
+    raw = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
+    own = np.ascontiguousarray(raw[:, 1:]).view(_digit_type(width))
+    return own.reshape(len(rows), -1, raw[0, 0]) if raw[0, 0] else np.empty((len(rows), 1, 0), np.uint8)
+
+
 def _by_width(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A block's sketches, apart by width (cells of different groups share a block)."""
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -348,6 +385,6 @@ def group_counts(members: DataFrame) -> dict[str, int]:
 def similarity_graph(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(nodes, members, sketches, edges) with every edge whose sketches may reach threshold."""
     nodes, members = to_nodes(vectors)
-    sketches = materialise(sketch(nodes, group_counts(members)), "sketches")
+    sketches = materialise(sketch(nodes, group_counts(members), threshold), "sketches")
     edges = materialise(cell_pairs(sketches, threshold), "edges")
     return nodes, members, sketches, edges

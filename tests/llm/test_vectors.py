@@ -71,6 +71,32 @@ def test_pairs_of_clusters(spark, rows, near, monkeypatch, one_cell, block):
     assert set(got) == set(near)
 
 
+def isolated_pairs(rng, n, d):
+    """n pairs at cosine 0.90 to 0.92 that are far from all others."""
+    x, y = (graph.unit_rows(rng.normal(size=(n, d))) for _ in range(2))
+    y = graph.unit_rows(y - (x * y).sum(axis=1, keepdims=True) * x)
+    c = rng.uniform(0.9001, 0.92, (n, 1))
+    return x, c * x + np.sqrt(1 - c * c) * y
+
+
+@pytest.mark.parametrize("rows,width,digits", [(2_000, 48, 1), (90_000, 64, 1), (100_000, 48, 2), (300_000, 128, 2)])
+def test_isolated_pairs_share_a_cell(rows, width, digits):
+    plan = graph.plan_hashes(rows, width, 0.9)
+    assert plan.digits == digits
+    x, y = (graph._cells(v.astype(np.float32), plan, 5)[0] for v in isolated_pairs(np.random.default_rng(3), 4000, width))
+    assert (x == y).any(axis=1).mean() >= 0.998
+
+
+@pytest.mark.parametrize("cell_rows", [1024, 16], ids=["one-digit", "two-digits"])
+def test_isolated_pairs_are_found(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(graph, "CELL_ROWS", cell_rows)
+    x, y = isolated_pairs(np.random.default_rng(4), 1000, 48)
+    data = [("g", f"{i:04d}{side}", v.tolist(), None) for side, vs in (("a", x), ("b", y)) for i, v in enumerate(vs)]
+    got = clusters.similar_pairs(frame(spark, data)).select("id_a", "id_b").collect()
+    assert len(got) == len(set(got)) >= 996
+    assert all(a[:4] == b[:4] for a, b in got)
+
+
 def test_clusters_of_every_vector(spark, rows, near):
     got = {(r["grp"], r["id"]): r for r in clusters.all_clusters(frame(spark, rows)).collect()}
     assert set(got) == {(r[0], r[1]) for r in rows}
