@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from lumenscan.llm import collections as C
 from lumenscan.llm.clusters import all_clusters, similar_pairs
 from lumenscan.llm.leaks import find_leaks
+from lumenscan.llm.lists import nearest_lists
 from lumenscan.llm.mixture import mix
 from lumenscan.llm.neighbours import nearest, search
 from lumenscan.llm.rankwalk import answered_results, rank_items
@@ -65,6 +66,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p4_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar others of every vector of the three collections, however similar."""
+    out = nearest_lists(_p4_vectors(spark, sf_dir), 5)
+    return out.select(
+        F.substring_index("grp", "|", 1).alias("collection"), F.substring_index("grp", "|", -1).alias("part"),
+        "id", "other", F.col("s").alias("similarity"), F.col("rank").cast("long").alias("place"),
+    )
+
+
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar others of every tuple whose id is divisible by 50, by greedy graph search."""
     vectors = C.tuple_vectors(spark, sf_dir)
@@ -163,4 +173,4 @@ WHERE a.id % 50 = 0 AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.9 QUALIF
     "p5_found": f"""WITH {_RESULTS}
 SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_search": p4_search, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_draws": p8_draws, "p8_mix": p8_mix, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_lists": p4_lists, "p4_search": p4_search, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_draws": p8_draws, "p8_mix": p8_mix, "p9_found": p9_found, "p9_corpus": p9_corpus}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenscan.llm import clusters, graph, neighbours
+from lumenscan.llm import clusters, graph, lists, neighbours
 from lumenscan.llm.collections import parsed_vector, usable
 
 SCHEMA = "grp string, id string, vec array<double>, pos array<int>, nid long, s double, rank int"
@@ -151,6 +151,20 @@ def test_nearest(spark, rows, monkeypatch, one_cell, block):
         assert hit >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("chunk", [32_768, 40])
+def test_lists_of_every_vector_whatever_the_similarity(spark, rows, monkeypatch, chunk):
+    monkeypatch.setattr(lists, "CHUNK", chunk)
+    got = {}
+    for r in sorted(lists.nearest_lists(frame(spark, rows), 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["grp"], r["id"]), []).append(r["other"])
+    want = {}
+    for (g, a, b), s in sims(rows).items():
+        want.setdefault((g, a), []).append((-s, b))
+        want.setdefault((g, b), []).append((-s, a))
+    assert got == {key: [b for _, b in sorted(v)[:5]] for key, v in want.items()}
+    assert all(len(v) == 5 for v in got.values())
+
+
 def test_descent_mends_a_poor_graph(spark, rows):
     vectors = frame(spark, rows)
     _, _, sketches, edges = graph.similarity_graph(vectors, 0.9)
