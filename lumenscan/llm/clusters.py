@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenscan.llm.graph import blocks, block_vectors, both_ways, components, exact_edges, large_components, similarity_graph
+from lumenscan.llm.graph import blocks, block_vectors, both_ways, components, large_components, similarity_graph, tile_edges
 from lumenscan.runtime import discard, materialise
 
 INFLATION = 2.0
@@ -143,8 +143,8 @@ def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
     found = blocks(labels, nodes).mapInArrow(lambda it: _solve_blocks(it, threshold), _OUT)
     large = materialise(large_components(labels), "large")
     if not large.isEmpty():
-        # Edges of large components, scored exactly; their clusters and mates come by joins.
-        inner = materialise(exact_edges(edges.join(large.select(F.col("nid").alias("u")), "u", "left_semi"), nodes).filter(F.round("s", 6) >= threshold), "exact")
+        # Large components are compared whole too, in tiles; their clusters and mates come by joins.
+        inner = materialise(tile_edges(large, nodes, threshold), "exact")
         part = materialise(markov_sparse(inner), "sparse")
         label = part.select("nid", "cluster")
         mates = (

@@ -32,6 +32,8 @@ ONE_CELL = 1024
 CELL_ROWS = 1024
 #: Nodes of a component that are solved as one dense block; larger ones by joins.
 BLOCK_NODES = 1024
+#: Nodes of a part of a larger component.
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -332,6 +334,38 @@ def large_components(labels: DataFrame) -> DataFrame:
     return labels.join(sized.select("label"), "label", "left_semi")
 
 
+def tile_edges(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, s): every pair of a component of `large` (nid, label) whose stored vectors reach threshold.
+
+    A component is cut into parts of about TILE nodes; each two parts are
+    compared in one task, so the tasks are bounded and their number is
+    quadratic in the component.
+    """
+    sized = large.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("nid", F.lit(80)), F.col("parts")).cast("int")
+    placed = nodes.select("nid", "vec", "pos").join(large.join(sized, "label").withColumn("part", part), "nid")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    tiles = (
+        placed.withColumn("other", other)
+        .groupBy("label", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+        .agg(F.collect_list(F.struct("nid", "vec", "pos", (F.col("part") > F.col("other")).alias("second"))).alias("m"))
+        .select(F.col("m.nid").alias("nids"), F.col("m.vec").alias("vecs"), F.col("m.pos").alias("poss"), F.col("m.second").alias("second"), (F.col("a") < F.col("b")).alias("two"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (nids, unit), second, two in zip(block_vectors(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                right = np.array(second) if two else np.ones(len(nids), bool)
+                left = ~right if two else right
+                s = np.round(unit[left] @ unit[right].T, 6)
+                i, j = np.nonzero(s >= threshold)
+                u, v, s = nids[left][i], nids[right][j], s[i, j]
+                keep = (u != v) if two else (u < v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[keep]), pa.array(np.maximum(u, v)[keep]), pa.array(s[keep])], ["u", "v", "s"])
+
+    return tiles.mapInArrow(run, "u long, v long, s double")
+
+
 def block_vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(nids, unit vectors in double) of each block of a batch of `blocks`."""
     nids, vecs, poss = batch.column(0), batch.column(1), batch.column(2)

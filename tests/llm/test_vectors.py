@@ -97,6 +97,26 @@ def test_isolated_pairs_are_found(spark, monkeypatch, cell_rows):
     assert all(a[:4] == b[:4] for a, b in got)
 
 
+@pytest.mark.parametrize("tile", [1024, 10], ids=["one-tile", "tiles"])
+def test_large_components_are_compared_whole(spark, rows, near, monkeypatch, tile):
+    """Edges that met in no cell are found again, wherever the component hangs together."""
+    whole = graph.similarity_graph
+
+    def thinned(vectors, threshold):
+        nodes, members, sketches, edges = whole(vectors, threshold)
+        ways = graph.both_ways(edges)
+        least = ways.groupBy("u").agg(F.min("v").alias("v"))  # a star of every clique
+        kept = ways.join(least, ["u", "v"], "left_semi").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "s")
+        return nodes, members, sketches, kept.distinct()
+
+    monkeypatch.setattr(clusters, "similarity_graph", thinned)
+    monkeypatch.setattr(graph, "BLOCK_NODES", 4)
+    monkeypatch.setattr(graph, "TILE", tile)
+    got = [(r["grp"], r["id_a"], r["id_b"]) for r in clusters.similar_pairs(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == set(near)
+
+
 def test_clusters_of_every_vector(spark, rows, near):
     got = {(r["grp"], r["id"]): r for r in clusters.all_clusters(frame(spark, rows)).collect()}
     assert set(got) == {(r[0], r[1]) for r in rows}
