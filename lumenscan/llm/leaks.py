@@ -2,8 +2,8 @@
 
 The index is stored in blocks of documents: for each term of a block the
 documents and positions that hold it. A search starts from the rarest terms of
-each item, aligns their lists by offset, and only where at least two agree it
-reads the other terms' lists and looks for an exact run of words or for most
+each item (all terms of a short one), aligns their lists by offset, and only
+where at least two agree, or the one of an item of one word stands, it reads the other terms' lists and looks for an exact run of words or for most
 of the item's words in order.
 """
 
@@ -96,7 +96,9 @@ def build_index(documents: DataFrame, vocabulary: set[int]) -> DataFrame:
 
 
 def rarest_places(item: np.ndarray, frequency: dict[int, int]) -> np.ndarray:
-    """Places of the rarest term of every stretch of SEED_STRETCH words."""
+    """Places of the rarest term of every stretch of SEED_STRETCH words; all of an item shorter than RUN_WORDS."""
+    if len(item) < RUN_WORDS:
+        return np.arange(len(item))
     f = np.array([frequency.get(int(t), 0) for t in item])
     n = max(1, len(item) - SEED_STRETCH + 1)
     return np.unique([i + int(f[i : i + SEED_STRETCH].argmin()) for i in range(n)])
@@ -142,11 +144,12 @@ def _search_block(term: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.nd
     order = np.lexsort((deltas, who, docs))
     who, docs, deltas, places = who[order], docs[order], deltas[order], places[order]
     near = (who[1:] == who[:-1]) & (docs[1:] == docs[:-1]) & (deltas[1:] - deltas[:-1] <= BAND) & (places[1:] != places[:-1])
-    if not near.any():
+    alone = np.array([len(x) == 1 for x in items])[who]  # a single word has one seed
+    if not near.any() and not alone.any():
         return
     linked = (who[1:] == who[:-1]) & (docs[1:] == docs[:-1]) & (deltas[1:] - deltas[:-1] <= BAND)
     group = np.concatenate([[0], np.cumsum(~linked)])
-    chosen = np.unique(group[1:][near])
+    chosen = np.unique(np.concatenate([group[1:][near], group[alone]]))
     first, last = np.searchsorted(group, chosen), np.searchsorted(group, chosen, "right") - 1
     terms = np.repeat(term, np.diff(off))
     order = np.lexsort((pos, doc))
@@ -187,7 +190,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     run: longest run of the item's words; ordered: its words found in order
     within one passage. Items without words are ignored; one shorter than
-    RUN_WORDS must stand there whole. An item given twice is reported for each
+    RUN_WORDS must stand there whole or with PART of its words in order. An item given twice is reported for each
     item_id. No documents or no items: no rows.
     """
     spark = documents.sparkSession

@@ -74,6 +74,23 @@ def test_leaks_in_several_passes_and_empty(spark, corpus, monkeypatch):
     assert leaks.find_leaks(df.limit(0), ev).count() == 0 == leaks.find_leaks(df, ev.limit(0)).count()
 
 
+def test_short_items_are_found_where_they_stand(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["w" + "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5)) for _ in range(400)]
+    docs, items = [], []
+    for n in range(1, 12):
+        for v in range(4):
+            own = [f"q{chr(97 + n)}{chr(97 + v)}{chr(97 + i)}x" for i in range(n)]
+            around = [list(rng.choice(vocabulary, 60)) for _ in range(2)]
+            items.append((len(items), "test", " ".join(own)))
+            docs.append((len(docs), " ".join(around[0] + own + around[1])))
+            docs.append((len(docs), " ".join(around[0] + own[: n // 2] + around[1])))  # half of it is no leak
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, benchmark string, text string")
+    ).collect()}
+    assert got == {(2 * i, i) for i in range(len(items))}
+
+
 def test_words_are_read_past_their_forms():
     assert leaks.words("Thirty-ﬁve [0027] low (12a) tide;\nbel-\nfry ＡＢ") == ["thirtyfive", "low", "tide", "belfry", "ab"]
 
