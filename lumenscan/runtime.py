@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Tables that materialise and others wrote, for cleanup().
+#: Tables that materialise and others wrote, for cleanup(); names of those in the session's catalog, by path.
 _written: list[str] = []
+_named: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -48,9 +49,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set."""
+    """The shared folder of the cluster. Only a local session may go without: it gets a folder of its own."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumenscan-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -85,6 +88,7 @@ def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed") -> Da
     path, name = scratch_path(spark, label), f"{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    _named[path] = name
     out = spark.table(name)
     out._scratch_path = path
     return out
@@ -93,7 +97,7 @@ def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed") -> Da
 def cleanup(spark: SparkSession) -> None:
     """Deletes every table this process wrote to the shared folder. DataFrames over them can no longer be read."""
     while _written:
-        delete_path(spark, _written.pop())
+        _delete(spark, _written.pop())
 
 
 def discard(df: DataFrame) -> None:
@@ -102,7 +106,13 @@ def discard(df: DataFrame) -> None:
     if path:
         if path in _written:
             _written.remove(path)
-        delete_path(df.sparkSession, path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
+    delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
