@@ -1,161 +1,171 @@
 """Clusters of mutually similar vectors by Markov clustering.
 
-The matrix of a similarity graph is squared, inflated and pruned in turn. It
-is block-diagonal by connected components, so components of bounded size are
-squared as dense blocks, many at once, and larger ones by joins of sparse
-entries; both give the same clusters. A column's attractors are the rows it
-ends in; columns with common attractors are one cluster. A member's flow is
-the sum of its row over its cluster: the strongest are the most typical.
+The matrix of a similarity graph is squared, inflated and pruned in turn, as a
+table of sparse entries that is joined with itself. Nothing flows between
+connected components, so each settles by itself, and those of bounded size lie
+together in a partition, where the join needs no shuffle; larger ones are
+joined through shuffles on rows and columns. A column's attractors are the
+rows it ends in; columns with common attractors are one cluster. A member's
+flow is the sum of its row over its cluster: the strongest are the most
+typical.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenscan.llm.graph import blocks, block_vectors, both_ways, components, large_components, similarity_graph, tile_edges
-from lumenscan.runtime import discard, materialise
+from lumenscan.llm.graph import block_edges, blocks, both_ways, cell_forest, components, group_counts, large_components, runs, sketch, tile_edges, to_nodes
+from lumenscan.runtime import discard, materialise, materialise_bucketed
 
 INFLATION = 2.0
 #: Entries below this share of their column's largest are dropped.
 PRUNE = 1e-3
-#: A matrix whose square differs by no more than this share of its largest entry has settled.
-SETTLED = 1e-3
-MAX_ROUNDS = 40
+#: A component whose square differs by no more than this share of its largest entry has settled.
+SETTLED = 1e-4
+#: More rounds than any component has needed; one that has not settled by then is an error, not a result.
+MAX_ROUNDS = 100
 
-_OUT = "nid long, cluster long, flow double, mates array<long>"
+_TOGETHER = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-def markov_dense(weights: np.ndarray, inflation: float = INFLATION) -> tuple[np.ndarray, np.ndarray]:
-    """weights: (b, m, m) symmetric with self loops. Gives (label, flow), each (b, m).
+@contextmanager
+def _joined_where_it_lies(spark: SparkSession) -> Iterator[None]:
+    """Joins on (label, x) of tables that lie by label need no shuffle."""
+    before = spark.conf.get(_TOGETHER)
+    spark.conf.set(_TOGETHER, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TOGETHER, before)
 
-    label is the least position of the cluster's attractors.
-    """
-    m = weights / weights.sum(axis=1, keepdims=True)
-    for _ in range(MAX_ROUNDS):
-        square = m @ m
-        still = np.abs(square - m).max() <= SETTLED * m.max()
-        m = square**inflation
-        m[m < PRUNE * m.max(axis=1, keepdims=True)] = 0
-        m /= m.sum(axis=1, keepdims=True)
-        if still:
-            break
-    ends = m > 0
-    label = ends.argmax(axis=1)
-    n = m.shape[1]
-    for _ in range(n):  # columns whose attractors overlap share the least label
-        per_row = np.where(ends, label[:, None, :], n).min(axis=2)
-        new = np.where(ends, per_row[:, :, None], n).min(axis=1)
-        if (new == label).all():
-            break
-        label = new
-    return label, m.sum(axis=2)
-
-
-def _solve_blocks(batch_iter: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batch_iter:
-        by_size: dict[int, list] = defaultdict(list)
-        for nids, unit in block_vectors(batch):
-            at = np.argsort(nids)
-            unit = unit[at]
-            by_size[len(nids)].append((nids[at], np.round(unit @ unit.T, 6)))
-        for m, group in by_size.items():
-            step = max(1, 2_000_000 // (m * m))
-            for k in range(0, len(group), step):
-                part = group[k : k + step]
-                s = np.stack([x[1] for x in part])
-                weights = np.where(s >= threshold, s, 0.0)
-                weights[:, np.arange(m), np.arange(m)] = 1.0
-                label, flow = markov_dense(weights)
-                ids = np.stack([x[0] for x in part])
-                mate = (label[:, :, None] == label[:, None, :]) & (s >= threshold) & np.triu(np.ones((m, m), bool), 1)
-                counts = mate.sum(axis=2).ravel()
-                b, _, j = np.nonzero(mate)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids.ravel()),
-                        pa.array(np.take_along_axis(ids, label, 1).ravel()),
-                        pa.array(flow.ravel()),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids[b, j])),
-                    ],
-                    ["nid", "cluster", "flow", "mates"],
-                )
-
-
-def markov_sparse(edges: DataFrame, inflation: float = INFLATION) -> DataFrame:
-    """(nid, cluster, flow) of the graph (u, v, s), u < v or any one direction.
-
-    The matrix is a table of entries (col, row, p); squaring is a join of its
-    rows with its columns and a sum, aggregated before the shuffle.
+
+def markov_sparse(edges: DataFrame, together: bool = True, inflation: float = INFLATION) -> DataFrame:
+    """(label, nid, cluster, flow) of the graph (label, u, v, s), u < v, label naming connected components.
+
+    The matrix is a table of entries (label, col, row, p). A round joins its
+    rows with its columns, sums, inflates and prunes; components that have
+    settled leave. together: the components are of bounded size and each lies
+    in one partition; otherwise rows and columns are shuffled. Both give the
+    same numbers but for the order of sums.
     """
-    def normal(df: DataFrame) -> DataFrame:
-        total = df.groupBy("col").agg(F.sum("p").alias("t"))
-        return df.join(total, "col").select("col", "row", (F.col("p") / F.col("t")).alias("p"))
-
-    ways = both_ways(edges)
-    loops = ways.select("u").distinct().select(F.col("u").alias("col"), F.col("u").alias("row"), F.lit(1.0).alias("p"))
-    m = materialise(normal(ways.select(F.col("u").alias("col"), F.col("v").alias("row"), F.col("s").alias("p")).union(loops)), "mcl")
-    for _ in range(MAX_ROUNDS):
-        through = m.select(F.col("col").alias("mid"), F.col("row").alias("to"), F.col("p").alias("q"))
-        square = m.join(through, m["row"] == through["mid"]).groupBy("col", F.col("to").alias("row")).agg(F.sum(F.col("p") * F.col("q")).alias("x"))
-        square = materialise(square.join(m.withColumnRenamed("p", "old"), ["col", "row"], "left"), "mcl2")
-        change, peak = square.agg(F.max(F.abs(F.col("x") - F.coalesce("old", F.lit(0.0)))), F.max("old")).first()
-        inflated = square.select("col", "row", F.pow("x", inflation).alias("p"))
-        top = inflated.groupBy("col").agg(F.max("p").alias("top"))
-        kept = inflated.join(top, "col").filter(F.col("p") >= PRUNE * F.col("top")).select("col", "row", "p")
-        new = materialise(normal(kept), "mcl")
-        discard(m)
-        discard(square)
-        m = new
-        if change is None or change <= SETTLED * peak:
-            break
-    # Columns meet in their attractors: components of the graph between columns and rows.
-    ends = m.select(F.col("col").alias("u"), F.col("row").alias("v"), F.lit(1.0).alias("s"))
-    label = components(ends)
-    attractor = m.join(label, m["row"] == label["nid"]).groupBy("label").agg(F.min("row").alias("cluster"))
-    flow = m.groupBy("row").agg(F.sum("p").alias("flow"))
-    cols = m.select("col").distinct()
+    spark = edges.sparkSession
+    key = "label" if together else "col"
+
+    def placed(df: DataFrame, name: str, lies: bool) -> DataFrame:
+        return materialise_bucketed(df, key, name, placed=lies and together)
+
+    column = W.partitionBy("label", "col")
+    ways = both_ways(edges.select("u", "v", "label", "s")).select("label", F.col("u").alias("col"), F.col("v").alias("row"), F.col("s").alias("p"))
+    loops = ways.select("label", "col").distinct().select("label", "col", F.col("col").alias("row"), F.lit(1.0).alias("p"))
+    first = materialise_bucketed(ways.union(loops), key, "mcl")
+    done, settled = [], F.col("change") <= SETTLED * F.col("peak")
+    with _joined_where_it_lies(spark):
+        m = placed(first.withColumn("p", F.col("p") / F.sum("p").over(column)), "mcl", True)
+        discard(first)
+        for _ in range(MAX_ROUNDS):
+            through = m.select("label", F.col("col").alias("mid"), F.col("row").alias("to"), F.col("p").alias("q"))
+            flows = m.select("label", F.col("row").alias("mid"), "col", "p").join(through, ["label", "mid"])
+            square = flows.groupBy("label", "col", F.col("to").alias("row")).agg(F.sum(F.col("p") * F.col("q")).alias("x"))
+            square = placed(square.join(m.withColumnRenamed("p", "old"), ["label", "col", "row"], "left"), "square", True)
+            state = square.groupBy("label").agg(F.max(F.abs(F.col("x") - F.coalesce("old", F.lit(0.0)))).alias("change"), F.max("x").alias("peak"))
+            inflated = square.withColumn("p", F.pow("x", inflation)).withColumn("top", F.max("p").over(column)).filter(F.col("p") >= PRUNE * F.col("top"))
+            normal = inflated.withColumn("p", F.col("p") / F.sum("p").over(column)).select("label", "col", "row", "p")
+            step = placed(normal.join(state, "label").withColumn("settled", settled).select("label", "col", "row", "p", "settled"), "mcl", True)
+            discard(m)
+            discard(square)
+            done.append(step.filter("settled").select("label", "col", "row", "p"))
+            m = step.filter(~F.col("settled")).select("label", "col", "row", "p")
+            if m.isEmpty():
+                break
+        else:
+            raise RuntimeError(f"a component has not settled in {MAX_ROUNDS} rounds")
+    ends = reduce(DataFrame.union, done)
+    return _attractors(ends) if together else _far_attractors(ends)
+
+
+def _attractors(ends: DataFrame) -> DataFrame:
+    """Clusters of settled entries, component by component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            label, col, row, p = (t.column(c).to_numpy() for c in ("label", "col", "row", "p"))
+            nid, at = np.unique(np.concatenate([col, row]), return_inverse=True)
+            c, r = at[: len(col)], at[len(col) :]
+            low = np.arange(len(nid))
+            while True:  # columns with a common attractor meet in their least node
+                least = np.minimum(low[c], low[r])
+                if (least == low[c]).all() and (least == low[r]).all():
+                    break
+                np.minimum.at(low, c, least)
+                np.minimum.at(low, r, least)
+            # The least attractor names the cluster.
+            name = np.full(len(nid), len(nid))
+            np.minimum.at(name, low[r], r)
+            where = np.empty(len(nid), np.int64)
+            where[c] = label
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(nid), pa.array(nid[name[low]]), pa.array(np.bincount(r, p, minlength=len(nid)))], ["label", "nid", "cluster", "flow"])
+
+    n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ends.repartition(n, "label").sortWithinPartitions("label").mapInArrow(run, "label long, nid long, cluster long, flow double")
+
+
+def _far_attractors(ends: DataFrame) -> DataFrame:
+    """The same for components of any size, by joins."""
+    ends = materialise(ends, "ends")
+    near = components(ends.select(F.col("col").alias("u"), F.col("row").alias("v")))
+    attractor = ends.join(near, ends["row"] == near["nid"]).groupBy(near["label"].alias("met")).agg(F.min("row").alias("cluster"))
+    flow = ends.groupBy("row").agg(F.sum("p").alias("flow"))
+    cols = ends.select("label", "col").distinct()
     return (
-        cols.join(label, cols["col"] == label["nid"]).join(attractor, "label")
+        cols.join(near.select("nid", F.col("label").alias("met")), F.col("col") == F.col("nid")).join(attractor, "met")
         .join(flow, F.col("nid") == F.col("row"), "left")
-        .select("nid", "cluster", F.coalesce("flow", F.lit(0.0)).alias("flow"))
+        .select("label", "nid", "cluster", F.coalesce("flow", F.lit(0.0)).alias("flow"))
     )
 
 
-def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(assignment, members) of a collection (grp, id, vec, pos).
+def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, links, members) of a collection (grp, id, vec, pos).
 
-    assignment: nid, grp, cluster, flow, mates. Every distinct vector has one
-    row; one without a similar other is a cluster of its own. mates are the
-    cluster's other vectors at threshold or above with a larger nid. members:
-    nid, id, grp. Repeated rows count once, equal vectors are one nid with
-    several members. An empty collection gives empty tables.
+    clusters: nid, cluster, flow of every distinct vector that has a similar
+    other; the rest are clusters of their own. links: u, v, s, u < v, the pairs
+    of a cluster that reach threshold. members: nid, id, grp. Repeated rows
+    count once, equal vectors are one nid with several members. An empty
+    collection gives empty tables.
     """
-    nodes, members, sketches, edges = similarity_graph(vectors, threshold)
+    nodes, members = to_nodes(vectors)
+    sketches = materialise(sketch(nodes, group_counts(nodes), threshold), "sketches")
+    forest = materialise(cell_forest(sketches, threshold), "forest")
     discard(sketches)
-    labels = components(edges)
-    found = blocks(labels, nodes).mapInArrow(lambda it: _solve_blocks(it, threshold), _OUT)
+    labels = materialise(components(forest), "components")
+    discard(forest)
+    small = materialise_bucketed(block_edges(blocks(labels, nodes), threshold), "label", "links")
+    with _joined_where_it_lies(nodes.sparkSession):
+        found = materialise_bucketed(markov_sparse(small), "label", "clusters", placed=True)
+        links = _within(small, found)
     large = materialise(large_components(labels), "large")
     if not large.isEmpty():
-        # Large components are compared whole too, in tiles; their clusters and mates come by joins.
-        inner = materialise(tile_edges(large, nodes, threshold), "exact")
-        part = materialise(markov_sparse(inner), "sparse")
-        label = part.select("nid", "cluster")
-        mates = (
-            both_ways(inner).filter("u < v")
-            .join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v").filter("cu = cv")
-            .groupBy(F.col("u").alias("nid")).agg(F.collect_list("v").alias("mates"))
-        )
-        alone = large.join(part, "nid", "left_anti").select("nid", F.col("nid").alias("cluster"), F.lit(1.0).alias("flow"))
-        solved = part.unionByName(alone).join(mates, "nid", "left").select("nid", "cluster", "flow", F.coalesce("mates", F.array().cast("array<long>")).alias("mates"))
-        found = found.union(solved)
-    return materialise(found, "clusters"), members
+        # Large components are compared whole too, in tiles.
+        inner = materialise(tile_edges(large, nodes, threshold), "links")
+        part = materialise(markov_sparse(inner, together=False), "clusters")
+        links = materialise(links.union(_within(inner, part)), "links")
+        found = materialise(found.union(part), "clusters")
+    return found.select("nid", "cluster", "flow"), links, members
+
+
+def _within(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges whose two ends are in one cluster."""
+    u = found.select("label", F.col("nid").alias("u"), F.col("cluster").alias("cu"))
+    v = found.select("label", F.col("nid").alias("v"), F.col("cluster").alias("cv"))
+    kept = edges.join(u, ["label", "u"]).join(v, ["label", "v"]).filter("cu = cv").select("u", "v", "s")
+    return materialise(kept, "links")
 
 
 def all_clusters(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -164,8 +174,8 @@ def all_clusters(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     cluster is the smallest id of the cluster, size its number of ids, typical
     the rank of a member by flow (ties to the smaller id).
     """
-    found, members = markov_clusters(vectors, threshold)
-    base = members.join(found.select("nid", "cluster", "flow"), "nid", "left").select(
+    found, _, members = markov_clusters(vectors, threshold)
+    base = members.join(found, "nid", "left").select(
         "grp", "id", F.coalesce("cluster", "nid").alias("c"), F.coalesce("flow", F.lit(1.0)).alias("flow")
     )
     sizes = base.groupBy("c").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("size"))
@@ -179,9 +189,9 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     Pairs come from the clusters; the cosine of the stored vectors, rounded to
     six decimals, is checked exactly. Copies of one vector are pairs too.
     """
-    found, members = markov_clusters(vectors, threshold)
+    _, links, members = markov_clusters(vectors, threshold)
     ids = members.select("nid", "id", "grp")
-    mates = found.select("nid", F.explode("mates").alias("mate"))
+    mates = links.select(F.col("u").alias("nid"), F.col("v").alias("mate"))
     across = (
         mates.join(ids, "nid").select("mate", "grp", F.col("id").alias("a"))
         .join(ids.select(F.col("nid").alias("mate"), F.col("id").alias("b")), "mate").select("grp", "a", "b")

@@ -3,8 +3,7 @@
 Exact copies are one node. A node's sketch is its unit vector in bytes (of a
 random projection, if the vector is sparse). Nodes meet in the cells of
 cross-polytope hashes: rotate the vector, take the axis it lies closest to.
-Only pairs that share a cell are compared, in blocks, inside one task; a pair
-is written by the first table in which it meets.
+Sketches only propose; what is reported is computed from the stored vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +22,16 @@ from lumenscan.runtime import discard, materialise, materialise_bucketed
 
 #: Width of the projection of sparse vectors, and of every sketch at most.
 SPARSE_WIDTH = 128
-#: How far a sketch's cosine may lie below the true one (dense: rounding to bytes; sparse: projection).
-DENSE_MARGIN, SPARSE_MARGIN = 0.03, 0.12
-#: Groups up to this size form a single cell, in which every pair is compared.
-ONE_CELL = 1024
-#: Rows a cell should hold on average; more digits are hashed until it does.
+#: How far a sketch's cosine may lie below the true one (dense: rounding to bytes, one deviation
+#: is about 0.001; sparse: projection, one deviation is 0.017 at a cosine of 0.9).
+DENSE_MARGIN, SPARSE_MARGIN = 0.01, 0.12
+#: Rows a cell should hold on average; digits are hashed until it does, none in a group that is no larger.
 CELL_ROWS = 1024
-#: Nodes of a component that are solved as one dense block; larger ones by joins.
+#: Rows of a cell that are compared with each other at once.
+BLOCK = 2048
+#: Nodes of a component that are solved as one block; the matrix of a larger one is compared in tiles and squared by shuffled joins.
 BLOCK_NODES = 1024
-#: Nodes of a part of a larger component.
+#: Nodes of a part of a larger component, and of a larger cell.
 TILE = 1024
 
 
@@ -58,11 +57,11 @@ def agreement(cosine: float, width: int) -> float:
     return same / 40_000
 
 
-def plan_hashes(rows: int, width: int, cosine: float, miss: float = 0.001, one_cell: int = ONE_CELL, cell_rows: int = CELL_ROWS) -> HashPlan:
-    """cosine: the least at which pairs are sought."""
-    if rows <= one_cell:
+def plan_hashes(rows: int, width: int, cosine: float, miss: float = 0.001, cell_rows: int = CELL_ROWS) -> HashPlan:
+    """cosine: the least at which pairs are sought. A group of up to cell_rows is one cell."""
+    digits = max(0, math.ceil(math.log(max(rows, 1) / cell_rows) / math.log(2 * width)))
+    if not digits:
         return HashPlan(0, 1)
-    digits = max(1, math.ceil(math.log(rows / cell_rows) / math.log(2 * width)))
     return HashPlan(digits, math.ceil(math.log(miss) / math.log(1 - agreement(cosine, width) ** digits)))
 
 
@@ -87,89 +86,89 @@ def _project(pos: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return np.add.reduceat(rows * data[:, None].astype(np.float32), offsets[:-1], axis=0)
 
 
-def unit_rows(x: np.ndarray) -> np.ndarray:
-    """Rows at length one; scaled first, so that extreme values do not overflow."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def _cells(unit: np.ndarray, plan: HashPlan, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, digits): a cell for each table, and the digits it is made of in as few bytes as hold them."""
+def _cells(unit: np.ndarray, plan: HashPlan, seed: int) -> np.ndarray:
+    """A cell for each row and table."""
     n, width = unit.shape
     out = np.empty((n, plan.tables), np.int64)
-    digits = np.empty((n, plan.tables, plan.digits), _digit_type(width))
     for t in range(plan.tables):
         code = np.full(n, ((seed * 1_000_003 + width) * 10_007 + t * 7919) & 0x7FFFFFFFFFFF, np.int64)
         for d in range(plan.digits):
             turned = unit @ _rotation(width, t, d)
             axis = np.abs(turned).argmax(1)
-            digit = axis * 2 + (turned[np.arange(n), axis] > 0)
-            digits[:, t, d] = digit
-            code = code * 1_315_423_911 + digit + 1
+            code = code * 1_315_423_911 + axis * 2 + (turned[np.arange(n), axis] > 0) + 1
         out[:, t] = code
-    return out, digits
-
-
-def _digit_type(width: int) -> type:
-    return np.uint8 if width <= 128 else np.uint32
+    return out
 
 
 def to_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: nid, grp, vec, pos), (members: nid, id), both written out.
+    """(nodes: nid, grp, vec, pos), (members: nid, id, grp), both written out; nodes lie in buckets of nid.
 
     Equal vectors of a group are one node, whichever rows hold them; repeated
-    rows leave one member.
+    rows leave one member. A nid is a hash; should two different vectors share
+    one, which a second hash tells, all are numbered anew.
     """
-    keyed = vectors.withColumn("nid", F.xxhash64("grp", "vec", "pos"))
-    members = materialise(keyed.select("nid", "id", "grp").distinct(), "members")
-    nodes = keyed.groupBy("nid").agg(F.first("grp").alias("grp"), F.first("vec").alias("vec"), F.first("pos").alias("pos"))
-    return materialise_bucketed(nodes, "nid", "nodes"), members
-
-
-def sketch(nodes: DataFrame, counts: dict[str, int], threshold: float) -> DataFrame:
-    """(nid, slack, sketch, digits, cells): slack is what the sketch's cosine may fall short by.
-
-    Pairs at `threshold` or above are to share a cell. Cells of sparse vectors
-    are planned for two deviations of the projection less.
+    for seed in range(4):
+        nid, check = F.xxhash64(F.lit(seed), "grp", "vec", "pos"), F.hash(F.lit(seed), "grp", "vec", "pos")
+        keyed = materialise(vectors.select(nid.alias("nid"), check.alias("check"), "id", "grp", "vec", "pos"), "keyed")
+        first = [F.first(c).alias(c) for c in ("grp", "vec", "pos")]
+        nodes = materialise_bucketed(keyed.groupBy("nid").agg(*first, F.min("check").alias("low"), F.max("check").alias("high")), "nid", "nodes")
+        if nodes.filter("low <> high").isEmpty():
+            members = materialise(keyed.select("nid", "id", "grp").distinct(), "members")
+            discard(keyed)
+            return nodes, members
+        discard(nodes)
+        discard(keyed)
+    raise RuntimeError("different vectors kept sharing a hash")
+
+
+def sketch(nodes: DataFrame, counts: dict[str, int], threshold: float, miss: float = 0.001, company: int = 0) -> DataFrame:
+    """(nid, slack, sketch, cells): slack is what the sketch's cosine may fall short by.
+
+    Pairs at `threshold` or above are to share a cell, but for a share of about
+    `miss`. Cells of sparse vectors are planned for two deviations of the
+    projection less. With `company`, every node is in a random cell of about
+    so many besides.
     """
-    one_cell, cell_rows = ONE_CELL, CELL_ROWS
+    cell_rows = CELL_ROWS
     cosine = {True: threshold, False: threshold - 2 * (1 - threshold**2) / math.sqrt(SPARSE_WIDTH)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grp = np.asarray(batch.column(1).to_pylist(), object)
+            grp = batch.column(1).dictionary_encode()
+            names, grp = grp.dictionary.to_pylist(), grp.indices.to_numpy()
             vec, pos = batch.column(2), batch.column(3)
             off = vec.offsets.to_numpy().astype(np.int64)
             values = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            nids, size, dense = batch.column(0).to_numpy(), np.diff(off), ~pos.is_valid().to_numpy(zero_copy_only=False)
-            for g in dict.fromkeys(grp):
-                for kind, n in dict.fromkeys(zip(dense[grp == g], np.where(dense, size, 0)[grp == g])):
-                    at = np.flatnonzero((grp == g) & (dense == kind) & ((size == n) | ~kind))
-                    if kind:
-                        unit = unit_rows(values[off[at][:, None] + np.arange(n)]).astype(np.float32)
-                    else:
-                        take = np.concatenate([np.arange(off[i], off[i + 1]) for i in at])
-                        bounds = np.concatenate([[0], np.cumsum(size[at])])
-                        p = pos.values.to_numpy()[_list_index(pos, at)]
-                        scale = np.repeat([np.abs(values[off[i] : off[i + 1]]).max() for i in at], size[at])
-                        unit = unit_rows(_project(p, values[take] / scale, bounds).astype(np.float64)).astype(np.float32)
-                    plan = plan_hashes(counts[g], unit.shape[1], cosine[bool(kind)], one_cell=one_cell, cell_rows=cell_rows)
-                    cells, digits = _cells(unit, plan, _seed(g))
-                    head = np.full((len(at), 1), plan.digits, np.uint8)
-                    peak = np.abs(unit).max(axis=1, keepdims=True)
-                    code = np.rint(unit / peak * 127).astype(np.int8)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(nids[at]),
-                            pa.array(np.full(len(at), DENSE_MARGIN if kind else SPARSE_MARGIN, np.float32)),
-                            _binary(code),
-                            _binary(np.hstack([head, digits.reshape(len(at), -1).view(np.uint8)])),
-                            pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel())),
-                        ],
-                        ["nid", "slack", "sketch", "digits", "cells"],
-                    )
-
-    return nodes.select("nid", "grp", "vec", "pos").mapInArrow(run, "nid long, slack float, sketch binary, digits binary, cells array<long>")
+            nids, size, dense = batch.column(0).to_numpy(), np.diff(off), pos.is_null().to_numpy(zero_copy_only=False)
+            kinds = np.where(dense, size, -1)
+            for g, n in dict.fromkeys(zip(grp.tolist(), kinds.tolist())):
+                at = np.flatnonzero((grp == g) & (kinds == n))
+                if n >= 0:
+                    unit = unit_rows(values[off[at][:, None] + np.arange(n)]).astype(np.float32)
+                else:
+                    ends = np.concatenate([[0], np.cumsum(size[at])])
+                    step = np.repeat(off[at] - ends[:-1], size[at]) + np.arange(ends[-1])
+                    p = pos.values.to_numpy(zero_copy_only=False)[np.repeat(pos.offsets.to_numpy()[at] - ends[:-1], size[at]) + np.arange(ends[-1])].astype(np.int64)
+                    own = values[step]
+                    own = own / np.repeat(np.maximum.reduceat(np.abs(own), ends[:-1]), size[at])
+                    unit = unit_rows(_project(p, own, ends).astype(np.float64)).astype(np.float32)
+                plan = plan_hashes(counts[names[g]], unit.shape[1], cosine[n >= 0], miss, cell_rows)
+                cells = _cells(unit, plan, _seed(names[g]))
+                if company and plan.digits:
+                    parts = -(-counts[names[g]] // company)
+                    cells = np.hstack([cells, (nids[at] % parts * 2_654_435_761 + _seed(names[g]) * 31 + 17)[:, None]])
+                peak = np.abs(unit).max(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(nids[at]),
+                        pa.array(np.full(len(at), DENSE_MARGIN if n >= 0 else SPARSE_MARGIN, np.float32)),
+                        _binary(np.rint(unit / peak * 127).astype(np.int8)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel())),
+                    ],
+                    ["nid", "slack", "sketch", "cells"],
+                )
+
+    return nodes.select("nid", "grp", "vec", "pos").mapInArrow(run, "nid long, slack float, sketch binary, cells array<long>")
 
 
 def _seed(group: str) -> int:
@@ -179,122 +178,191 @@ def _seed(group: str) -> int:
     return h
 
 
-def _list_index(lists: pa.Array, at: np.ndarray) -> np.ndarray:
-    off = lists.offsets.to_numpy()
-    return np.concatenate([np.arange(off[i], off[i + 1]) for i in at])
-
-
 def _binary(code: np.ndarray) -> pa.Array:
     n, w = code.shape
-    offsets = np.arange(0, n * w + 1, w, dtype=np.int32)
+    width = w * code.itemsize
+    offsets = np.arange(0, n * width + 1, width, dtype=np.int32)
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(code))])
 
 
-def decode(column: pa.Array, rows: np.ndarray | None = None) -> np.ndarray:
-    """Unit rows of sketches that all have the same width."""
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a binary column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.int8)[off[0] : off[-1]]
-    x = raw.reshape(len(column), -1).astype(np.float32)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return off, np.frombuffer(column.buffers()[2], np.int8) if column.buffers()[2] else np.empty(0, np.int8)
+
 
+def by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of sketches, apart by width (groups of different width share a batch)."""
+    off, raw = _raw(column)
+    width = np.diff(off)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        x = raw[off[at][:, None] + np.arange(w)].astype(np.float32)
+        yield at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-def _block_pairs(cell: np.ndarray, table: np.ndarray, digits: np.ndarray, unit: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the block that share `cell`, reach `floor` and did not meet in an earlier table."""
-    found = []
-    n = len(cell)
-    for a in range(0, n, 2048):
-        for b in range(a, n, 2048):
-            s = unit[a : a + 2048] @ unit[b : b + 2048].T
-            i, j = np.nonzero(s >= floor[a : a + 2048, None])
-            score = s[i, j]
-            i, j = i + a, j + b
-            ok = (i < j) & (cell[i] == cell[j])
-            i, j, score = i[ok], j[ok], score[ok]
-            earlier = np.zeros(len(i), bool)
-            for t in range(table.max() if len(table) else 0):
-                earlier |= (t < table[i]) & (digits[i, t] == digits[j, t]).all(axis=1)
-            found.append((i[~earlier], j[~earlier], score[~earlier]))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def cell_pairs(sketches: DataFrame, floor: float) -> DataFrame:
-    """(u, v, s): every pair that shares a cell and whose sketches reach floor - slack."""
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 1, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole runs of the first `key` columns; a run of more than `rows` comes in pieces."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(t.num_rows, bool)
+        for c in t.columns[:key]:
+            c = c.to_numpy()
+            same &= c == c[-1]
+        last = int(np.flatnonzero(same)[0])
+        if last:
+            yield t.slice(0, last).combine_chunks()
+            t = t.slice(last)
+            held, n = t.to_batches(), t.num_rows
+        else:
+            yield t
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def cell_blocks(cell: np.ndarray, small: int = 384) -> Iterator[tuple[int, int]]:
+    """Rows to compare at once: several small cells or up to BLOCK rows of one."""
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    ends = np.append(starts[1:], len(cell))
+    k = 0
+    while k < len(starts):
+        a = starts[k]
+        while k + 1 < len(starts) and ends[k + 1] - a <= small:
+            k += 1
+        for b in range(a, ends[k], BLOCK):
+            yield b, min(b + BLOCK, ends[k])
+        k += 1
+
+
+def cell_rows(sketches: DataFrame) -> DataFrame:
+    """(cell, t, nid, slack, sketch, parts): a row for each table; parts is above 1 for cells of more than BLOCK rows."""
+    cells = sketches.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    large = materialise(cells.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "cells")
+    rows = sketches.select(F.posexplode("cells").alias("t", "cell"), "nid", "slack", "sketch")
+    if large.isEmpty():
+        return rows.select("cell", "t", "nid", "slack", "sketch", F.lit(1).alias("parts"))
+    return rows.join(large, "cell", "left").select("cell", "t", "nid", "slack", "sketch", F.coalesce("parts", F.lit(1)).alias("parts"))
+
+
+def spread_cells(sketches: DataFrame) -> DataFrame:
+    """(cell, part, nid, slack, sketch): cells whole in a task, large ones in random parts, other parts in every table."""
+    n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("nid", "t"), F.col("parts")).cast("int")
+    rows = cell_rows(sketches).select("cell", part.alias("part"), "nid", "slack", "sketch")
+    return rows.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "nid")
+
+
+def cell_forest(sketches: DataFrame, floor: float) -> DataFrame:
+    """(u, v): links that join, within each cell, the nodes whose sketches reach floor - slack.
+
+    A link for each node joined is written, not each pair. A cell of more than
+    BLOCK rows is cut into parts of about TILE, and every two parts are
+    compared in one task.
+    """
+    placed = cell_rows(sketches).withColumn("part", F.pmod(F.xxhash64("nid", F.lit(81)), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = placed.select("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "nid", "slack", "sketch")
+    tiles = tiles.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "nid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            cell, table, nid = (t.column(c).to_numpy() for c in ("cell", "t", "nid"))
-            digits = t.column("digits")
-            sizes = pc.binary_length(digits).to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            ends = np.append(starts[1:], len(cell))
-            k = 0
+        for t in runs(batches, 3):
+            cell, a, b, nid, slack = (t.column(c).to_numpy() for c in ("cell", "a", "b", "nid", "slack"))
+            key = np.cumsum(np.concatenate([[True], (cell[1:] != cell[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            sketched = t.column("sketch").combine_chunks()
+            sketched = sketched.chunk(0) if isinstance(sketched, pa.ChunkedArray) else sketched
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            us, vs, k = [], [], 0
             while k < len(starts):
-                a = starts[k]
-                while k + 1 < len(starts) and ends[k + 1] - a <= 384 and sizes[starts[k + 1]] == sizes[a]:
+                p = starts[k]
+                while k + 1 < len(starts) and ends[k + 1] - p <= 384:
                     k += 1
                 z = ends[k]
                 k += 1
-                if z - a < 2:
+                if z - p < 2:
                     continue
-                w = t.column("sketch").slice(a, z - a)
-                for at, unit in _by_width(w):
-                    ds = _digits(digits.slice(a, z - a), at, unit.shape[1])
-                    i, j, s = _block_pairs(cell[a:z][at], table[a:z][at], ds, unit, floor - t.column("slack").to_numpy()[a:z][at])
-                    if len(i):
-                        own = nid[a:z][at]
-                        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j]), pa.array(s.astype(np.float32))], ["u", "v", "s"])
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 20_000:
-                continue
-            t = pa.Table.from_batches(held)
-            cell = t.column("cell").to_numpy()
-            last = int(np.searchsorted(cell, cell[-1]))  # sorted: the last cell may go on
-            if last:
-                yield from emit(t.slice(0, last))
-                t = t.slice(last)
-            held, rows = t.to_batches(), 0
-        if held:
-            yield from emit(pa.Table.from_batches(held))
-
-    spread = sketches.select("nid", "slack", "sketch", "digits", F.posexplode("cells").alias("t", "cell"))
-    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, s float")
-
-
-def _digits(column: pa.ChunkedArray, rows: np.ndarray, width: int) -> np.ndarray:
-    """(row, table, digit) of rows of one width and number of tables."""
-    raw = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
-    own = np.ascontiguousarray(raw[:, 1:]).view(_digit_type(width))
-    return own.reshape(len(rows), -1, raw[0, 0]) if raw[0, 0] else np.empty((len(rows), 1, 0), np.uint8)
-
-
-def _by_width(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A block's sketches, apart by width (cells of different groups share a block)."""
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-    width = np.diff(off)
-    if (width == width[0]).all():
-        yield np.arange(len(c)), decode(c)
-        return
-    raw = np.frombuffer(c.buffers()[2], np.int8)
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        x = raw[off[at][:, None] + np.arange(w)].astype(np.float32)
-        yield at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                for at, unit in by_width(sketched.slice(p, z - p)):
+                    s = unit @ unit.T
+                    i, j = np.nonzero(s >= (floor - slack[p:z][at])[:, None])
+                    ok = (i < j) & (key[p:z][at][i] == key[p:z][at][j])
+                    i, j = i[ok], j[ok]
+                    root = np.arange(len(at))
+                    while len(i):
+                        low = np.minimum(root[i], root[j])
+                        if (low == root[i]).all() and (low == root[j]).all():
+                            break
+                        np.minimum.at(root, i, low)
+                        np.minimum.at(root, j, low)
+                    own = nid[p:z][at]
+                    joined = np.flatnonzero(root != np.arange(len(at)))
+                    us.append(own[root[joined]])
+                    vs.append(own[joined])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return tiles.mapInArrow(run, "u long, v long").distinct()
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled first, so that extreme values do not overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def pair_cosines(vec: pa.ListArray, pos: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines, rounded to six decimals, of rows i with rows j of (vec, pos): two of a pair have the same form."""
+    out = np.zeros(len(i))
+    off = vec.offsets.to_numpy().astype(np.int64)
+    size = np.diff(off)
+    values = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    dense = pos.is_null().to_numpy(zero_copy_only=False)
+    kinds = np.where(dense, size, -1)
+    for n in np.unique(kinds[i]) if len(i) else ():
+        pairs = np.flatnonzero(kinds[i] == n)
+        used, inverse = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        a, b = inverse[: len(pairs)], inverse[len(pairs) :]
+        if n >= 0:
+            unit = unit_rows(values[off[used][:, None] + np.arange(n)])
+            for k in range(0, len(pairs), 50_000):
+                out[pairs[k : k + 50_000]] = np.einsum("ij,ij->i", unit[a[k : k + 50_000]], unit[b[k : k + 50_000]])
+            continue
+        ends = np.concatenate([[0], np.cumsum(size[used])])
+        step = np.arange(ends[-1])
+        x = values[np.repeat(off[used] - ends[:-1], size[used]) + step]
+        x = x / np.repeat(np.maximum.reduceat(np.abs(x), ends[:-1]), size[used])
+        x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, ends[:-1])), size[used])
+        p = pos.values.to_numpy(zero_copy_only=False)[np.repeat(pos.offsets.to_numpy().astype(np.int64)[used] - ends[:-1], size[used]) + step].astype(np.int64)
+        own = size[used]
+        for k in range(0, len(pairs), 20_000):
+            sides = []
+            for rows in (a[k : k + 20_000], b[k : k + 20_000]):
+                n_of = own[rows]
+                first = np.concatenate([[0], np.cumsum(n_of)])
+                at = np.repeat(ends[rows] - first[:-1], n_of) + np.arange(first[-1])
+                sides.append(((np.repeat(np.arange(len(rows)), n_of) << 32) + p[at], x[at], np.repeat(np.arange(len(rows)), n_of)))
+            (ka, xa, ra), (kb, xb, _) = sides
+            hit = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+            same = kb[hit] == ka
+            out[pairs[k : k + 20_000]] = np.bincount(ra[same], xa[same] * xb[hit[same]], minlength=len(a[k : k + 20_000]))
+    return np.round(out, 6)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v", "s").union(edges.select(F.col("v"), F.col("u"), F.col("s"))).toDF("u", "v", "s")
+    """Links (u, v, ...) in either direction."""
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    return edges.select("u", "v", *rest).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *rest))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(nid, label): label is the least nid of the connected component.
 
     Least labels travel along edges and then to the label's own label, so the
@@ -303,7 +371,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = both_ways(edges).select("u", "v")
     labels = materialise(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    for turn in range(max_rounds):
+    turn = 0
+    while True:
         heard = links.join(labels.select(F.col("u").alias("v"), "label"), "v").select("u", "label", F.lit(None).cast("long").alias("own"))
         told = heard.union(labels.select("u", "label", F.col("label").alias("own")))
         step = told.groupBy("u").agg(F.min("label").alias("label"), F.max("own").alias("own"))
@@ -315,6 +384,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = step
         if labels.filter("moved").isEmpty():
             break
+        turn += 1
     return labels.select(F.col("u").alias("nid"), "label")
 
 
@@ -325,17 +395,32 @@ def blocks(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return (
         nodes.select("nid", "vec", "pos").join(inside, "nid")
         .groupBy("label").agg(F.collect_list(F.struct("nid", "vec", "pos")).alias("m"))
-        .select(F.col("m.nid").alias("nids"), F.col("m.vec").alias("vecs"), F.col("m.pos").alias("poss"))
+        .select(F.col("m.nid").alias("nids"), F.col("m.vec").alias("vecs"), F.col("m.pos").alias("poss"), "label")
     )
 
 
+def block_edges(packed: DataFrame, threshold: float) -> DataFrame:
+    """(label, u, v, s), u < v: every pair of a block whose stored vectors reach threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (nids, unit), label in zip(block_vectors(batch), batch.column(3).to_pylist()):
+                s = np.round(unit @ unit.T, 6)
+                i, j = np.nonzero(s >= threshold)
+                keep = nids[i] < nids[j]
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), label)), pa.array(nids[i]), pa.array(nids[j]), pa.array(s[i, j])], ["label", "u", "v", "s"])
+
+    return packed.mapInArrow(run, "label long, u long, v long, s double")
+
+
 def large_components(labels: DataFrame) -> DataFrame:
     sized = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_NODES)
     return labels.join(sized.select("label"), "label", "left_semi")
 
 
 def tile_edges(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, s): every pair of a component of `large` (nid, label) whose stored vectors reach threshold.
+    """(label, u, v, s): every pair of a component of `large` (nid, label) whose stored vectors reach threshold.
 
     A component is cut into parts of about TILE nodes; each two parts are
     compared in one task, so the tasks are bounded and their number is
@@ -349,21 +434,22 @@ def tile_edges(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
         placed.withColumn("other", other)
         .groupBy("label", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
         .agg(F.collect_list(F.struct("nid", "vec", "pos", (F.col("part") > F.col("other")).alias("second"))).alias("m"))
-        .select(F.col("m.nid").alias("nids"), F.col("m.vec").alias("vecs"), F.col("m.pos").alias("poss"), F.col("m.second").alias("second"), (F.col("a") < F.col("b")).alias("two"))
+        .select(F.col("m.nid").alias("nids"), F.col("m.vec").alias("vecs"), F.col("m.pos").alias("poss"), F.col("m.second").alias("second"), (F.col("a") < F.col("b")).alias("two"), "label")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (nids, unit), second, two in zip(block_vectors(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for (nids, unit), second, two, label in zip(block_vectors(batch), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
                 right = np.array(second) if two else np.ones(len(nids), bool)
                 left = ~right if two else right
                 s = np.round(unit[left] @ unit[right].T, 6)
                 i, j = np.nonzero(s >= threshold)
                 u, v, s = nids[left][i], nids[right][j], s[i, j]
                 keep = (u != v) if two else (u < v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[keep]), pa.array(np.maximum(u, v)[keep]), pa.array(s[keep])], ["u", "v", "s"])
+                u, v, s = u[keep], v[keep], s[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), label)), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(s)], ["label", "u", "v", "s"])
 
-    return tiles.mapInArrow(run, "u long, v long, s double")
+    return tiles.mapInArrow(run, "label long, u long, v long, s double")
 
 
 def block_vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -388,37 +474,6 @@ def block_vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarra
         yield ids[a:z], unit_rows(x)
 
 
-def exact_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v, s) with the cosine of the stored vectors, for edges outside any block."""
-    n = nodes.select("nid", "vec", "pos")
-    pairs = edges.select("u", "v").join(n.toDF("u", "vu", "pu"), "u").join(n.toDF("v", "vv", "pv"), "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            scores = []
-            for x, p, y, q in zip(c["vu"], c["pu"], c["vv"], c["pv"]):
-                x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                if p is None:
-                    dot = x @ y
-                else:
-                    _, i, j = np.intersect1d(p, q, return_indices=True)
-                    dot = x[i] @ y[j]
-                scores.append(dot / math.sqrt((x @ x) * (y @ y)))
-            yield pa.RecordBatch.from_arrays([pa.array(c["u"], pa.int64()), pa.array(c["v"], pa.int64()), pa.array(scores, pa.float64())], ["u", "v", "s"])
-
-    return pairs.mapInArrow(run, "u long, v long, s double")
-
-
-def group_counts(members: DataFrame) -> dict[str, int]:
-    """Rows by group. Groups are kinds of vectors (entity, index and block), so their number is small."""
-    return {r["grp"]: r["n"] for r in members.groupBy("grp").agg(F.countDistinct("nid").alias("n")).collect()}
-
-
-def similarity_graph(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(nodes, members, sketches, edges) with every edge whose sketches may reach threshold."""
-    nodes, members = to_nodes(vectors)
-    sketches = materialise(sketch(nodes, group_counts(members), threshold), "sketches")
-    edges = materialise(cell_pairs(sketches, threshold), "edges")
-    return nodes, members, sketches, edges
+def group_counts(nodes: DataFrame) -> dict[str, int]:
+    """Nodes by group. Groups are kinds of vectors (entity, index and block), so their number is small."""
+    return {r["grp"]: r["n"] for r in nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -1,8 +1,9 @@
-"""The k most similar vectors of every vector, whatever their similarity, exactly.
+"""The k most similar vectors, whatever their similarity, exactly: what the neighbour graph is measured against.
 
-The vectors of a group are compared with one chunk of it after another: a chunk
-of bounded size is sent to every task, which keeps the best of it for each of
-its vectors. The work is quadratic in a group; nothing is left out.
+The vectors asked for are compared with one chunk of their group after
+another: a chunk of bounded size is sent to every task, which keeps the best
+of it for each of its vectors. The work is the product of both numbers;
+nothing is left out.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ class Chunk:
         return a + i[rank < k], j[rank < k], c[rank < k]
 
 
-def nearest_lists(vectors: DataFrame, k: int) -> DataFrame:
-    """(grp, id, other, s, rank): the k most similar others of every id in its group.
+def nearest_lists(vectors: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(grp, id, other, s, rank): the k most similar others of every id in its group, or of those in `wanted`.
 
     s is the cosine of the stored vectors rounded to six decimals; ties go to
     the smaller id. A list is shorter only where the group has fewer others.
@@ -101,6 +102,11 @@ def nearest_lists(vectors: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     parted = vectors.withColumn("grp", F.to_json(F.struct("grp", F.when(F.col("pos").isNull(), F.size("vec")).otherwise(-1).alias("n"))))
     nodes, members = to_nodes(parted)
+    asked, own = members, nodes
+    if wanted is not None:
+        ids = wanted.select("id", F.col("grp").alias("g")).distinct()
+        asked = materialise(members.join(ids, (members["id"] == ids["id"]) & (F.get_json_object("grp", "$.grp") == ids["g"]), "left_semi"), "asked")
+        own = materialise(nodes.join(asked.select("nid").distinct(), "nid", "left_semi"), "wanted")
     # Of equal vectors only the k + 1 smallest ids can be in anyone's list.
     smallest = F.row_number().over(W.partitionBy("nid").orderBy("id"))
     heads = materialise(members.withColumn("r", smallest).filter(F.col("r") <= k + 1), "heads")
@@ -110,8 +116,8 @@ def nearest_lists(vectors: DataFrame, k: int) -> DataFrame:
     schema = "nid long, near long, s double"
     spark.createDataFrame([], schema).write.parquet(path)
     for grp, chunk in sorted(tuple(r) for r in placed.select("grp", "chunk").distinct().collect()):
-        own = placed.filter((F.col("grp") == grp) & (F.col("chunk") == chunk)).select("nid", "place")
-        t = nodes.join(own, "nid").orderBy("place").select("nid", "vec", "pos").toArrow().combine_chunks()
+        inside = placed.filter((F.col("grp") == grp) & (F.col("chunk") == chunk)).select("nid", "place")
+        t = nodes.join(inside, "nid").orderBy("place").select("nid", "vec", "pos").toArrow().combine_chunks()
         column = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
         column = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in column]
         shared = spark.sparkContext.broadcast(Chunk(column[0].to_numpy(), Rows(column[1], column[2])))
@@ -126,13 +132,13 @@ def nearest_lists(vectors: DataFrame, k: int) -> DataFrame:
                     i, j, s = others.best(rows, a, min(a + STEP, len(rows)), k + 1)
                     yield pa.RecordBatch.from_arrays([pa.array(nids[i]), pa.array(others.nids[j]), pa.array(s)], ["nid", "near", "s"])
 
-        nodes.filter(F.col("grp") == grp).select("nid", "vec", "pos").mapInArrow(run, schema).write.mode("append").parquet(path)
+        own.filter(F.col("grp") == grp).select("nid", "vec", "pos").mapInArrow(run, schema).write.mode("append").parquet(path)
         shared.destroy()
     lists = spark.read.schema(schema).parquet(path)
     ids = heads.select(F.col("nid").alias("near"), F.col("id").alias("other"))
     order = F.row_number().over(W.partitionBy("nid").orderBy(F.col("s").desc(), "other"))
     best = lists.join(ids, "near").withColumn("p", order).filter(F.col("p") <= k + 1).select("nid", "other", "s")
-    each = members.join(best, "nid").filter("id <> other")
+    each = asked.join(best, "nid").filter("id <> other")
     rank = F.row_number().over(W.partitionBy("grp", "id").orderBy(F.col("s").desc(), "other"))
     out = each.withColumn("rank", rank).filter(F.col("rank") <= k)
     return out.select(F.get_json_object("grp", "$.grp").alias("grp"), "id", "other", "s", "rank")

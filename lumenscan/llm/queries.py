@@ -66,21 +66,40 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def p4_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar others of every vector of the three collections, however similar."""
-    out = nearest_lists(_p4_vectors(spark, sf_dir), 5)
-    return out.select(
+def _p4_rows(lists: DataFrame) -> DataFrame:
+    return lists.select(
         F.substring_index("grp", "|", 1).alias("collection"), F.substring_index("grp", "|", -1).alias("part"),
         "id", "other", F.col("s").alias("similarity"), F.col("rank").cast("long").alias("place"),
     )
 
 
+def p4_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar others of every vector of the three collections, however similar, by NN-descent."""
+    return _p4_rows(nearest(_p4_vectors(spark, sf_dir), 5, None))
+
+
+def _p4_wanted(vectors: DataFrame) -> DataFrame:
+    """Vectors whose id is divisible by 50; of the ids of shots the hexadecimal digits count."""
+    number = F.when(F.col("id").startswith("sh"), F.conv(F.substring("id", 3, 12), 16, 10).cast("long")).otherwise(F.col("id").try_cast("long"))
+    return vectors.filter(number % 50 == 0)
+
+
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar others of every tuple whose id is divisible by 50, by greedy graph search."""
-    vectors = C.tuple_vectors(spark, sf_dir)
-    wanted = vectors.filter(F.col("id").cast("long") % 50 == 0)
-    out = search(vectors, wanted, 5, 0.9)
-    return out.select(F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), F.col("s").alias("similarity"), F.col("rank").cast("long").alias("place"))
+    """The five most similar others at 0.9 or above of the vectors with an id divisible by 50, by greedy graph search."""
+    vectors = _p4_vectors(spark, sf_dir)
+    return _p4_rows(search(vectors, _p4_wanted(vectors), 5, 0.9))
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p4_lists and the same search without a floor find of the true five most similar, for ids divisible by 50."""
+    vectors = _p4_vectors(spark, sf_dir)
+    wanted = _p4_wanted(vectors)
+    key = ["collection", "part", "id", "other"]
+    truth = materialise(_p4_rows(nearest_lists(vectors, 5, wanted)), "truth")
+    graph = _p4_rows(nearest(vectors, 5, None)).select(*key, F.lit(1).alias("in_lists"))
+    walked = _p4_rows(search(vectors, wanted, 5, None)).select(*key, F.lit(1).alias("in_search"))
+    held = truth.join(graph, key, "left").join(walked, key, "left").groupBy("collection", "part")
+    return held.agg(F.count(F.lit(1)).alias("places"), F.count("in_lists").alias("in_lists"), F.count("in_search").alias("in_search"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,17 +153,7 @@ raw AS (
 vecs AS (SELECT DISTINCT * FROM raw WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
   AND len(list_filter(v, lambda x: x <> 0)) > 0)"""
 
-SQL = {
-    "p1_found": f"""WITH {_UNIT}
-SELECT a.field, a.id AS id_a, b.id AS id_b FROM vecs a JOIN vecs b ON a.field = b.field AND a.part = b.part AND a.id < b.id
-WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.9""",
-    "p3_found": f"""WITH {_RESULTS},
-trusted AS (SELECT DISTINCT query_id, lower(trim(ap_source)) AS ap_source FROM expression_details WHERE confidence > 0 AND NOT isnan(confidence)),
-ranked AS (SELECT query_id, ap_source, ap_id, row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) AS r
-  FROM result JOIN trusted USING (query_id, ap_source)),
-scans AS (SELECT query_id, count(DISTINCT ap_source) AS k FROM ranked GROUP BY 1)
-SELECT query_id, ap_id FROM ranked JOIN scans USING (query_id) WHERE r <= 5 AND k >= 2 GROUP BY query_id, ap_id, k HAVING count(*) = k""",
-    "p4_found": f"""WITH {_UNIT},
+_SIMS = f"""{_UNIT},
 shot AS (SELECT DISTINCT id, list_transform(regexp_split_to_array(trim(regexp_replace(feature, '[\\[\\](){{}}<>]', ' ', 'g')), '\\s*[,;\\s]\\s*'), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM shot_features),
 sp AS (SELECT DISTINCT ap_id, list_sort(list_filter(list_zip(feature.index, feature.data), lambda p: p[2] <> 0)) AS p FROM sparse_features
   WHERE len(feature.index) = len(feature.data) AND len(list_filter(feature.data, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
@@ -152,25 +161,36 @@ sp AS (SELECT DISTINCT ap_id, list_sort(list_filter(list_zip(feature.index, feat
 entry AS (SELECT ap_id, unnest(p) AS e FROM sp), cell AS (SELECT ap_id, e[1] AS i, CAST(e[2] AS DOUBLE) AS x FROM entry),
 norm AS (SELECT ap_id, sqrt(sum(x * x)) AS n FROM cell GROUP BY 1),
 sims AS (
-  SELECT 'index_tuples' AS collection, CAST(a.id AS VARCHAR) AS a, CAST(b.id AS VARCHAR) AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s
+  SELECT 'index_tuples' AS collection, a.part, CAST(a.id AS VARCHAR) AS a, CAST(b.id AS VARCHAR) AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s
   FROM vecs a JOIN vecs b ON a.field = 'ap_indexable' AND b.field = 'ap_indexable' AND a.part = b.part AND a.id <> b.id
   UNION ALL
-  SELECT 'shot_features', a.id, b.id, round(list_cosine_similarity(a.v, b.v), 6) FROM
+  SELECT 'shot_features', 'shot_features', a.id, b.id, round(list_cosine_similarity(a.v, b.v), 6) FROM
     (SELECT * FROM shot WHERE len(v) = 48 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0) a JOIN
     (SELECT * FROM shot WHERE len(v) = 48 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0) b ON a.id <> b.id
   UNION ALL
-  SELECT 'sparse_features', CAST(a AS VARCHAR), CAST(b AS VARCHAR), round(dot / (m.n * k.n), 6) FROM
+  SELECT 'sparse_features', 'sparse_features', CAST(a AS VARCHAR), CAST(b AS VARCHAR), round(dot / (m.n * k.n), 6) FROM
     (SELECT a.ap_id AS a, b.ap_id AS b, sum(a.x * b.x) AS dot FROM cell a JOIN cell b USING (i) WHERE a.ap_id <> b.ap_id GROUP BY 1, 2)
-    JOIN norm m ON m.ap_id = a JOIN norm k ON k.ap_id = b),
+    JOIN norm m ON m.ap_id = a JOIN norm k ON k.ap_id = b)"""
+
+SQL = {
+    "p1_found": f"""WITH {_UNIT}
+SELECT a.field, a.id AS id_a, b.id AS id_b FROM vecs a JOIN vecs b ON a.field = b.field AND a.part = b.part AND a.id < b.id
+WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.9""",
+    "p3_found": f"""WITH {_RESULTS},
+trusted AS (SELECT DISTINCT query_id, lower(trim(ap_source)) AS ap_source FROM expression_details WHERE confidence > 0 AND NOT isnan(confidence)),
+ranked AS (SELECT query_id, ap_source, ap_id, row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) AS r
+  FROM result JOIN trusted USING (query_id, ap_source)),
+scans AS (SELECT query_id, count(DISTINCT ap_source) AS k FROM ranked GROUP BY 1)
+SELECT query_id, ap_id FROM ranked JOIN scans USING (query_id) WHERE r <= 5 AND k >= 2 GROUP BY query_id, ap_id, k HAVING count(*) = k""",
+    "p4_found": f"""WITH {_SIMS},
 near AS (SELECT *, row_number() OVER (PARTITION BY collection, a ORDER BY s DESC, b) AS r FROM sims WHERE s >= 0.9),
 five AS (SELECT collection, a FROM near GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT DISTINCT collection, least(a, b) AS id_a, greatest(a, b) AS id_b FROM near JOIN five USING (collection, a) WHERE r <= 5""",
-    "p4_search": f"""WITH {_UNIT}
-SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity,
-  row_number() OVER (PARTITION BY a.part, a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) AS place
-FROM vecs a JOIN vecs b ON a.field = 'ap_indexable' AND b.field = 'ap_indexable' AND a.part = b.part AND a.id <> b.id
-WHERE a.id % 50 = 0 AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.9 QUALIFY place <= 5""",
+    "p4_search": f"""WITH {_SIMS},
+number AS (SELECT *, CASE WHEN a LIKE 'sh%' THEN CAST(concat('0x', substr(a, 3)) AS BIGINT) ELSE CAST(a AS BIGINT) END AS n FROM sims WHERE s >= 0.9)
+SELECT collection, part, a AS id, b AS other, s AS similarity, row_number() OVER (PARTITION BY collection, part, a ORDER BY s DESC, b) AS place
+FROM number WHERE n % 50 = 0 QUALIFY place <= 5""",
     "p5_found": f"""WITH {_RESULTS}
 SELECT query_id, ap_source, ap_id FROM result QUALIFY row_number() OVER (PARTITION BY query_id, ap_source ORDER BY cost, ap_id) <= 3""",
 }
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_lists": p4_lists, "p4_search": p4_search, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_draws": p8_draws, "p8_mix": p8_mix, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_lists": p4_lists, "p4_search": p4_search, "p4_recall": p4_recall, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_draws": p8_draws, "p8_mix": p8_mix, "p9_found": p9_found, "p9_corpus": p9_corpus}
