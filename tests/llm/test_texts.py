@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenscan.llm import leaks, mixture, subjects
@@ -163,8 +164,11 @@ def test_token_counts_of_whole_texts(spark):
 
 VOCAB = {
     ("law", "en"): "statute verdict appeal plaintiff tribunal clause", ("sea", "en"): "harbour keel anchor tide rudder mast", ("ore", "en"): "shaft gravel smelter quarry seam pick",
+    ("oven", "en"): "dough crust loaf yeast crumb batter", ("loom", "en"): "weft yarn spindle shuttle fibre bobbin",
+    ("oven", "de"): "teig kruste laib hefe krume backblech", ("loom", "de"): "schuss garn spindel schiffchen faser spule",
     ("law", "de"): "gesetz urteil berufung klage gericht absatz", ("sea", "de"): "hafen kiel anker flut ruder mast", ("ore", "de"): "schacht kies hütte bruch flöz hacke",
 }
+AREAS = ["law", "sea", "ore", "oven", "loom"]
 GENERAL = {"en": "the part of a unit is held by it and moved".split(), "de": "der teil und die einheit wird von das gehalten".split()}
 HEADS = {"en": ("Description", "We claim:"), "de": ("BESCHREIBUNG", "Ansprüche")}
 
@@ -184,11 +188,13 @@ def library():
     rng = random.Random(6)
     docs, truth = [], {}
     for d in range(600):
-        areas = rng.sample(["law", "sea", "ore"], 2 if d % 6 == 0 else 1)
-        aside = rng.choice([a for a in ("law", "sea", "ore") if a not in areas] or ["law"])
-        docs.append((d, written(rng, areas, rng.choice(["en", "de"]), aside), "x", 0.5))
+        areas = rng.sample(AREAS, 2 if d % 6 == 0 else 1)
+        aside = rng.choice([a for a in AREAS if a not in areas])
+        lang = rng.choice(["en", "de"])
+        code = rng.choice([{"en": "EN", "de": "de-AT"}[lang], {"en": "eng", "de": "ger"}[lang]]) if rng.random() > 0.1 else rng.choice([None, "fr", "xx", "de"])
+        docs.append((d, written(rng, areas, lang, aside), code, 0.5))
         truth[d] = set(areas)
-    docs += [(900, None, "x", 0.5), (901, "", "x", 0.5), (902, "1 2 3 + ...", "x", 0.5), (903, docs[0][1] * 200, "x", 0.5), (904, docs[1][1], "x", 0.5)]
+    docs += [(900, None, "en", 0.5), (901, "", "x", 0.5), (902, "1 2 3 + ...", "x", 0.5), (903, docs[0][1] * 200, "x", 0.5), (904, docs[1][1], None, 0.5)]
     return docs, truth
 
 
@@ -198,7 +204,7 @@ def test_subjects_of_held_out_documents(spark, library):
     labels += labels[:5] + [(500, "no such area"), (None, "law"), (7, None)]
     out = subjects.subject_areas(
         spark.createDataFrame(docs, "doc_id long, text string, lang string, terms double").repartition(3), spark.createDataFrame(labels, "doc_id long, subject string"),
-        spark.createDataFrame([("law", "Law", "."), ("sea", "Sea", "."), ("ore", "Ore", ".")], "subject string, title string, covers string"),
+        spark.createDataFrame([(a, a, ".") for a in AREAS], "subject string, title string, covers string"),
     )
     rows = [(r["doc_id"], r["subject"]) for r in out.collect()]
     assert len(rows) == len(set(rows))
@@ -219,6 +225,29 @@ def test_no_documents_or_areas(spark):
     assert subjects.subject_areas(docs, labels, areas.limit(0)).count() == 0
 
 
-def test_parts():
-    assert subjects.parts("Abstract\nx\nDescription\nbody\nClaims\n1. one") == ("\nbody\n", "\n1. one")
-    assert subjects.parts("plain") == ("plain", "")
+def test_subjects_without_language_codes(spark, library):
+    docs, truth = library
+    labels = [(d, a) for d in range(0, 120) for a in sorted(truth[d])]
+    out = subjects.subject_areas(
+        spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"), spark.createDataFrame([(a,) for a in AREAS], "subject string")
+    )
+    got = {}
+    for d, s in out.collect():
+        got.setdefault(d, set()).add(s)
+    held = [d for d in truth if d >= 120]
+    assert sum(got.get(d) == truth[d] for d in held) >= 0.6 * len(held)  # one centroid for two languages
+
+
+def test_hashed_words(monkeypatch):
+    texts = ["Abstract\nx ﬁn Ünit-2a\nDescription\nbody of claims\nCLAIMS:\n1. body", None, "", "body", "Ansprüche\nünit “unit” body", "2 3"]
+    text, bucket, claim = subjects.hashed_words(pa.array(texts))
+    by = {}
+    for t, b, c in zip(text.tolist(), bucket.tolist(), claim.tolist()):
+        by.setdefault(t, []).append((b, c))
+    body = by[3][0][0]
+    assert [b for b, c in by[0] if c] == [body] and (body, False) in by[0]
+    assert len([b for b, c in by[4] if c]) == 3 and by[4][-1][0] == body and set(by) == {0, 3, 4}
+    assert by[4][1][0] == by[0][2][0]  # ünit
+    monkeypatch.setattr(subjects, "TEXT_BYTES", 8)
+    pieces = list(subjects._pieces(pa.array(texts)))
+    assert pieces[0] == (0, 1) and pieces[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
