@@ -105,8 +105,8 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.searchsorted(off, start, side="right") - 1
     claims = off[1:].copy()
     for i in range(len(low)):
-        for m in _CLAIMS.finditer(whole, off[i], off[i + 1]):
-            claims[i] = m.end()
+        for m in _CLAIMS.finditer(whole[off[i] : off[i + 1]]):
+            claims[i] = off[i] + m.end()
     return text, (h >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1), start >= claims[text]
 
 
