@@ -15,14 +15,14 @@ def brute(docs, items):
     """Every window of every document against every item."""
     out = set()
     for d, text in docs:
-        w = np.array([leaks._term(x) for x in leaks.words(text)], np.int64)
+        w = leaks.term_lists([text])[0]
         for i, t in items:
-            q = np.array([leaks._term(x) for x in leaks.words(t)], np.int64)
+            q = leaks.term_lists([t])[0]
             if not len(q) or not len(w):
                 continue
             span = len(q) + leaks.BAND
             best = max(leaks.ordered_words(q, w[s : s + span]) for s in range(0, max(1, len(w) - span + 1)))
-            if leaks.longest_run(q, w) >= min(leaks.RUN_WORDS, len(q)) or best >= np.ceil(leaks.PART * len(q) - 1e-9):
+            if leaks.longest_run(q, w) >= leaks.RUN_WORDS or best >= np.ceil(leaks.PART * len(q) - 1e-9):
                 out.add((d, i))
     return out
 
@@ -70,8 +70,12 @@ def test_leaks_in_several_passes_and_empty(spark, corpus, monkeypatch):
     docs, items = corpus
     df, ev = spark.createDataFrame(docs[:60], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = {tuple(r) for r in leaks.find_leaks(df, ev).collect()}
-    monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 5)
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 100)
     assert {tuple(r) for r in leaks.find_leaks(df, ev).collect()} == whole and whole
+    stored = leaks.build_index(df)
+    assert {tuple(r) for r in leaks.find_leaks(None, ev, stored).collect()} == whole
+    monkeypatch.setattr(leaks, "BLOCK_DOCUMENTS", 7)
+    assert {tuple(r) for r in leaks.find_leaks(df, ev).collect()} == whole
     assert leaks.find_leaks(df.limit(0), ev).count() == 0 == leaks.find_leaks(df, ev.limit(0)).count()
 
 
@@ -92,6 +96,30 @@ def test_short_items_are_found_where_they_stand(spark):
     assert got == {(2 * i, i) for i in range(len(items))}
 
 
+def test_rare_words_exchanged_and_words_put_in(spark):
+    """Thirty of a hundred words of an item exchanged, the rarest first; words put in at one place; runs in items of 9 to 25 words."""
+    rng = np.random.default_rng(21)
+    common = [f"c{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    docs, items, want = [], [], set()
+    for i, n in enumerate([9, 12, 13, 20, 21, 40, 41, 74, 100] * 3):
+        rare = [f"r{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n)]
+        own = [rare[k] if rng.random() < 0.4 else str(rng.choice(common)) for k in range(n)]
+        items.append((i, " ".join(own)))
+        need = int(np.ceil(0.7 * n - 1e-9))
+        first = sorted(range(n), key=lambda k: own[k] in common)  # rare words come first
+        kept = [w if k not in first[: n - need] else "zz" for k, w in enumerate(own)]
+        less = [w if k not in first[: n - need + 1] else "zz" for k, w in enumerate(own)]
+        wide = kept[: n // 2] + ["yy"] * 15 + kept[n // 2 :]
+        left_out = [w for k, w in enumerate(own) if k not in first[: n - need]]
+        around = lambda: [str(x) for x in rng.choice(common, 80)] + ["xx"] * 40
+        for w in (kept, less, wide, left_out, own[: min(n, 12)], own):
+            docs.append((len(docs), " ".join(around() + w + ["xx"] * 40 + around())))
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, ev).collect()}
+    assert got == want and all((6 * i + k, i) in want for i in range(len(items)) for k in (0, 3, 5))
+
+
 def test_words_are_read_past_their_forms():
     assert leaks.words("Thirty-ﬁve [0027] low (12a) tide;\nbel-\nfry ＡＢ") == ["thirtyfive", "low", "tide", "belfry", "ab"]
 
