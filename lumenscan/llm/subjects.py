@@ -23,15 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm.graph import _binary
+from lumenscan.llm.graph import _binary, _raw
 from lumenscan.runtime import discard, materialise
 
 #: Buckets that words are hashed to: bounds every broadcast and every driver-side array here.
 BUCKETS = 1 << 16
 #: Codes of the languages that texts are in. Texts with other codes or none count to the language their words fit best.
 LANGUAGES = {"en": ("en", "eng"), "de": ("de", "ger", "deu"), "fr": ("fr", "fre", "fra")}
-#: A word weighs nothing in a language where it is in more than this share, or fewer than so many, of the documents.
-COMMON_SHARE, MIN_DOCUMENTS = 0.5, 3
+#: A word weighs nothing in a language where more than the first or less than the second share of the documents hold it, or fewer than so many.
+COMMON_SHARE, RARE_SHARE, MIN_DOCUMENTS = 0.5, 0.0004, 3
 RANK, OVERSAMPLE = 56, 8
 #: Subspace iteration ends when the sum of the singular values grows by less than this share in a round.
 GROWTH = 0.01
@@ -41,8 +41,8 @@ JOIN_COSINE, CLEAR = 0.5, 0.5
 SETTLED, MOST_ROUNDS = 1e-4, 100
 #: What an area must explain of the document without its claims, and of its claims.
 BODY_SHARE, CLAIMS_SHARE = 0.25, 0.02
-#: Bytes of text that are split into words at once, at least a whole text.
-TEXT_BYTES = 1 << 21
+#: Bytes of text that are split into words at once, at least a whole text; documents that are embedded at once. Both fit a core's cache.
+TEXT_BYTES, EMBED_ROWS = 1 << 18, 250
 #: Buckets or centroids that travel in one row of partial sums.
 SUM_ROWS = 256
 
@@ -97,7 +97,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
     long = end - start >= 2
     start, end = start[long], end[long]
-    power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
+    power, inverse = _powers(1 << max(19, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
@@ -220,7 +220,7 @@ def weighted(terms: DataFrame, df: np.ndarray, n: np.ndarray) -> tuple[DataFrame
     fit = np.log((df + 0.5) / (n[:, None] + 1.0)).astype(np.float32)
     fit[n == 0] = -100.0
     idf = np.log(np.maximum(n[:, None], 1) / np.maximum(df, 1)).clip(min=0)
-    idf[(df > COMMON_SHARE * n[:, None]) | (df < MIN_DOCUMENTS)] = 0
+    idf[(df > COMMON_SHARE * n[:, None]) | (df < np.maximum(RARE_SHARE * n[:, None], MIN_DOCUMENTS))] = 0
     used = np.flatnonzero(idf.any(axis=0))
     slot = np.full(BUCKETS, -1, np.int32)
     slot[used] = np.arange(len(used))
@@ -258,8 +258,13 @@ def _sum_runs(values: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _embedded(basis: np.ndarray, slot: np.ndarray, off: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    return _sum_runs(basis[slot] * weight[:, None], row, len(off) - 1)
+    out = []
+    for k in range(0, len(off) - 1, EMBED_ROWS):
+        own = off[k : k + EMBED_ROWS + 1]
+        part = slice(own[0], own[-1])
+        row = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        out.append(_sum_runs(basis[slot[part]] * weight[part, None], row, len(own) - 1))
+    return np.concatenate(out) if out else np.zeros((0, basis.shape[1]), np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -267,11 +272,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def leading_vectors(rows: DataFrame, n: int, rank: int = RANK) -> np.ndarray:
-    """(slots, rank): orthonormal right singular vectors, by subspace iteration over all documents."""
+def leading_vectors(rows: DataFrame, n: int, balance: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """(slots, rank): orthonormal right singular vectors, by subspace iteration over all documents.
+
+    balance: what a document's row counts by its language, so that the areas
+    of a rare language are not crowded out by those of a common one.
+    """
     q = min(rank + OVERSAMPLE, n)
     basis = np.linalg.qr(np.random.default_rng(5).standard_normal((n, q)))[0].astype(np.float32)
-    source, before = _few_tasks(rows.select("slot", "whole")), 0.0
+    source, before = _few_tasks(rows.select("slot", "whole", "lang")), 0.0
     while True:
         sent = rows.sparkSession.sparkContext.broadcast(basis)
 
@@ -279,10 +288,10 @@ def leading_vectors(rows: DataFrame, n: int, rank: int = RANK) -> np.ndarray:
             basis = sent.value
             total = np.zeros(basis.shape)
             for b in batches:
-                for k in range(0, b.num_rows, 2000):
-                    part = b.slice(k, 2000)
+                for k in range(0, b.num_rows, EMBED_ROWS):
+                    part = b.slice(k, EMBED_ROWS)
                     (s, off), w = _flat(part.column(0)), _flat(part.column(1))[0]
-                    y = _embedded(basis, s, off, w)
+                    y = _embedded(basis, s, off, w) * balance[part.column(2).to_numpy(), None]
                     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
                     back = np.argsort(s, kind="stable")
                     s = s[back]
@@ -301,30 +310,44 @@ def leading_vectors(rows: DataFrame, n: int, rank: int = RANK) -> np.ndarray:
         before = held
 
 
-def _centroid_sums(rows: DataFrame, basis, width: int, size: int, choose) -> np.ndarray:
-    """Sums of whole embeddings by centroid; choose gives each document's centroid or -1."""
+def embed(rows: DataFrame, basis) -> DataFrame:
+    """(doc_id, lang, e: unit row of floats as bytes) of the documents that have any weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot, off = _flat(b.column(2))
+            e = _unit(_embedded(basis.value, slot, off, _flat(b.column(3))[0])).astype(np.float32)
+            at = np.flatnonzero(e.any(axis=1))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), _binary(e[at])], ["doc_id", "lang", "e"])
+
+    return rows.select("doc_id", "lang", "slot", "whole").mapInArrow(run, "doc_id long, lang int, e binary")
+
+
+def _centroid_sums(embedded: DataFrame, width: int, size: int, choose) -> np.ndarray:
+    """Sums of embeddings (lang, e, ...) by centroid; choose gives each document's centroid or -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, width))
         for b in batches:
-            slot, off = _flat(b.column(1))
-            e = _unit(_embedded(basis.value, slot, off, _flat(b.column(2))[0]))
+            off, raw = _raw(b.column(1))
+            e = raw[off[0] : off[-1]].view(np.float32).reshape(-1, width)
             c = choose(b, e)
-            at = np.flatnonzero((c >= 0) & e.any(axis=1))
-            np.add.at(total, c[at], e[at])
+            for k in np.unique(c[c >= 0]):
+                total[k] += e[c == k].sum(axis=0, dtype=np.float64)
         yield _partial(total)
 
-    return _matrix(_summed(_few_tasks(rows).mapInArrow(run, "key long, x binary"), width), size, width)
+    return _matrix(_summed(_few_tasks(embedded).mapInArrow(run, "key long, x binary"), width), size, width)
 
 
-def refined_centroids(rows: DataFrame, labels: DataFrame, subjects: list[str], basis, width: int) -> np.ndarray:
+def refined_centroids(embedded: DataFrame, labels: DataFrame, subjects: list[str], width: int) -> np.ndarray:
     """(languages x subjects, width) unit rows, zero where nothing is known of the pair."""
     k = len(subjects)
     place = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
     single = labels.select("doc_id", "subject").distinct().groupBy("doc_id").agg(F.min("subject").alias("subject"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    seeds = rows.join(single.filter(F.col("subject").isin(subjects)), "doc_id").select("lang", "slot", "whole", place.alias("place"))
-    m = _unit(_centroid_sums(seeds, basis, width, len(LANGUAGES) * k, lambda b, e: b.column(0).to_numpy() * k + b.column(3).to_numpy()))
-    source = rows.select("lang", "slot", "whole")
+    seeds = embedded.join(single.filter(F.col("subject").isin(subjects)), "doc_id").select("lang", "e", place.alias("place"))
+    m = _unit(_centroid_sums(seeds, width, len(LANGUAGES) * k, lambda b, e: b.column(0).to_numpy() * k + b.column(2).to_numpy()))
+    source = embedded.select("lang", "e")
     for _ in range(MOST_ROUNDS):
         current = m.astype(np.float32)
 
@@ -337,7 +360,7 @@ def refined_centroids(rows: DataFrame, labels: DataFrame, subjects: list[str], b
             clear = (top >= JOIN_COSINE) & (score.max(axis=1) <= CLEAR * top)
             return np.where(clear, lang * k + best, -1)
 
-        sums = _centroid_sums(source, basis, width, len(m), choose)
+        sums = _centroid_sums(source, width, len(m), choose)
         found = sums.any(axis=1)
         new = np.where(found[:, None], _unit(sums), m)
         moved = 1 - (new * m).sum(axis=1)[m.any(axis=1)].min(initial=1.0)
@@ -370,10 +393,12 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
         return empty
     rows = materialise(plan, "weights")
     discard(terms)
-    found = leading_vectors(rows, slots)
+    found = leading_vectors(rows, slots, (n.max() / np.maximum(n, 1)).astype(np.float32))
     width, k = found.shape[1], len(subjects)
     basis = spark.sparkContext.broadcast(found)
-    m = refined_centroids(rows, labels, subjects, basis, width)
+    embedded = materialise(embed(rows, basis), "embedded")
+    m = refined_centroids(embedded, labels, subjects, width)
+    discard(embedded)
     # What each centroid explains beside the others of its language: rows of the dual basis.
     dual = np.zeros_like(m)
     for lang in range(len(LANGUAGES)):
