@@ -20,22 +20,31 @@ from pyspark.sql import Window as W
 from lumenscan.functions.names import source_key
 from lumenscan.llm.topn import oriented_results
 from lumenscan.operators.skew import prefix_sum
-from lumenscan.runtime import discard, materialise
+from lumenscan.runtime import discard, materialise, materialise_bucketed
 
 DAMPING = 0.85
-ROUNDS = 60
-#: Every so many rounds the walk jumps ahead along its last change (Aitken's rule).
-LEAP = 6
-TOLERANCE = 1e-7
-#: Results of a query that are solved in one task; larger queries by distributed steps.
+#: Rounds between extrapolations, and the summed change of a query's last round at which it has converged.
+CYCLE, TOLERANCE = 6, 1e-9
+#: Far more cycles than any walk has taken; one that has not converged by then is an error, not a result.
+MOST_CYCLES = 50
+#: Results of a query that are solved in one task; larger queries take the same steps over blocks of ranks.
 PACK_ROWS = 50_000
+#: Ranks of a block of a large list.
+BLOCK_ROWS = 20_000
 
 _OUT = "query_id string, ap_id long, stationarity double, scans int, listed int, worst_rank int"
 
 
-def _ahead(ratio: float) -> float:
-    """What is left of a series of changes that shrink by `ratio`, in terms of the last one."""
-    return ratio / (1 - ratio)
+def blend(gram: np.ndarray) -> np.ndarray:
+    """Weights, summing to one, under which the last steps cancel best: reduced rank extrapolation.
+
+    gram: inner products of the steps of a cycle.
+    """
+    top = gram.max()
+    if not top:
+        return np.full(len(gram), 1 / len(gram))
+    g = np.linalg.solve(gram / top + 1e-14 * len(gram) * np.eye(len(gram)), np.ones(len(gram)))
+    return g / g.sum()
 
 
 def walk(item: np.ndarray, scan: np.ndarray, cost: np.ndarray, ids: np.ndarray, damping: float = DAMPING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,29 +60,32 @@ def walk(item: np.ndarray, scan: np.ndarray, cost: np.ndarray, ids: np.ndarray,
     size = np.diff(np.append(first, len(scan)))
     rank = np.arange(len(scan)) - first[scan] + 1
     listed = np.bincount(item, minlength=n)
-    p, last = np.full(n, 1 / n), 0.0
-    for turn in range(1, ROUNDS + 1):
-        share = p[item] / rank
-        upward = np.cumsum(share[::-1])[::-1]
+
+    def moved(p: np.ndarray) -> np.ndarray:
+        upward = np.cumsum((p[item] / rank)[::-1])[::-1]
         beyond = np.append(upward, 0.0)[first + size]  # what lies after the scan's last rank
-        flow = upward - beyond[scan]
         absent = (p.sum() - np.bincount(scan, p[item], minlength=k)) / size
-        new = np.bincount(item, flow + absent[scan], minlength=n) / k
-        new = damping * new + (1 - damping) / n
-        step, change = new - p, np.abs(new - p).sum()
-        p = new
-        if change < TOLERANCE:
+        return damping * np.bincount(item, upward - beyond[scan] + absent[scan], minlength=n) / k + (1 - damping) / n
+
+    p = np.full(n, 1 / n)
+    for _ in range(MOST_CYCLES):
+        path = [p]
+        for _ in range(CYCLE):
+            path.append(moved(path[-1]))
+        steps = np.diff(path, axis=0)
+        p = path[-1]
+        if np.abs(steps[-1]).sum() <= TOLERANCE:
             break
-        if turn % LEAP == 0 and change < last:
-            p = np.maximum(p + step * _ahead(change / last), 0)
-            p /= p.sum()
-        last = change
+        p = np.maximum(blend(steps @ steps.T) @ np.asarray(path[1:]), 0)
+        p /= p.sum()
+    else:
+        raise RuntimeError("a walk has not converged")
     worst = np.zeros(n, np.int64)
     np.maximum.at(worst, item, rank)
     return p, listed, worst
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], damping: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
         queries = batch.column(0).to_pylist()
@@ -84,7 +96,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, a, z in zip(queries, off[:-1], off[1:]):
             ids, item = np.unique(ap_id[a:z], return_inverse=True)
             _, scan = np.unique(source[a:z].astype(str), return_inverse=True)
-            p, listed, worst = walk(item, scan, cost[a:z], ids)
+            p, listed, worst = walk(item, scan, cost[a:z], ids, damping)
             n = len(ids)
             for column, v in zip(out, ([q] * n, ids, p, np.full(n, scan.max() + 1), listed, worst)):
                 column.extend(v)
@@ -101,47 +113,74 @@ def _ranked(results: DataFrame) -> DataFrame:
 
 
 def _distributed(results: DataFrame, damping: float) -> DataFrame:
-    """The same walk for queries of any size: ranks are cut into blocks of equal
-    size, a step sums within blocks and adds the totals of the later blocks."""
-    block_rows = 20_000
-    ranked = materialise(_ranked(results).withColumn("block", F.floor((F.col("rank") - 1) / block_rows)), "ranked")
-    items = ranked.groupBy("query_id", "ap_id").agg(F.count(F.lit(1)).alias("listed"), F.max("rank").alias("worst_rank"))
-    k = ranked.groupBy("query_id").agg(F.countDistinct("ap_source").alias("k"))
-    sizes = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(k, "query_id")
-    entries = materialise(ranked.join(sizes, "query_id").select("query_id", "ap_id", "ap_source", "block", "rank", "size", "n", "k"), "entries")
-    state = materialise(entries.groupBy("query_id", "ap_id").agg((1.0 / F.max("n")).alias("p"), F.lit(0.0).alias("step")), "walk")
-    inside = W.partitionBy("query_id", "ap_source", "block").orderBy(F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
-    later = W.partitionBy("query_id", "ap_source").orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("query_id", "ap_source")
-    last = 0.0
-    for turn in range(1, ROUNDS + 1):
-        held = entries.join(state.select("query_id", "ap_id", "p"), ["query_id", "ap_id"])
-        held = materialise(held.withColumn("within", F.sum(F.col("p") / F.col("rank")).over(inside)), "held")
-        totals = held.groupBy("query_id", "ap_source", "block").agg(F.max("within").alias("t"), F.sum("p").alias("listed_p"), F.max("size").alias("size"))
-        totals = totals.select(
-            "query_id", "ap_source", "block",
-            (F.coalesce(F.sum("t").over(later), F.lit(0.0)) + (1 - F.sum("listed_p").over(whole)) / F.col("size")).alias("more"),
-        )
-        moved = held.join(totals, ["query_id", "ap_source", "block"]).groupBy("query_id", "ap_id")
-        moved = moved.agg(F.sum(F.col("within") + F.col("more")).alias("flow"), F.max("p").alias("old"), F.max("n").alias("n"), F.max("k").alias("k"))
+    """The same walk for queries of any size.
+
+    Ranks are cut into blocks of equal size; a round sums within blocks and
+    adds the totals of the later blocks. Entries lie by item, as the state
+    does, so a round shuffles them to their blocks and their flows back.
+    """
+    spark = results.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranked = materialise(_ranked(results), "ranked")
+    items = materialise(ranked.groupBy("query_id", "ap_id").agg(F.count(F.lit(1)).alias("listed"), F.max("rank").alias("worst_rank")).withColumn("item", F.monotonically_increasing_id()), "items")
+    sizes = ranked.groupBy("query_id", "ap_source").agg(F.max("size").alias("s")).groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
+    sizes = materialise(items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "query_id"), "sizes")
+    scan = F.xxhash64("query_id", "ap_source").alias("scan")
+    block = F.floor((F.col("rank") - 1) / BLOCK_ROWS).cast("int").alias("block")
+    entries = ranked.join(items.select("query_id", "ap_id", "item"), ["query_id", "ap_id"]).select("item", scan, block, "rank", "size")
+    entries = materialise_bucketed(entries, "item", "entries")
+    state = materialise_bucketed(items.join(sizes, "query_id").select("item", "query_id", "n", "k", (1.0 / F.col("n")).alias("p"), F.array().cast("array<double>").alias("path")), "item", "walk")
+    inside = W.partitionBy("scan", "block").orderBy(F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("scan").orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("scan")
+
+    def one_round(state: DataFrame) -> DataFrame:
+        held = entries.join(state.select("item", "p"), "item").withColumn("share", F.col("p") / F.col("rank"))
+        totals = held.groupBy("scan", "block").agg(F.sum("share").alias("t"), F.sum("p").alias("listed_p"), F.max("size").alias("size"))
+        more = F.coalesce(F.sum("t").over(later), F.lit(0.0)) + (1 - F.sum("listed_p").over(whole)) / F.col("size")
+        flows = held.withColumn("within", F.sum("share").over(inside)).join(totals.select("scan", "block", more.alias("more")), ["scan", "block"])
+        flows = flows.select("item", (F.col("within") + F.col("more")).alias("flow")).repartition(n, "item").groupBy("item").agg(F.sum("flow").alias("flow"))
         new = damping * F.col("flow") / F.col("k") + (1 - damping) / F.col("n")
-        after = materialise(moved.select("query_id", "ap_id", new.alias("p"), (new - F.col("old")).alias("step")), "walk")
-        change = after.groupBy("query_id").agg(F.sum(F.abs("step")).alias("c")).agg(F.max("c")).first()[0]
-        discard(held)
-        discard(state)
-        state = after
-        if change is None or change < TOLERANCE:
+        return state.join(flows, "item").select("item", "query_id", "n", "k", new.alias("p"), F.array_append("path", F.col("p")).alias("path"))
+
+    path = [F.col("path")[i] for i in range(CYCLE)] + [F.col("p")]
+    steps = [path[i + 1] - path[i] for i in range(CYCLE)]
+    products = [F.sum(steps[i] * steps[j]).alias(f"g{i}_{j}") for i in range(CYCLE) for j in range(i, CYCLE)]
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1) if b.num_rows else np.empty((0, 1))
+            out = []
+            for row in values:
+                gram = np.empty((CYCLE, CYCLE))
+                at = np.triu_indices(CYCLE)
+                gram[at] = row
+                gram.T[at] = row
+                out.append(blend(gram).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["query_id", "w"])
+
+    for _ in range(MOST_CYCLES):
+        for _ in range(CYCLE):
+            step = materialise_bucketed(one_round(state), "item", "walk")
+            discard(state)
+            state = step
+        change = state.groupBy("query_id").agg(F.sum(F.abs(steps[-1])).alias("c")).agg(F.max("c")).first()[0]
+        if change is None or change <= TOLERANCE:
             break
-        if turn % LEAP == 0 and change < last:
-            leap = F.greatest(F.col("p") + F.col("step") * _ahead(change / last), F.lit(0.0))
-            ahead = state.select("query_id", "ap_id", leap.alias("p"), "step")
-            scale = ahead.groupBy("query_id").agg(F.sum("p").alias("t"))
-            state = materialise(ahead.join(scale, "query_id").select("query_id", "ap_id", (F.col("p") / F.col("t")).alias("p"), "step"), "walk")
-        last = change
-    return (
-        state.select("query_id", "ap_id", F.col("p").alias("stationarity")).join(items, ["query_id", "ap_id"]).join(k, "query_id")
-        .select("query_id", "ap_id", "stationarity", F.col("k").cast("int").alias("scans"), F.col("listed").cast("int").alias("listed"), F.col("worst_rank").cast("int").alias("worst_rank"))
-    )
+        w = materialise(state.groupBy("query_id").agg(*products).mapInArrow(weights, "query_id string, w array<double>"), "weights")
+        ahead = F.greatest(sum((F.col("w")[i] * path[i + 1] for i in range(1, CYCLE)), F.col("w")[0] * path[1]), F.lit(0.0))
+        ahead = materialise(state.join(w, state["query_id"].eqNullSafe(w["query_id"])).select("item", state["query_id"], "n", "k", ahead.alias("x")), "ahead")
+        total = ahead.groupBy("query_id").agg(F.sum("x").alias("t")).withColumnRenamed("query_id", "q")
+        scaled = ahead.join(total, F.col("query_id").eqNullSafe(F.col("q"))).select("item", "query_id", "n", "k", (F.col("x") / F.col("t")).alias("p"), F.array().cast("array<double>").alias("path"))
+        step = materialise_bucketed(scaled, "item", "walk")
+        discard(state)
+        discard(ahead)
+        state = step
+    else:
+        raise RuntimeError("a walk has not converged")
+    return items.join(state.select("item", "k", F.col("p").alias("stationarity")), "item").select(
+        "query_id", "ap_id", "stationarity", F.col("k").cast("int").alias("scans"), F.col("listed").cast("int").alias("listed"), F.col("worst_rank").cast("int").alias("worst_rank")
+    )
 
 
 def answered_results(scans: DataFrame, details: DataFrame) -> DataFrame:
@@ -169,7 +208,7 @@ def rank_items(results: DataFrame, damping: float = DAMPING, pack_rows: int = PA
     some_large = not large.isEmpty()
     small = results.join(large, "query_id", "left_anti") if some_large else results
     packs = small.groupBy("query_id").agg(F.collect_list(F.struct("ap_source", "ap_id", "cost")).alias("rows"))
-    out = packs.mapInArrow(_packed, _OUT)
+    out = packs.mapInArrow(lambda batches: _packed(batches, damping), _OUT)
     if some_large:
         out = out.union(_distributed(results.join(large, "query_id", "left_semi"), damping))
     return out

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenscan.llm import rankwalk
 from lumenscan.llm.rankwalk import answered_results, rank_items, walk
 from lumenscan.llm.topn import oriented_results, top_n
 
@@ -41,18 +42,43 @@ def as_rows(lists):
     return [(q, s, i, float(10 ** (int(s[1]) * 3) * (k + 1))) for q, v in lists.items() for s, order in v.items() for k, i in enumerate(order)]
 
 
-@pytest.mark.parametrize("pack", [1000, 20])
-def test_walk_is_the_stationary_distribution(spark, lists, pack):
+@pytest.mark.parametrize("pack,damping", [(1000, 0.85), (1000, 0.5), (0, 0.85), (0, 0.5)])
+def test_walk_is_the_stationary_distribution(spark, lists, monkeypatch, pack, damping):
+    monkeypatch.setattr(rankwalk, "BLOCK_ROWS", 7)
     df = spark.createDataFrame(as_rows(lists), "query_id string, ap_source string, ap_id long, cost double")
-    got = {(r["query_id"], r["ap_id"]): r for r in rank_items(df, pack_rows=pack).collect()}
+    got = {(r["query_id"], r["ap_id"]): r for r in rank_items(df, damping, pack_rows=pack).collect()}
     for q, v in lists.items():
-        for i, p in slow_walk(v).items():
+        for i, p in slow_walk(v, damping).items():
             r = got[q, i]
-            assert r["stationarity"] == pytest.approx(p, abs=1e-5)
+            assert r["stationarity"] == pytest.approx(p, rel=1e-7)
             assert r["scans"] == len(v) and r["listed"] == sum(i in o for o in v.values())
             assert r["worst_rank"] == max(o.index(i) + 1 for o in v.values() if i in o)
 
 
+def test_agreed_items_stand_in_the_first_places():
+    """What every list has among its five best is among the first 5k places of the walk of k lists."""
+    rng = np.random.default_rng(9)
+    seen = 0
+    for _ in range(300):
+        k, n = int(rng.integers(2, 5)), int(rng.integers(6, 60))
+        agreed, rest = list(range(3)), list(range(3, n))
+        lists = []
+        for _ in range(k):
+            others = [int(x) for x in rng.permutation(rest)[: rng.integers(3, n - 2)]]
+            head = agreed + others[:2]
+            rng.shuffle(head)
+            lists.append(head + others[2:])
+        item, scan = np.concatenate(lists), np.repeat(np.arange(k), [len(x) for x in lists])
+        cost = np.concatenate([np.arange(len(x)) for x in lists]).astype(float)
+        ids, at = np.unique(item, return_inverse=True)
+        p, listed, worst = walk(at, scan, cost, ids)
+        place = np.argsort(np.lexsort((ids, -p)))
+        case = (listed == k) & (worst <= 5)
+        seen += case.sum()
+        assert (place[case] < 5 * k).all()
+    assert seen > 500
+
+
 def test_no_scan_outweighs_by_its_range(spark, lists):
     df = spark.createDataFrame(as_rows(lists), "query_id string, ap_source string, ap_id long, cost double")
     a = {(r[0], r[1]): r[2] for r in rank_items(df).collect()}
