@@ -13,6 +13,7 @@ from functools import reduce
 from threading import RLock
 
 import numpy as np
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +24,15 @@ from lumenscan.functions.names import clean_name
 from lumenscan.operators import basic, indexes, random_data, textsearch
 from lumenscan.plans import planner
 from lumenscan.plans.parser import parse
-from lumenscan.runtime import delete_path, scratch_path
+from lumenscan.runtime import delete_path, materialise, path_bytes, scratch_path
 from lumenscan.sources import stores
 from lumenscan.sources.importers import export, import_files
 from lumenscan.sources.parquet_blocks import open_fs
 from lumenscan.types import DISTANCE, PK, SOURCE, SPARK_TYPES, Attribute, EngineError, check_attributes, kind_of
 
 VACUUM_AFTER = 100
-DEFAULT_PARTITIONS = 8
+#: A rewritten entity has files of about this size.
+FILE_BYTES = 128 << 20
 CACHE_ENTRIES, CACHE_SECONDS = 1000, 3600
 
 
@@ -71,7 +73,7 @@ class Engine:
             raise EngineError("empty entity name")
         check_attributes(list(attributes))
         with self.lock:
-            self.entities[name] = {"attributes": list(attributes), "version": 0, "batch": 0, "inserts": 0, "stream": -1, "empty": True, "dims": {}}
+            self.entities[name] = {"attributes": list(attributes), "version": 0, "batch": 0, "batches": [], "stream": -1, "dims": {}}
         return name
 
     def list_entities(self) -> list[str]:
@@ -92,8 +94,10 @@ class Engine:
             return [Attribute(f.name, kind_of(f.dataType)) for f in self.attached[name].schema if f.name != PK and not isinstance(f.dataType, (T.TimestampType, T.DateType))]
         return self._entry(name)["attributes"]
 
-    def _path(self, name: str, engine: str, version: int) -> str:
-        return f"{self.root}/{name}/{engine}-{version}"
+    def _path(self, name: str, engine: str, version: int, batch: int | None = None) -> str:
+        """The folder of a version of an entity in a store, or of one batch in it."""
+        whole = f"{self.root}/{name}/{engine}-{version}"
+        return whole if batch is None else f"{whole}/b{batch:07d}"
 
     def _schema(self, attributes: Sequence[Attribute]) -> T.StructType:
         return T.StructType([T.StructField(PK, T.LongType()), *[T.StructField(a.name, a.spark) for a in attributes]])
@@ -110,23 +114,27 @@ class Engine:
         if name in self.attached:
             return basic.where(self.attached[name], predicates)
         e = self._entry(name)
-        if e["empty"]:
+        if not e["batches"]:
             return self.spark.createDataFrame([], self._schema(e["attributes"]))
-        parts = [stores.read(self.spark, g, self._path(name, g, e["version"]), self._schema(a)) for g, a in self._by_engine(e).items()]
+        parts = [stores.read(self.spark, g, [self._path(name, g, e["version"], b) for b in e["batches"]], self._schema(a)) for g, a in self._by_engine(e).items()]
         df = reduce(lambda a, b: a.join(b, PK), parts)
         return basic.where(df.select(PK, *[a.name for a in e["attributes"]]), predicates)
 
     # ---- data ----
 
     def insert(self, name: str, rows: DataFrame, stream_batch: int | None = None) -> int:
-        """Appends rows under new ids. Auto attributes equal the id and may not be given."""
+        """Appends rows under new ids; 1 if they were written, 0 if it is a batch of a stream that is there already.
+
+        Auto attributes equal the id and may not be given. The rows of an
+        insert lie in folders of their own; they count from when a note of the
+        batch, with its number in the stream, is written after them, so a
+        failed insert leaves nothing and can be repeated.
+        """
         name = clean_name(name)
         with self.lock:
             e = self._entry(name)
-            if stream_batch is not None:
-                if stream_batch <= e["stream"]:
-                    return 0
-                e["stream"] = stream_batch
+            if stream_batch is not None and stream_batch <= e["stream"]:
+                return 0
             auto = [a.name for a in e["attributes"] if a.kind == "auto"]
             given = {clean_name(c): c for c in rows.columns}
             if set(auto) & set(given):
@@ -135,41 +143,89 @@ class Engine:
             if missing:
                 raise EngineError(f"missing attributes {missing}")
             made = rows.select(*[F.col(f"`{given[a.name]}`").cast(a.spark).alias(a.name) for a in e["attributes"] if a.kind != "auto"])
-            self._check_dims(e, made)
-            e["batch"] += 1
-            made = basic.tuple_ids(made, e["batch"])
+            batch = e["batch"] + 1
+            made = basic.tuple_ids(made, batch)  # written once: every store gets the same ids
+            dims = self._check_dims(e, made)
+            self._check_unique(name, e, made)
             made = made.withColumns({a: F.col(PK) for a in auto}) if auto else made
-            groups = self._by_engine(e)
-            kept = made.persist() if len(groups) > 1 else made  # ids are fixed before they go to several stores
-            for g, attrs in groups.items():
-                stores.write(kept.select(PK, *[a.name for a in attrs]), g, self._path(name, g, e["version"]))
-            if kept is not made or len(groups) > 1:
-                kept.unpersist()
-            e["empty"], e["inserts"] = False, e["inserts"] + 1
+            self._write(name, e, e["attributes"], made, e["version"], batch)
+            self._note(name, e["version"], batch, stream_batch)
+            e["batch"], e["batches"], e["dims"] = batch, [*e["batches"], batch], dims
+            if stream_batch is not None:
+                e["stream"] = stream_batch
             self._stale(name)
-            if e["inserts"] > VACUUM_AFTER:
+            if len(e["batches"]) > VACUUM_AFTER:
                 self.vacuum(name)
         return 1
 
-    def _check_dims(self, e: dict, rows: DataFrame) -> None:
-        """The width of a vector attribute is learnt from the first row and then enforced."""
+    def _write(self, name: str, e: dict, attributes: Sequence[Attribute], df: DataFrame, version: int, batch: int) -> None:
+        """One batch to all stores of these attributes; `indexed` attributes order the rows of a file, so that scans can skip."""
+        for g, attrs in self._by_engine({"attributes": attributes}).items():
+            part = df.select(PK, *[a.name for a in attrs])
+            order = [a.name for a in attrs if a.params.get("indexed") or a.params.get("pk")]
+            stores.write(part.sortWithinPartitions(*order) if order else part, g, self._path(name, g, version, batch), "overwrite")
+
+    def _note(self, name: str, version: int, batch: int, stream: int | None) -> None:
+        fs, path = open_fs(f"{self.root}/{name}/notes-{version}")
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{batch:07d}.json") as f:
+            f.write(json.dumps({"batch": batch, "stream": stream}).encode())
+
+    def _recover(self, name: str) -> None:
+        """Batches that were noted after the catalog was saved."""
+        e = self.entities[name]
+        fs, path = open_fs(f"{self.root}/{name}/notes-{e['version']}")
+        for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
+            if info.base_name.endswith(".json") and not info.base_name.startswith("."):
+                with fs.open_input_stream(info.path) as f:
+                    note = json.loads(f.read())
+                if note["batch"] not in e["batches"]:
+                    e["batches"] = sorted([*e["batches"], note["batch"]])
+                e["batch"] = max(e["batch"], note["batch"])
+                if note["stream"] is not None:
+                    e["stream"] = max(e["stream"], note["stream"])
+
+    def _check_unique(self, name: str, e: dict, rows: DataFrame) -> None:
+        """Values of pk and unique attributes stand once, in the rows and in the entity; only pk may not be null."""
+        for a in e["attributes"]:
+            if not (a.params.get("pk") or a.params.get("unique")) or a.kind == "auto":
+                continue
+            values = rows.select(a.name)
+            if a.params.get("pk") and not values.filter(F.col(a.name).isNull()).isEmpty():
+                raise EngineError(f"{a.name} may not be null")
+            values = values.filter(F.col(a.name).isNotNull())
+            twice = values.groupBy(a.name).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+            if not twice.isEmpty() or (e["batches"] and not values.join(self.table(name).select(a.name), a.name, "left_semi").isEmpty()):
+                raise EngineError(f"values of {a.name} are not unique")
+
+    def _check_dims(self, e: dict, rows: DataFrame) -> dict:
+        """The width of a vector attribute is learnt from the first rows and then enforced; gives the widths known now."""
+        dims = dict(e["dims"])
         for a in e["attributes"]:
             if a.kind == "vector":
                 low, high = rows.agg(F.min(F.size(a.name)), F.max(F.size(a.name))).first()
                 if high is None or high < 0:
                     continue
-                n = e["dims"].setdefault(a.name, high)
+                n = dims.setdefault(a.name, high)
                 if high != n or (low not in (n, -1, None)):
                     raise EngineError(f"vectors of {a.name} have {n} dimensions")
+        return dims
 
-    def _replace(self, name: str, df: DataFrame) -> None:
+    def _replace(self, name: str, df: DataFrame, attributes: Sequence[Attribute] | None = None) -> None:
+        """A new version of an entity in one batch. The catalog changes when it is written; then the old one goes."""
         e = self._entry(name)
-        new = e["version"] + 1
-        for g, attrs in self._by_engine(e).items():
-            stores.write(df.select(PK, *[a.name for a in attrs]), g, self._path(name, g, new), "overwrite")
-        old, e["version"] = e["version"], new
-        for g in self._by_engine(e):
+        after = list(attributes or e["attributes"])
+        old, new, before = e["version"], e["version"] + 1, self._by_engine(e)
+        self._write(name, e, after, df, new, e["batch"])
+        self._note(name, new, e["batch"], e["stream"])
+        e["attributes"], e["version"], e["batches"] = after, new, [e["batch"]]
+        for g in before:
             delete_path(self.spark, self._path(name, g, old))
+        delete_path(self.spark, f"{self.root}/{name}/notes-{old}")
+
+    def _bytes(self, name: str) -> int:
+        e = self._entry(name)
+        return sum(path_bytes(self.spark, self._path(name, g, e["version"])) for g in self._by_engine(e))
 
     def delete(self, name: str, predicates: Sequence[M.Predicate]) -> int:
         """Deletes rows for which any predicate holds (a query wants all); gives their number."""
@@ -184,12 +240,13 @@ class Engine:
                 self._stale(clean_name(name))
         return n
 
-    def vacuum(self, name: str, partitions: int = DEFAULT_PARTITIONS) -> None:
+    def vacuum(self, name: str, partitions: int | None = None) -> None:
+        """Rewrites an entity in files of about FILE_BYTES, or in so many partitions."""
+        name = clean_name(name)
         with self.lock:
-            e = self._entry(name)
-            if not e["empty"]:
-                self._replace(clean_name(name), self.table(name).repartition(partitions, PK))
-            e["inserts"] = 0
+            if self._entry(name)["batches"]:
+                n = partitions or max(1, -(-self._bytes(name) // FILE_BYTES))
+                self._replace(name, self.table(name).repartition(n, PK))
 
     def repartition(self, name: str, n: int, attribute: str | None = None, join: DataFrame | None = None) -> None:
         """Rewrites an entity by hash of an attribute; join adds columns to choose it from."""
@@ -201,13 +258,7 @@ class Engine:
         e = self._entry(name)
         df = self.table(name).withColumn(attribute, to_sparse(F.col(attribute)))
         with self.lock:
-            before = list(e["attributes"])
-            e["attributes"] = [replace(a, kind="sparsevector") if a.name == attribute else a for a in before]
-            try:
-                self._replace(clean_name(name), df)
-            except Exception:
-                e["attributes"] = before
-                raise
+            self._replace(clean_name(name), df, [replace(a, kind="sparsevector") if a.name == attribute else a for a in e["attributes"]])
 
     def transfer(self, name: str, attributes: Sequence[str], engine: str) -> None:
         """Moves attributes to another store."""
@@ -216,13 +267,7 @@ class Engine:
         after = [replace(a, engine=engine) if a.name in wanted else a for a in e["attributes"]]
         check_attributes(after)
         with self.lock:
-            new, old, before = e["version"] + 1, e["version"], self._by_engine(e)
-            groups = self._by_engine({"attributes": after})
-            for g, attrs in groups.items():
-                stores.write(df.select(PK, *[a.name for a in attrs]), g, self._path(clean_name(name), g, new), "overwrite")
-            e["attributes"], e["version"] = after, new
-            for g in before:
-                delete_path(self.spark, self._path(clean_name(name), g, old))
+            self._replace(clean_name(name), df, after)
 
     def count(self, name: str) -> int:
         return self.table(name).count()
@@ -260,12 +305,14 @@ class Engine:
 
     def create_index(self, entity: str, attribute: str, kind: str, distance: str = "euclidean", **options) -> str:
         entity, attribute = clean_name(entity), clean_name(attribute)
-        i = sum(ix.entity == entity and ix.attribute == attribute and ix.kind == kind for ix in self.indexes.values())
-        name = f"{entity}_{attribute}_{kind}_{i}"
+        stem = f"{entity}_{attribute}_{kind}_"
+        taken = [int(n[len(stem) :]) for n in self.indexes if n.startswith(stem) and n[len(stem) :].isdigit()]
+        name = f"{stem}{max(taken, default=-1) + 1}"
         ix = indexes.build(kind, self.table(entity), attribute, distance, name, entity, self.minimum, **options)
         path = f"{self.root}/{entity}/index/{name}-{time.time_ns()}"
         ix.data.write.mode("overwrite").parquet(path)
         ix.data = self.spark.read.schema(ix.data.schema).parquet(path)
+        ix.options = {**ix.options, "path": path}
         self.indexes[name] = ix
         return name
 
@@ -305,8 +352,12 @@ class Engine:
         return self.index(name).data.persist().count()
 
     def drop_index(self, name: str) -> None:
-        self.index(name).data.unpersist()
+        ix = self.index(name)
+        ix.data.unpersist()
         del self.indexes[name]
+        path = ix.options.get("path")
+        if path and all(other.options.get("path") != path for other in self.indexes.values()):
+            delete_path(self.spark, path)
 
     def save_index_meta(self, name: str) -> bytes:
         ix = self.index(name)
@@ -343,7 +394,10 @@ class Engine:
             path = f"{self.root}/{ix.entity}/index/{new.name}-{time.time_ns()}"
             placed.write.mode("overwrite").partitionBy("part").parquet(path)
             new.data = self.spark.read.schema(placed.schema).parquet(path)
-        new.options = {**ix.options, "partitioner": partitioner, "nparts": n}
+        old = ix.options.get("path")
+        new.options = {**ix.options, "partitioner": partitioner, "nparts": n, **({"path": path} if mode != "temp" else {})}
+        if mode == "replace" and old:
+            delete_path(self.spark, old)
         self.indexes[new.name] = new
         return new.name
 
@@ -356,7 +410,10 @@ class Engine:
         return indexes.pairwise(ix.distance, leaders, coarse).argmin(axis=1)
 
     def choose_partitions(self, name: str, r: M.Ranking, skip: float, seed: int = 1) -> frozenset:
-        """Which parts to keep if the share `skip` may be left out: those nearest to the query, else its own and random ones."""
+        """Which parts to keep if the share `skip` may be left out: those nearest to the query, else random ones.
+
+        Without leaders the parts are of ids or drawn, so no part is nearer to a query than another.
+        """
         ix = self.index(name)
         n = ix.options.get("nparts", 1)
         keep = max(1, round(n * (1 - skip)))
@@ -386,7 +443,7 @@ class Engine:
         if isinstance(n, M.Scan):
             df = basic.where(self.table(n.entity), n.where)
             if n.prefilter is not None:
-                df = basic.within(df, run(n.prefilter), n.filter_method)
+                df = basic.within(df, run(n.prefilter), n.filter_method, again=lambda: self.table(n.entity, n.where))
             out = basic.nearest(df, n.ranking) if n.ranking else df
             label = "sequential scan" if n.ranking else "filter"
         elif isinstance(n, M.IndexScan):
@@ -431,6 +488,8 @@ class Engine:
             raise EngineError(f"unknown query operator {label}")
         if source and SOURCE not in out.columns:
             out = out.withColumn(SOURCE, F.lit(label))
+        if source and isinstance(n, M.Combine):
+            out = self._with_source(n, out, label)
         if on_step:
             on_step(n, out)
         return out
@@ -476,6 +535,22 @@ class Engine:
             return self._entity_of(n.source)
         raise EngineError("the query has no single entity")
 
+    def _label(self, n: M.Node) -> str:
+        if isinstance(n, M.IndexScan):
+            return n.index
+        if isinstance(n, M.Combine):
+            return n.how
+        if isinstance(n, M.Scan):
+            return "sequential scan" if n.ranking else "filter"
+        return type(n).__name__
+
+    def _with_source(self, n: M.Combine, out: DataFrame, label: str) -> DataFrame:
+        """ap_source of a combination: a->b if one side went first, x UNION and the like, l FUZZYUNION r with x for a side that lacks the id."""
+        if n.order != "parallel" and n.how != "union":
+            first, second = (n.left, n.right) if n.order == "left" else (n.right, n.left)
+            return out.withColumn(SOURCE, F.lit(f"{self._label(first)}->{self._label(second)}"))
+        return out if n.how.startswith("fuzzy") else out.withColumn(SOURCE, F.lit(f"x {label.upper()}"))
+
     def _combine(self, n: M.Combine, run: Callable) -> DataFrame:
         left, right = run(n.left), run(n.right)
         how = "intersect" if n.how == "join" else n.how
@@ -484,14 +559,14 @@ class Engine:
             return basic.sequenced(how, first, second)
         o = dict(n.options)
         if how.startswith("fuzzy"):
-            return basic.fuzzy(left, right, how[5:], o.get("fuzzycombination", "outer"), float(o.get("fuzzydefault", 0.0)), o.get("fuzzy", "standard") == "standard")
+            return basic.fuzzy(left, right, how[5:], o.get("fuzzycombination", "outer"), float(o.get("fuzzydefault", 0.0)), o.get("fuzzy", "standard") == "standard", (self._label(n.left), self._label(n.right)))
         return {"union": basic.union, "intersect": basic.intersect, "except": basic.minus}[how](left, right)
 
     def _external(self, n: M.External) -> DataFrame:
         o, df = dict(n.params), self.table(n.entity)
         if n.handler in ("text", "solr"):
             found = textsearch.bm25(df, PK, o["attribute"], o["query"])
-            return df.join(found, PK).orderBy(F.col("ap_score").desc(), PK).limit(int(o.get("limit", 50_000)))
+            return df.join(found, PK).orderBy(F.col("ap_score").desc(), PK).limit(int(o.get("limit") or 2**31 - 1))
         if n.handler in ("geo", "gis", "postgis"):
             return textsearch.geo_within(df, o["attribute"], float(o["lat"]), float(o["lng"]), float(o["metres"]))
         raise EngineError(f"unknown handler {n.handler!r}")
@@ -524,11 +599,22 @@ class Engine:
     def knn_index(self, index: str, r: M.Ranking, where: Sequence[M.Predicate] = ()) -> DataFrame:
         return self.query(M.IndexScan(index, r, tuple(where)))
 
-    def iter_pages(self, q: M.Node | dict | str, size: int = 500) -> Iterator[list]:
-        yield from basic.pages(self.query(q), size)
+    def iter_pages(self, q: M.Node | dict | str, size: int = 500, cap: int | None = 50_000) -> Iterator[list]:
+        """Rows in pages; cap None gives all."""
+        yield from basic.pages(self.query(q), size, cap)
+
+    def run(self, q: M.Node | dict | str, query_id: str) -> DataFrame:
+        """Runs a query to its end under an id by which stop() can end it; gives the stored result."""
+        self.spark.sparkContext.addJobTag(query_id)
+        try:
+            return materialise(self.query(q), "result")
+        finally:
+            self.spark.sparkContext.removeJobTag(query_id)
 
-    def batch(self, qs: Sequence[M.Node | dict | str]) -> list[DataFrame]:
-        return [self.query(q) for q in qs]
+    def batch(self, qs: Sequence[M.Node | dict | str], at_once: int = 4) -> list[DataFrame]:
+        """The stored results of several queries, so many run side by side; in the order given."""
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            return list(pool.map(lambda i: self.run(qs[i], f"batch-{id(qs)}-{i}"), range(len(qs))))
 
     def paths(self, entity: str, r: M.Ranking, chooser: str = "simple", hints: Sequence[str] = (), names: Sequence[str] = (), where: Sequence[M.Predicate] = ()) -> list[M.Node]:
         """Access paths to run side by side; simple: the best of each kind, all, hints, kinds or names."""
@@ -554,19 +640,20 @@ class Engine:
     def in_parallel(self, nodes: Sequence[M.Node], seconds: float | None = None) -> Iterator[tuple[float, DataFrame]]:
         """(confidence, result) of each path as it gets ready, never worse than the one before.
 
-        Results are of bounded size (k rows) and are held as local tables. What
+        Results of k rows are held as local tables, others are stored. What
         still runs when one of full confidence is there, or time is up, is cancelled.
         """
         tag = f"paths-{time.time_ns()}"
         end = None if seconds is None else time.time() + seconds
 
         def work(n: M.Node) -> tuple[float, DataFrame]:
-            self.spark.addTag(tag)
+            self.spark.sparkContext.addJobTag(tag)
             try:
                 df = self._run(n)
-                return self._confidence(n), self.spark.createDataFrame(df.collect(), df.schema)
+                small = getattr(n, "ranking", None) is not None  # k rows
+                return self._confidence(n), self.spark.createDataFrame(df.collect(), df.schema) if small else materialise(df, "result")
             finally:
-                self.spark.removeTag(tag)
+                self.spark.sparkContext.removeJobTag(tag)
 
         pool = ThreadPoolExecutor(max(1, len(nodes)))
         todo, best = {pool.submit(work, n) for n in dict.fromkeys(nodes)}, -1.0
@@ -581,7 +668,7 @@ class Engine:
                         best = f.result()[0]
                         yield f.result()
         finally:
-            self.spark.interruptTag(tag)
+            self.spark.sparkContext.cancelJobsWithTag(tag)
             pool.shutdown(wait=False, cancel_futures=True)
 
     def knn_parallel(self, entity: str, r: M.Ranking, where: Sequence[M.Predicate] = (), chooser: str = "simple", **kw) -> Iterator[tuple[float, DataFrame]]:
@@ -593,17 +680,26 @@ class Engine:
             pass
         return best
 
-    def progressive(self, q: M.Node | dict | str) -> list[tuple[M.Node, DataFrame]]:
-        """Every intermediate result of one plan, innermost first."""
+    def progressive(self, q: M.Node | dict | str) -> Iterator[tuple[M.Node, DataFrame]]:
+        """Every intermediate result of one plan, innermost first, each as soon as it is computed; later ones build on it."""
         steps: list[tuple[M.Node, DataFrame]] = []
         self.query(q, on_step=lambda n, df: steps.append((n, df)))
-        return steps
+        held = []
+        try:
+            for n, df in steps:
+                held.append(df.persist())
+                df.count()
+                yield n, df
+        finally:
+            for df in held:
+                df.unpersist()
 
-    def stop(self, tag: str) -> None:
-        self.spark.interruptTag(tag)
+    def stop(self, query_id: str) -> None:
+        """Ends the jobs of a query that runs under this id."""
+        self.spark.sparkContext.cancelJobsWithTag(query_id)
 
     def stop_all(self) -> None:
-        self.spark.interruptAll()
+        self.spark.sparkContext.cancelAllJobs()
 
     def ping(self) -> bool:
         return self.spark.range(1).count() == 1
@@ -658,6 +754,8 @@ class Engine:
             kept = pickle.loads(f.read())
         e = cls(spark, root, kept["minimum"])
         e.entities = kept["entities"]
+        for name in e.entities:
+            e._recover(name)
         for name, (ix, files, schema) in kept["indexes"].items():
             if files:
                 folder = files[0].rsplit("/", 1)[0].split("/part=")[0]

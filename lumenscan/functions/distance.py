@@ -114,7 +114,7 @@ _simple(
     finish=_correlation, weighted=False,
 )
 _simple("hamming", sums=(lambda a, b, w: F.when(F.abs(_d(a, b)) > TINY, w * F.lit(1.0)).otherwise(0.0),), finish=lambda s: s)
-_simple("jaccard", sums=(lambda a, b, w: F.least(a, b), lambda a, b, w: F.greatest(a, b)), finish=lambda x, y: 1 - _ratio(x, y), weighted=False)
+_simple("jaccard", sums=(lambda a, b, w: F.when(b.isNotNull(), F.least(a, b)), lambda a, b, w: F.when(b.isNotNull(), F.greatest(a, b))), finish=lambda x, y: 1 - _ratio(x, y), weighted=False)
 _simple("kullbackleibler", sums=(_kl,), finish=lambda s: s, weighted=False)
 _simple("spannorm", largest=(lambda a, b, w: _d(a, b),), least=(lambda a, b, w: _d(a, b),), finish=lambda x, y: x - y, weighted=False)
 _simple("modulo", sums=(_modulo,), finish=lambda s: s)
@@ -166,9 +166,10 @@ def _unrolled(d: Distance, q: Sequence[float], v: Column, w: Sequence[float] | N
 
 
 def _folded(d: Distance, q: Column, v: Column, w: Column | None) -> Column:
-    pairs = F.zip_with(q, v, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    n = F.least(F.size(q), F.size(v))
+    pairs = F.zip_with(F.slice(q, F.lit(1), n), F.slice(v, F.lit(1), n), lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
     if w is not None:
-        pairs = F.zip_with(pairs, w, lambda p, x: F.struct(p["a"].alias("a"), p["b"].alias("b"), x.cast("double").alias("w")))
+        pairs = F.zip_with(pairs, F.slice(w, F.lit(1), n), lambda p, x: F.struct(p["a"].alias("a"), p["b"].alias("b"), x.cast("double").alias("w")))
 
     def over(t: Term) -> Column:
         return F.transform(pairs, lambda p: t(p["a"], p["b"], 1.0 if w is None else p["w"]))

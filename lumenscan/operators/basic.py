@@ -6,7 +6,7 @@ ap_distance. A combination works on ids; scalar work stays in Catalyst.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from lumenscan.functions import distance as D
 from lumenscan.model import OPERATORS, Predicate, Ranking
+from lumenscan.runtime import materialise
 from lumenscan.types import DISTANCE, PK, SOURCE, EngineError
 
 IN_CHUNK = 500
@@ -49,29 +50,31 @@ def where(df: DataFrame, predicates: Sequence[Predicate]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, map(condition, predicates))) if predicates else df
 
 
-def within(df: DataFrame, ids: DataFrame, method: str = "semijoin", pk: str = PK) -> DataFrame:
+def within(df: DataFrame, ids: DataFrame, method: str = "semijoin", pk: str = PK, again: Callable[[], DataFrame] | None = None, most: int = 100 * IN_CHUNK) -> DataFrame:
     """Rows whose id is among `ids`, by one of four ways with the same result.
 
     semijoin leaves the physical join to Catalyst, which broadcasts ids only if
-    they are small; bloom first drops most rows by a filter of fixed size;
-    inlist turns few ids into pushed-down IN filters; pushdown the same on a
-    fresh scan. inlist and pushdown are for id sets that the caller knows to be
-    small; beyond a hundred chunks they fall back to the join.
+    they are small. The others are taken only for fewer ids than `most` and than
+    half of the rows, and are a semi-join beyond: inlist turns the ids into IN
+    filters on df, pushdown into IN filters on a fresh read (`again`), which
+    reach the scan; bloom first drops most rows by a filter of 16 slots an id.
     """
+    if method not in ("semijoin", "inlist", "pushdown", "bloom"):
+        raise EngineError(f"unknown filter method {method!r}")
     ids = ids.select(pk).distinct()
-    if method in ("inlist", "pushdown"):
-        few = [r[0] for r in ids.limit(100 * IN_CHUNK + 1).collect()]
-        if len(few) <= 100 * IN_CHUNK:
-            chunks = [few[i : i + IN_CHUNK] for i in range(0, len(few), IN_CHUNK)]
-            return df.filter(reduce(lambda a, b: a | b, (F.col(pk).isin(c) for c in chunks))) if chunks else df.limit(0)
+    if method == "semijoin":
+        return df.join(ids, pk, "left_semi")
+    few = [r[0] for r in ids.limit(most + 1).collect()]
+    if len(few) > most or 2 * len(few) >= df.count():
+        return df.join(ids, pk, "left_semi")
     if method == "bloom":
-        bits = 1 << 16
-        slot = F.pmod(F.xxhash64(pk), F.lit(bits))
+        slot = F.pmod(F.xxhash64(pk), F.lit(max(1 << 16, 16 * len(few))))
         held = ids.select(slot.alias("_slot")).distinct()
         df = df.withColumn("_slot", slot).join(held, "_slot", "left_semi").drop("_slot")
-    elif method not in ("semijoin", "inlist", "pushdown"):
-        raise EngineError(f"unknown filter method {method!r}")
-    return df.join(ids, pk, "left_semi")
+        return df.join(ids, pk, "left_semi")
+    source = again() if method == "pushdown" and again is not None else df
+    chunks = [few[i : i + IN_CHUNK] for i in range(0, len(few), IN_CHUNK)]
+    return source.filter(reduce(lambda a, b: a | b, (F.col(pk).isin(c) for c in chunks))) if chunks else source.limit(0)
 
 
 def with_distance(df: DataFrame, r: Ranking, rounded: int | None = None) -> DataFrame:
@@ -84,19 +87,26 @@ def nearest(df: DataFrame, r: Ranking, pk: str = PK, rounded: int | None = None)
     return with_distance(df, r, rounded).orderBy(F.col(DISTANCE).asc(), F.col(pk).asc()).limit(r.k)
 
 
-def batch_nearest(queries: DataFrame, data: DataFrame, r: Ranking, query_id: str, query_vector: str, pk: str = PK, rounded: int | None = None, block: int = 2048) -> DataFrame:
-    """(query id, id, distance): k nearest rows for each of a stated set of queries, in one job.
+def batch_nearest(queries: DataFrame, data: DataFrame, r: Ranking, query_id: str, query_vector: str, pk: str = PK, rounded: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+    """(query id, id, distance): k nearest rows for each of a stated set of queries.
 
-    Queries are gathered into blocks of rows, and each block meets every row of
-    the data once; the k best are kept within each partition before the shuffle.
+    The queries are cut into blocks of at most about block_bytes (a vector's
+    width is taken from the longest); each block is sent to all tasks and meets
+    every row once, and the k best of a query are kept within each partition
+    before the shuffle. Null query vectors have no neighbours.
     """
-    q = queries.select(F.col(query_id), F.col(query_vector).cast("array<double>").alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(max(1, block))).alias("_b"))
-    packs = q.groupBy("_b").agg(F.collect_list(F.struct(query_id, "_q")).alias("_pack")).drop("_b")
-    d = D.between(D.find(r.distance, **dict(r.options)), F.col("_one")["_q"], F.col(r.attribute), r.weights)
-    met = data.select(F.col(pk), F.col(r.attribute)).join(packs, F.lit(True), "inner").select(pk, r.attribute, F.explode("_pack").alias("_one"))
-    scored = met.select(F.col("_one")[query_id].alias(query_id), F.col(pk), (F.round(d, rounded) if rounded is not None else d).alias(DISTANCE))
+    q = queries.select(F.col(query_id), F.col(query_vector).cast("array<double>").alias("_q")).filter(F.col("_q").isNotNull())
+    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("_q"))).first()
+    blocks = max(1, -(-n * 8 * (width or 1) // block_bytes))
+    d = D.between(D.find(r.distance, **dict(r.options)), F.col("_q"), F.col(r.attribute), r.weights)
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(DISTANCE, pk))
-    return scored.withColumn("_r", rank).filter(F.col("_r") <= r.k).drop("_r")
+    out = []
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else q
+        met = data.select(F.col(pk), F.col(r.attribute)).join(F.broadcast(part), F.lit(True), "inner")
+        scored = met.select(query_id, pk, (F.round(d, rounded) if rounded is not None else d).alias(DISTANCE))
+        out.append(scored.withColumn("_r", rank).filter(F.col("_r") <= r.k).drop("_r"))
+    return reduce(DataFrame.union, out)
 
 
 # ---- combination of two results ----
@@ -155,12 +165,13 @@ def sequenced(how: str, first: DataFrame, second: DataFrame) -> DataFrame:
     return within(second, first)
 
 
-def vote(lists: Sequence[DataFrame], limit: int = STOCHASTIC_LIMIT) -> DataFrame:
-    """Distance 1 - share of the lists that hold the id; nearest first, ties to the smaller id."""
+def vote(lists: Sequence[DataFrame], limit: int | None = STOCHASTIC_LIMIT) -> DataFrame:
+    """Distance 1 - share of the lists that hold the id; the `limit` nearest (None: all), ties to the smaller id."""
     if not lists:
         raise EngineError("nothing to vote")
     every = reduce(DataFrame.unionAll, (_ids(x).distinct() for x in lists))
-    return every.groupBy(PK).agg((1 - F.count(F.lit(1)) / len(lists)).alias(DISTANCE)).orderBy(DISTANCE, PK).limit(limit)
+    voted = every.groupBy(PK).agg((1 - F.count(F.lit(1)) / len(lists)).alias(DISTANCE))
+    return voted if limit is None else voted.orderBy(DISTANCE, PK).limit(limit)
 
 
 # ---- projection ----
@@ -186,10 +197,10 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn("ap_partition", F.spark_partition_id())
 
 
-def pages(df: DataFrame, size: int = 500, cap: int = 50_000) -> Iterator[list]:
-    """Rows in pages, as they come; only one partition at a time is on the driver."""
+def pages(df: DataFrame, size: int = 500, cap: int | None = 50_000) -> Iterator[list]:
+    """Up to cap rows (None: all) in pages, as they come; only one partition at a time is on the driver."""
     page: list = []
-    for row in df.limit(cap).toLocalIterator(prefetchPartitions=True):
+    for row in (df if cap is None else df.limit(cap)).toLocalIterator(prefetchPartitions=True):
         page.append(row)
         if len(page) == size:
             yield page
@@ -199,10 +210,19 @@ def pages(df: DataFrame, size: int = 500, cap: int = 50_000) -> Iterator[list]:
 
 
 def tuple_ids(df: DataFrame, batch: int, pk: str = PK) -> DataFrame:
-    """Adds unique ids: 20 bits of batch, 13 of partition, 30 of the row in its partition."""
+    """Adds unique ids: 20 bits of batch, 43 of the row's number in it. The rows are written out, so ids do not change.
+
+    Numbers are dense, whatever the number of partitions: the counts of the
+    partitions, a row for each, are summed up and joined back.
+    """
+    if not 0 <= batch < 1 << 20:
+        raise EngineError(f"batch {batch} does not fit an id")
     row = F.monotonically_increasing_id()
-    part, at = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(pk, F.lit(batch << 43) + F.shiftleft(part, 30) + at)
+    kept = materialise(df.withColumn("_row", row), "rows").withColumn("_part", F.shiftright("_row", 33))
+    counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(before), "_part").withColumn(pk, F.lit(batch << 43) + number).drop("_row", "_part", "_before")
 
 
 def sample_rows(df: DataFrame, n: int, pk: str = PK, seed: int = 7) -> DataFrame:

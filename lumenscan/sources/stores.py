@@ -48,7 +48,7 @@ def write(df: DataFrame, engine: str, path: str, mode: str = "append", **options
     _connected(engine, lambda: df.write.format(engine).mode(mode).save(path))
 
 
-def read(spark: SparkSession, engine: str, path: str, schema: T.StructType, predicates: Sequence[Predicate] = (), **options) -> DataFrame:
+def read(spark: SparkSession, engine: str, path: str | list[str], schema: T.StructType, predicates: Sequence[Predicate] = (), **options) -> DataFrame:
     """The stored rows; predicates reach the scan."""
     if engine in CONNECTORS:
         df = _connected(engine, lambda: spark.read.format(CONNECTORS[engine]).options(**options).load())

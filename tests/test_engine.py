@@ -120,8 +120,11 @@ def test_messages(engine):
     assert engine.query(one).first()["exists"] is True
     sub = {"from": {"expression": {"operation": "union", "left": q, "right": q}}, "using": q["using"], "where": [{"attribute": "tid", "op": ">", "value": 10}]}
     assert engine.query(sub).count() <= 4
-    steps = engine.progressive(sub)
-    assert len(steps) == 4
+    steps = [(n, df.count()) for n, df in engine.progressive(sub)]
+    assert len(steps) == 4 and steps[-1][1] == engine.query(sub).count()
+    early = next(engine.progressive(sub))
+    assert isinstance(early[0], M.Node) and early[1].count() == 4
+    assert [ids(df) for df in engine.batch([q, sub])] == [ids(engine.query(q)), ids(engine.query(sub))]
     assert engine.query({}).count() == 0
     assert sum(len(p) for p in engine.iter_pages({"from": {"entity": "pictures"}}, 90)) == 300
     assert {"ap_partition", "ap_source"} <= set(engine.query(q, ("partition", "source")).columns)
@@ -159,6 +162,101 @@ def test_write_operations(spark, engine, tmp_path):
     assert "pictures" in engine.catalog() and engine.ping()
 
 
+def test_a_failed_insert_leaves_nothing_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    from lumenscan.sources import stores
+
+    root = str(tmp_path / "e")
+    e = Engine(spark, root)
+    e.create_entity("c", [A("t", "long"), A("x", "string", "json")])
+    rows = spark.createDataFrame([(i, str(i)) for i in range(7)], "t long, x string")
+    e.insert("c", rows, stream_batch=0)
+    e.save()
+    real, calls = stores.write, []
+
+    def failing(*args, **kw):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("the store is away")
+        return real(*args, **kw)
+
+    monkeypatch.setattr(stores, "write", failing)
+    with pytest.raises(OSError):
+        e.insert("c", rows, stream_batch=1)
+    assert e.count("c") == 7
+    assert e.insert("c", rows, stream_batch=1) == 1 and e.insert("c", rows, stream_batch=1) == 0
+    assert e.count("c") == 14 and e.table("c").select("ap_id").distinct().count() == 14
+    # After a restart without a save the written batch is there, with its number.
+    back = Engine.open(spark, root)
+    assert back.count("c") == 14 and back.insert("c", rows, stream_batch=1) == 0 and back.insert("c", rows, stream_batch=2) == 1
+    back.vacuum("c")
+    back.save()
+    again = Engine.open(spark, root)
+    assert again.count("c") == 21 and again.insert("c", rows, stream_batch=2) == 0
+
+
+def test_ids_of_very_many_partitions(spark):
+    from lumenscan.operators import basic
+
+    a = basic.tuple_ids(spark.range(20_000, numPartitions=10_000).toDF("x"), 3)
+    assert a.select(F.min("ap_id"), F.max("ap_id"), F.countDistinct("ap_id")).first() == (3 << 43, (3 << 43) + 19_999, 20_000)
+    with pytest.raises(EngineError):
+        basic.tuple_ids(spark.range(1), 1 << 20)
+
+
+def test_pk_and_unique_attributes_are_enforced(spark):
+    e = Engine(spark)
+    e.create_entity("u", [A("pkfield", "long", params={"pk": True}), A("uniquefield", "integer", params={"unique": True}), A("indexedfield", "integer", params={"indexed": True})])
+    frame = lambda rows: spark.createDataFrame(rows, "pkfield long, uniquefield int, indexedfield int")
+    e.insert("u", frame([(1, 10, 5), (2, None, 4), (3, None, 4)]))
+    for bad in ([(4, 11, 1), (4, 12, 1)], [(1, 13, 1)], [(5, 10, 1)], [(None, 14, 1)], [(6, 15, 1), (7, 15, 1)]):
+        with pytest.raises(EngineError):
+            e.insert("u", frame(bad))
+    e.insert("u", frame([(8, 16, 3)]))
+    assert e.count("u") == 4
+
+
+def test_names_and_files_of_indexes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), 10)
+    e.create_entity("c", [A("v", "vector")])
+    e.generate("c", 40, **{"fv-dimensions": 4})
+    first, second = (e.create_index("c", "v", "vaf") for _ in range(2))
+    folder = e.index(first).options["path"]
+    e.drop_index(first)
+    assert e.create_index("c", "v", "vaf") not in (first, second) and e.index(second).data.count() == 40
+    assert not (tmp_path / folder.split("/e/", 1)[1]).exists() and not list((tmp_path / "e" / "c" / "index").glob(f"{first}-*"))
+
+
+def test_sources_of_combinations(engine):
+    a, b = M.Scan("pictures", (M.Predicate("tid", "<", (20,)),), rank(20)), M.Scan("pictures", (M.Predicate("tid", ">=", (10,)),))
+    of = lambda n: {r["ap_source"] for r in engine.query(n, ("source",)).collect()}
+    assert of(M.Combine("intersect", a, b, "left")) == {"sequential scan->filter"}
+    assert of(M.Combine("union", a, b)) == {"x UNION"}
+    c = M.Scan("pictures", (M.Predicate("tid", ">=", (10,)), M.Predicate("tid", "<", (30,))), rank(20))
+    assert of(M.Combine("fuzzyunion", a, c)) == {"sequential scan FUZZYUNION sequential scan", "x FUZZYUNION sequential scan", "sequential scan FUZZYUNION x"}
+
+
+def test_stopping_a_query_by_its_id(spark, engine):
+    import threading
+    import time as clock
+
+    slow = spark.range(0, 64, 1, 64).mapInPandas(lambda it: (clock.sleep(2) or p for p in it), "id long")
+    engine.attach("slow", slow, "id")
+    failed = []
+
+    def work():
+        try:
+            engine.run(M.Scan("slow"), "the-slow-one")
+        except Exception as e:
+            failed.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    clock.sleep(4)
+    engine.stop("the-slow-one")
+    t.join(25)
+    assert not t.is_alive() and failed
+
+
 def test_saved_catalog_import_and_export(spark, engine, tmp_path):
     e = Engine(spark, str(tmp_path / "e"), 10)
     e.create_entity("c", [A("t", "long"), A("v", "vector")])
