@@ -24,12 +24,12 @@ from lumenscan.runtime import discard, materialise, materialise_bucketed
 
 DAMPING = 0.85
 #: Rounds between extrapolations, and the summed change of a query's last round at which it has converged.
-CYCLE, TOLERANCE = 6, 1e-9
+CYCLE, TOLERANCE = 10, 1e-8
 #: Far more cycles than any walk has taken; one that has not converged by then is an error, not a result.
 MOST_CYCLES = 50
 #: Results of a query that are solved in one task; larger queries take the same steps over blocks of ranks.
 PACK_ROWS = 50_000
-#: Ranks of a block of a large list.
+#: Ranks of a block of a large list, and results of small queries that are solved side by side.
 BLOCK_ROWS = 20_000
 
 _OUT = "query_id string, ap_id long, stationarity double, scans int, listed int, worst_rank int"
@@ -47,61 +47,73 @@ def blend(gram: np.ndarray) -> np.ndarray:
     return g / g.sum()
 
 
-def walk(item: np.ndarray, scan: np.ndarray, cost: np.ndarray, ids: np.ndarray, damping: float = DAMPING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """item, scan: positions from 0. Gives per item: stationary probability, scans that list it, worst rank.
+def walks(query: np.ndarray, scan: np.ndarray, ids: np.ndarray, cost: np.ndarray, damping: float = DAMPING) -> tuple[np.ndarray, ...]:
+    """The walks of several queries side by side, from their results: query and scan number, item id, cost.
 
-    Ranks are by cost, ties to the smaller id. A scan that does not list an
-    item sends it to any of the items it lists.
+    Gives (query, id, stationary probability, scans of the query, scans that
+    list the item, worst rank), a row for each item. Ranks are by cost, ties to
+    the smaller id. A scan that does not list an item sends it to any of the
+    items it lists.
     """
-    n, k = int(item.max()) + 1, int(scan.max()) + 1
-    order = np.lexsort((ids[item], cost, scan))
-    item, scan = item[order], scan[order]
-    first = np.searchsorted(scan, np.arange(k))
-    size = np.diff(np.append(first, len(scan)))
-    rank = np.arange(len(scan)) - first[scan] + 1
-    listed = np.bincount(item, minlength=n)
+    order = np.lexsort((ids, cost, scan, query))
+    query, scan, ids = query[order], scan[order], ids[order]
+    new = np.concatenate([[True], (query[1:] != query[:-1]) | (scan[1:] != scan[:-1])])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(query)))
+    scan, owner = np.cumsum(new) - 1, query[first]  # lists are numbered through
+    rank = np.arange(len(query)) - first[scan] + 1
+    by_item = np.lexsort((ids, query))
+    fresh = np.concatenate([[True], (query[by_item][1:] != query[by_item][:-1]) | (ids[by_item][1:] != ids[by_item][:-1])])
+    item = np.empty(len(query), np.int64)
+    item[by_item] = np.cumsum(fresh) - 1
+    item_query, item_id = query[by_item][fresh], ids[by_item][fresh]
+    names, start = np.unique(item_query, return_index=True)
+    number = np.searchsorted(names, item_query)
+    owner = np.searchsorted(names, owner)
+    n, k = np.bincount(number), np.bincount(owner)
+    n_item, k_item = n[number], k[number]
+    listed, worst = np.bincount(item, minlength=len(item_id)), np.zeros(len(item_id), np.int64)
+    np.maximum.at(worst, item, rank)
 
     def moved(p: np.ndarray) -> np.ndarray:
         upward = np.cumsum((p[item] / rank)[::-1])[::-1]
-        beyond = np.append(upward, 0.0)[first + size]  # what lies after the scan's last rank
-        absent = (p.sum() - np.bincount(scan, p[item], minlength=k)) / size
-        return damping * np.bincount(item, upward - beyond[scan] + absent[scan], minlength=n) / k + (1 - damping) / n
+        beyond = np.append(upward, 0.0)[first + size]  # what lies after the list's last rank
+        absent = (np.add.reduceat(p, start)[owner] - np.bincount(scan, p[item], minlength=len(first))) / size
+        return damping * np.bincount(item, upward - beyond[scan] + absent[scan], minlength=len(p)) / k_item + (1 - damping) / n_item
 
-    p = np.full(n, 1 / n)
+    p = 1 / n_item
     for _ in range(MOST_CYCLES):
         path = [p]
         for _ in range(CYCLE):
             path.append(moved(path[-1]))
         steps = np.diff(path, axis=0)
         p = path[-1]
-        if np.abs(steps[-1]).sum() <= TOLERANCE:
-            break
-        p = np.maximum(blend(steps @ steps.T) @ np.asarray(path[1:]), 0)
-        p /= p.sum()
-    else:
-        raise RuntimeError("a walk has not converged")
-    worst = np.zeros(n, np.int64)
-    np.maximum.at(worst, item, rank)
-    return p, listed, worst
+        open_ = np.add.reduceat(np.abs(steps[-1]), start) > TOLERANCE
+        if not open_.any():
+            return item_query, item_id, p, k_item, listed, worst
+        gram = np.stack([np.add.reduceat(steps * step, start, axis=1) for step in steps])
+        weights = np.array([blend(gram[:, :, q]) if open_[q] else np.zeros(CYCLE) for q in range(len(names))])
+        ahead = np.maximum(np.einsum("ij,ji->i", weights[number], np.asarray(path[1:])), 0)
+        total = np.add.reduceat(ahead, start)[number]
+        p = np.where(open_[number], ahead / np.where(total > 0, total, 1), p)
+    raise RuntimeError("a walk has not converged")
 
 
 def _packed(batches: Iterator[pa.RecordBatch], damping: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        queries = batch.column(0).to_pylist()
         rows = batch.column(1)
         off, fields = rows.offsets.to_numpy(), rows.values.flatten()
-        source = np.asarray(fields[0].to_pylist(), object)
+        source = fields[0].dictionary_encode().indices.fill_null(-1).to_numpy()
         ap_id, cost = fields[1].to_numpy(), fields[2].to_numpy()
-        for q, a, z in zip(queries, off[:-1], off[1:]):
-            ids, item = np.unique(ap_id[a:z], return_inverse=True)
-            _, scan = np.unique(source[a:z].astype(str), return_inverse=True)
-            p, listed, worst = walk(item, scan, cost[a:z], ids, damping)
-            n = len(ids)
-            for column, v in zip(out, ([q] * n, ids, p, np.full(n, scan.max() + 1), listed, worst)):
-                column.extend(v)
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query_id", "ap_id", "stationarity", "scans", "listed", "worst_rank"])
+        a = 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_ROWS, "right")) - 1)
+            part = slice(off[a], off[z])
+            query = np.repeat(np.arange(a, z), np.diff(off[a : z + 1]))
+            out = walks(query, source[part], ap_id[part], cost[part], damping)
+            kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0])), *[pa.array(c).cast(t) for c, t in zip(out[1:], kinds)]], ["query_id", "ap_id", "stationarity", "scans", "listed", "worst_rank"])
+            a = z
 
 
 def _ranked(results: DataFrame) -> DataFrame:

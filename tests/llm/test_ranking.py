@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenscan.llm import rankwalk
-from lumenscan.llm.rankwalk import answered_results, rank_items, walk
+from lumenscan.llm.rankwalk import answered_results, rank_items, walks
 from lumenscan.llm.topn import oriented_results, top_n
 
 SCANS = "query_id string, ap_source string, ap_id long, ap_distance double, scored_at timestamp_ntz, rank int, cost int"
@@ -70,8 +70,7 @@ def test_agreed_items_stand_in_the_first_places():
             lists.append(head + others[2:])
         item, scan = np.concatenate(lists), np.repeat(np.arange(k), [len(x) for x in lists])
         cost = np.concatenate([np.arange(len(x)) for x in lists]).astype(float)
-        ids, at = np.unique(item, return_inverse=True)
-        p, listed, worst = walk(at, scan, cost, ids)
+        _, ids, p, _, listed, worst = walks(np.zeros(len(item), int), scan, item, cost)
         place = np.argsort(np.lexsort((ids, -p)))
         case = (listed == k) & (worst <= 5)
         seen += case.sum()
@@ -88,7 +87,7 @@ def test_no_scan_outweighs_by_its_range(spark, lists):
 
 def test_single_list_keeps_its_order_and_ties_go_to_the_smaller_id():
     ids = np.array([5, 6, 7, 9])
-    p, listed, worst = walk(np.arange(4), np.zeros(4, int), np.array([2.0, 1.0, 1.0, 3.0]), ids)
+    _, _, p, _, listed, worst = walks(np.zeros(4, int), np.zeros(4, int), ids, np.array([2.0, 1.0, 1.0, 3.0]))
     assert list(np.argsort(-p)) == [1, 2, 0, 3] and list(worst) == [3, 1, 2, 4] and set(listed) == {1}
 
 
