@@ -82,14 +82,14 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | N
     return out
 
 
-def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed", placed: bool = False) -> DataFrame:
+def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed", placed: bool = False, buckets: int | None = None) -> DataFrame:
     """As materialise, laid out in buckets of `key`: later joins on it need not shuffle this side.
 
-    placed: its tasks hold the partitions of repartition(n, key) already, n being spark.sql.shuffle.partitions.
+    placed: its tasks hold the partitions of repartition(n, key) already, n being buckets or else spark.sql.shuffle.partitions.
     """
     spark = df.sparkSession
     path, name = scratch_path(spark, label), f"{label}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df if placed else df.repartition(n, key)
     rows.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     _named[path] = name
