@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -119,6 +120,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     delete_path(spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets executors delete the shuffle files of finished steps.
+
+    Spark does so when the driver has collected what stood for them, which in
+    a long job with little garbage may be never.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
