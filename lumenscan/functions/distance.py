@@ -27,7 +27,8 @@ Term = Callable[[Column, Column, Column | float], Column]
 
 @dataclass(frozen=True)
 class Distance:
-    """sums: terms to add up over the dimensions. largest/least: terms to take the extremum of."""
+    """sums: terms to add up over the dimensions; of_row: those of them that do not look at the query.
+    largest/least: terms to take the extremum of."""
 
     name: str
     finish: Callable[..., Column]
@@ -36,6 +37,7 @@ class Distance:
     least: tuple[Term, ...] = ()
     weighted: bool = True
     options: dict = field(default_factory=dict)
+    of_row: tuple[int, ...] = ()
     whole: Callable[[Column, Column], Column] | None = None
 
 
@@ -107,11 +109,11 @@ _simple("euclidean", sums=(lambda a, b, w: w * _d(a, b) * _d(a, b),), finish=F.s
 _simple("squaredeuclidean", sums=(lambda a, b, w: w * _d(a, b) * _d(a, b),), finish=lambda s: s)
 _simple("chebyshev", largest=(lambda a, b, w: F.abs(w * _d(a, b)),), finish=lambda m: m)
 _simple("chisquared", sums=(_chi,), finish=lambda s: s)
-_simple("cosine", sums=(lambda a, b, w: a * b, lambda a, b, w: a * a, lambda a, b, w: b * b), finish=_cosine, weighted=False)
+_simple("cosine", sums=(lambda a, b, w: a * b, lambda a, b, w: a * a, lambda a, b, w: b * b), of_row=(2,), finish=_cosine, weighted=False)
 _simple(
     "correlation",
     sums=(lambda a, b, w: a * b, lambda a, b, w: a * a, lambda a, b, w: b * b, lambda a, b, w: a, lambda a, b, w: b, lambda a, b, w: a * 0 + b * 0 + 1.0),
-    finish=_correlation, weighted=False,
+    of_row=(2, 4, 5), finish=_correlation, weighted=False,
 )
 _simple("hamming", sums=(lambda a, b, w: F.when(F.abs(_d(a, b)) > TINY, w * F.lit(1.0)).otherwise(0.0),), finish=lambda s: s)
 _simple("jaccard", sums=(lambda a, b, w: F.when(b.isNotNull(), F.least(a, b)), lambda a, b, w: F.when(b.isNotNull(), F.greatest(a, b))), finish=lambda x, y: 1 - _ratio(x, y), weighted=False)
@@ -159,7 +161,14 @@ def _unrolled(d: Distance, q: Sequence[float], v: Column, w: Sequence[float] | N
     at = [F.get(v, i).cast("double") for i in range(len(q))]
     qs = [F.lit(float(x)) for x in q]
     ws = [1.0] * len(q) if w is None else [float(x) for x in w]
-    parts = [_tree(lambda x, y: x + y, [F.coalesce(t(a, b, c), F.lit(0.0)) for a, b, c in zip(qs, at, ws)]) for t in d.sums]
+    own = F.slice(v, 1, len(q))  # sums over the row alone are folded: unrolled too, the code would outgrow a method
+
+    def added(k: int, t: Term) -> Column:
+        if k in d.of_row:
+            return F.aggregate(own, F.lit(0.0), lambda s, x: s + F.coalesce(t(F.lit(0.0), x.cast("double"), 1.0), F.lit(0.0)))
+        return _tree(lambda x, y: x + y, [F.coalesce(t(a, b, c), F.lit(0.0)) for a, b, c in zip(qs, at, ws)])
+
+    parts = [added(k, t) for k, t in enumerate(d.sums)]
     for terms, op in ((d.largest, F.greatest), (d.least, F.least)):
         parts += [_tree(op, [t(a, b, c) for a, b, c in zip(qs, at, ws)]) if len(q) > 1 else t(qs[0], at[0], ws[0]) for t in terms]
     return d.finish(*parts)
@@ -215,6 +224,39 @@ def to_sparse(v: Column, least: float = 1e-10) -> Column:
     return F.struct(kept["i"].alias("index"), kept["x"].alias("data"), F.size(v).alias("length"))
 
 
+def sparse_between(d: Distance, a: Column, b: Column, weights: Column | None = None) -> Column:
+    """The distance of two sparse structs by position, for any distance; weights are a sparse struct too.
+
+    Positions that neither stores are 0 in both. Both are read over the
+    positions 0 .. length-1 that either or the weights store, and over one more
+    that stands for each kind of position that none of them stores, so the work
+    follows what is stored. A null is at the largest double.
+    """
+
+    def values(s: Column, at: Column) -> Column:
+        held = F.map_from_arrays(s["index"], s["data"])
+        return F.transform(at, lambda i: F.coalesce(F.try_element_at(held, i).cast("double"), F.lit(0.0)))
+
+    if d.whole is not None or d.name == "correlation":
+        out = between(d, to_dense(a), to_dense(b))  # these look at every position
+        return F.when(a.isNull() | b.isNull(), F.lit(MAX_DISTANCE)).otherwise(out)
+    at = F.array_union(a["index"], b["index"])
+    if weights is not None:
+        at = F.array_union(at, weights["index"])
+    rest = F.greatest(a["length"], b["length"]) > F.size(at)
+    # A position that nobody stores: zero on both sides, with no weight.
+    at = F.when(rest, F.array_append(at, F.lit(-1))).otherwise(at)
+    out = between(d, values(a, at), values(b, at), None if weights is None else values(weights, at))
+    return F.when(a.isNull() | b.isNull(), F.lit(MAX_DISTANCE)).otherwise(out)
+
+
+def sparse_literal(x: Sequence[float]) -> Column:
+    """The sparse struct of numbers given in full; zeros are not stored."""
+    held = [(i, float(v)) for i, v in enumerate(x) if v]
+    index = F.array(*[F.lit(i) for i, _ in held]).cast("array<int>")
+    return F.struct(index.alias("index"), F.array(*[F.lit(v) for _, v in held]).cast("array<double>").alias("data"), F.lit(len(x)).alias("length"))
+
+
 def sparse_dot(a: Column, b: Column) -> Column:
     """Dot product by position, not by place in the list."""
     held = F.map_from_arrays(b["index"], b["data"])

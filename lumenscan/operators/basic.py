@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from lumenscan.functions import distance as D
 from lumenscan.model import OPERATORS, Predicate, Ranking
@@ -78,8 +79,13 @@ def within(df: DataFrame, ids: DataFrame, method: str = "semijoin", pk: str = PK
 
 
 def with_distance(df: DataFrame, r: Ranking, rounded: int | None = None) -> DataFrame:
-    d = D.between(D.find(r.distance, **dict(r.options)), list(r.query), F.col(f"`{r.attribute}`"), r.weights)
-    return df.withColumn(DISTANCE, F.round(d, rounded) if rounded is not None else d)
+    """Adds ap_distance; a sparse attribute is compared by position, the query and weights being dense."""
+    d, v = D.find(r.distance, **dict(r.options)), F.col(f"`{r.attribute}`")
+    if isinstance(df.schema[r.attribute].dataType, StructType):
+        out = D.sparse_between(d, D.sparse_literal(r.query), v, None if r.weights is None or not d.weighted else D.sparse_literal(r.weights))
+    else:
+        out = D.between(d, list(r.query), v, r.weights)
+    return df.withColumn(DISTANCE, F.round(out, rounded) if rounded is not None else out)
 
 
 def nearest(df: DataFrame, r: Ranking, pk: str = PK, rounded: int | None = None) -> DataFrame:

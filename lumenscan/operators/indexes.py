@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lumenscan.functions import distance as D
 from lumenscan.model import Ranking
 from lumenscan.operators.basic import sample_rows
+from lumenscan.runtime import materialise
 from lumenscan.types import DISTANCE, PK, EngineError
 
 KINDS = ("vaf", "vav", "vap", "pq", "sh", "lsh", "ecp", "mi")
@@ -30,6 +31,8 @@ PROPERTIES = {
     "sh": (0.5, 0.4), "lsh": (0.5, 0.3), "ecp": (0.5, 0.6), "mi": (0.5, 0.2),
 }
 MINIMUM_ROWS = 100
+#: Leaders of cluster pruning unless `nleaders` says otherwise: every row is compared with all of them, and they travel to all tasks.
+MOST_LEADERS = 200
 SEED = 11
 
 
@@ -111,10 +114,26 @@ def _sample(rows: DataFrame, vec: str, n: int) -> np.ndarray:
     return np.array([r[vec] for r in got], np.float64)
 
 
-def _extremes(rows: DataFrame, vec: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """True least and largest value of every dimension over all rows."""
-    r = rows.select(*[F.min(F.get(vec, i)).alias(f"a{i}") for i in range(dims)], *[F.max(F.get(vec, i)).alias(f"z{i}") for i in range(dims)]).first()
-    return np.array(r[:dims], float), np.array(r[dims:], float)
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """So that partial results are as many as the cluster has cores, not as the data has partitions."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _extremes(rows: DataFrame, vec: str, dims: int, turn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """True least and largest value of every dimension over all rows, turned first if asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(dims, np.inf), np.full(dims, -np.inf)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0))
+                x = x if turn is None else x @ turn.T
+                low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array([low.tolist()]), pa.array([high.tolist()])], ["low", "high"])
+
+    source = rows.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(vec).cast("array<double>"))
+    parts = _few_tasks(source).mapInArrow(run, "low array<double>, high array<double>").toArrow()
+    return tuple(f(np.array(parts.column(i).to_pylist()), axis=0) for i, f in enumerate((np.min, np.max)))
 
 
 # ---- vector approximation files ----
@@ -185,28 +204,13 @@ def _build_va(kind: str, rows: DataFrame, vec: str, options: dict) -> tuple[dict
                 bits[i] += 1
                 left[i] /= 4
         bits = np.clip(bits, 1, 12)
-    if turn is None:
-        low, high = _extremes(rows, vec, dims)
-    else:
-        # All rows turned, for bounds that hold for every one of them.
-        r = turned_rows(rows, vec, turn)
-        low, high = _extremes(r, "v", dims)
+    low, high = _extremes(rows, vec, dims, turn)  # of all rows, so bounds hold for every one
     marks = _va_marks(sample, low, high, bits, how)
     meta = {"marks": marks, "bits": bits, "turn": turn, "dims": dims}
     encode = (lambda x: _cells(marks, x)) if turn is None else (lambda x: _cells(marks, x @ turn.T))
     return meta, _signatures(rows, vec, encode)
 
 
-def turned_rows(rows: DataFrame, vec: str, turn: np.ndarray) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column(0)) @ turn.T
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))], ["v"])
-
-    return rows.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>")).mapInArrow(run, "v array<double>")
-
-
 def _probe_va(ix: Index, r: Ranking, data: DataFrame) -> DataFrame:
     """Rows whose lower bound is within the k-th smallest upper bound: all true neighbours are."""
     marks, turn = ix.meta["marks"], ix.meta["turn"]
@@ -219,12 +223,23 @@ def _probe_va(ix: Index, r: Ranking, data: DataFrame) -> DataFrame:
     join = np.maximum.reduce if math.isinf(n) else np.add.reduce
     slack = 1e-9
 
-    def judge(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo = join([t[sig[:, i]] for i, t in enumerate(low)])
-        hi = join([t[sig[:, i]] for i, t in enumerate(up)])
-        return lo * (1 - slack), hi * (1 + slack) + 1e-12
+    k = r.k
 
-    b = _judged(data, judge, ["lo", "hi"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.empty(0)  # the k smallest upper bounds of this task so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            off = b.column(1).offsets.to_numpy()
+            sig = b.column(1).values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].reshape(b.num_rows, -1)
+            lo = join([t[sig[:, i]] for i, t in enumerate(low)]) * (1 - slack)
+            hi = join([t[sig[:, i]] for i, t in enumerate(up)]) * (1 + slack) + 1e-12
+            least = np.sort(np.concatenate([least, hi]))[:k]
+            at = np.flatnonzero(lo <= least[-1]) if len(least) == k else np.arange(len(lo))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(lo[at]), pa.array(hi[at])], ["ap_id", "lo", "hi"])
+
+    # One pass over the signatures; what a task leaves out lies beyond k rows of its own.
+    b = materialise(data.select("ap_id", "sig").mapInArrow(run, "ap_id long, lo double, hi double"), "bounds")
     tau = b.orderBy("hi").limit(r.k).agg(F.max("hi").alias("t"))
     return b.filter(F.col("lo") <= tau.scalar()).select("ap_id", ((F.col("lo") + F.col("hi")) / 2).alias(DISTANCE))
 
@@ -401,21 +416,48 @@ def pairwise(name: str, q: np.ndarray, v: np.ndarray, **options) -> np.ndarray:
 
 def _build_ecp(rows: DataFrame, vec: str, options: dict, distance: str) -> tuple[dict, DataFrame]:
     n = rows.count()
-    leaders = _sample(rows, vec, int(options.get("nleaders", options.get("ntraining", max(1, math.isqrt(n))))))
+    leaders = _sample(rows, vec, int(options.get("nleaders", options.get("ntraining", max(1, min(MOST_LEADERS, math.isqrt(n)))))))
 
     def assign(x: np.ndarray) -> np.ndarray:
         return np.concatenate([pairwise(distance, x[i : i + 1000], leaders).argmin(axis=1) for i in range(0, len(x), 1000)])[:, None].astype(np.int32)
 
     data = _signatures(rows, vec, assign)
     if options.get("leadertype", "simple") == "centroid":
-        cluster = data.select("ap_id", F.get("sig", 0).alias("c")).join(rows.select(F.col(PK).alias("ap_id"), F.col(vec).alias("v")), "ap_id")
-        means = cluster.groupBy("c").agg(*[F.avg(F.get("v", i)).alias(f"m{i}") for i in range(leaders.shape[1])]).collect()
-        for m in means:
-            leaders[m["c"]] = m[1:]
+        for c, n, mean in _means(rows, vec, assign, len(leaders)):
+            leaders[c] = mean / n
     counts = {r["c"]: r["n"] for r in data.groupBy(F.get("sig", 0).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     return {"leaders": leaders, "counts": np.array([counts.get(i, 0) for i in range(len(leaders))])}, data
 
 
+def _means(rows: DataFrame, vec: str, assign: Callable[[np.ndarray], np.ndarray], n: int) -> list[tuple[int, int, np.ndarray]]:
+    """(cluster, rows, sum of their vectors), summed in tasks and then by cluster."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = None, np.zeros(n, np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0))
+                c = assign(x)[:, 0]
+                total = np.zeros((n, x.shape[1])) if total is None else total
+                np.add.at(total, c, x)
+                count += np.bincount(c, minlength=n)
+        held = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[held]), pa.array([total[c].tolist() for c in held], pa.list_(pa.float64()))], ["c", "n", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            for c, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                before = sums.get(c, (0, 0.0))
+                sums[c] = (before[0] + k, before[1] + np.array(x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([k for k, _ in sums.values()], pa.int64()), pa.array([x.tolist() for _, x in sums.values()], pa.list_(pa.float64()))], ["c", "n", "x"])
+
+    kind = "c long, n long, x array<double>"
+    source = rows.filter(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(vec).cast("array<double>"))
+    t = _few_tasks(source).mapInArrow(partial, kind).repartition("c").mapInArrow(add, kind).toArrow()
+    return [(c, k, np.array(x)) for c, k, x in zip(*(col.to_pylist() for col in t.columns))]
+
+
 def _probe_ecp(ix: Index, r: Ranking, data: DataFrame) -> DataFrame:
     """Clusters by their leader's distance until they hold timesK * k rows, and one more."""
     d = pairwise(r.distance, np.asarray([r.query], float), ix.meta["leaders"], **dict(r.options))[0]

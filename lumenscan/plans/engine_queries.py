@@ -16,9 +16,9 @@ from lumenscan.engine import Engine
 from lumenscan.functions import distance as D
 from lumenscan.operators import basic, indexes, random_data, textsearch
 from lumenscan.plans import planner
-from lumenscan.runtime import table
+from lumenscan.runtime import materialise, table
 from lumenscan.sources import importers
-from lumenscan.types import Attribute
+from lumenscan.types import Attribute, EngineError
 
 K = 25
 DIMS = 64
@@ -161,6 +161,37 @@ def knn_sparse_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("ap_id", F.round(D.sparse_cosine(q, f), 6).alias("ap_distance")).orderBy("ap_distance", "ap_id").limit(K)
 
 
+_SPARSE_TERMS = {
+    "manhattan": "sum(abs(x - qx))", "euclidean": "sqrt(sum((x - qx) * (x - qx)))", "chebyshev": "max(abs(x - qx))", "minkowski": "pow(sum(pow(abs(x - qx), 3)), 1 / 3.0)",
+    "hamming": "sum(CASE WHEN abs(x - qx) > 1e-5 THEN 1.0::DOUBLE ELSE 0.0 END)", "chisquared": "sum(CASE WHEN x + qx > 0 THEN (x - qx) * (x - qx) / (x + qx) ELSE 0 END)",
+    "spannorm": "greatest(max(qx - x), 0) - least(min(qx - x), 0)",
+}
+
+
+def _sparse_ranked(distance: str) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = F.col("feature")
+        bad = F.exists(f.data, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.exists(f.index, lambda i: (i < 0) | (i >= f.length))
+        t = table(spark, sf, "sparse_features").filter((F.size(f.index) == F.size(f.data)) & ~bad & F.exists(f.data, lambda x: x != 0)).select("ap_id", "feature").dropDuplicates(["ap_id"])
+        first = t.orderBy("ap_id").limit(1).first()["feature"]
+        q = [0.0] * first["length"]
+        for i, x in zip(first["index"], first["data"]):
+            q[i] = float(x)
+        r = M.Ranking("feature", tuple(q), K, distance, None, (("norm", 3.0),) if distance == "minkowski" else ())
+        return _listed(basic.nearest(t, r, rounded=6))
+
+    return run
+
+
+for _name, _sql in _SPARSE_TERMS.items():
+    QUERIES[f"knn_sparse_{_name}"] = _sparse_ranked(_name)
+    SQL[f"knn_sparse_{_name}"] = (
+        f"WITH {_SPARSE}, p AS (SELECT s.ap_id, q.i, q.x AS qx FROM s CROSS JOIN q), "
+        "pair AS (SELECT ap_id, coalesce(c.x, 0) AS x, coalesce(qx, 0) AS qx FROM c FULL JOIN p USING (ap_id, i)) "
+        f"SELECT ap_id, round({_sql}, 6) + 0.0 AS ap_distance FROM pair GROUP BY 1 ORDER BY 2, 1 LIMIT {K}"
+    )
+
+
 _WHERE = (M.Predicate("label", "=", (1, 3, 5)), M.Predicate("ap_id", ">", (40,)))
 _WHERE_SQL = "label IN (1, 3, 5) AND vec_id > 40"
 
@@ -191,10 +222,24 @@ def _prefiltered(method: str) -> None:
     SQL[f"prefilter_{method}"] = _top(_EUCLID, K, _WHERE_SQL)
 
 
-for _m in ("semijoin", "inlist", "bloom", "pushdown"):
+for _m in ("semijoin", "inlist", "bloom"):
     _prefiltered(_m)
 
 
+@_add(_top(_EUCLID, K, _WHERE_SQL))
+def prefilter_pushdown(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of the filter go into a fresh read of the entity."""
+    q = M.Scan("emb", (), _ranking(_emb(spark, sf)), M.Scan("emb", _WHERE), "pushdown")
+    return _rounded(_engine(spark, sf).query(q))
+
+
+@_add(_top(_EUCLID, K, "label >= 1"))
+def prefilter_of_most_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of more than half of the rows: the configured way gives way to a semi-join."""
+    q = M.Scan("emb", (), _ranking(_emb(spark, sf)), M.Scan("emb", (M.Predicate("label", ">=", (1,)),)), "inlist")
+    return _rounded(_engine(spark, sf).query(q))
+
+
 @_add(
     f"WITH {_BASE} SELECT e.vec_id AS ap_id, o.vec_id AS query_id, round({_sum('((x - y) * (x - y))', 'o.v', 'e.v')}, 6) AS ap_distance FROM e, e o WHERE o.vec_id % 50 = 0 "
     f"QUALIFY row_number() OVER (PARTITION BY o.vec_id ORDER BY round({_sum('((x - y) * (x - y))', 'o.v', 'e.v')}, 6), e.vec_id) <= 10"
@@ -299,20 +344,54 @@ for _kind in ("vaf", "vav", "vap"):
 QUERIES["index_vaf_equidistant"], SQL["index_vaf_equidistant"] = _indexed("vaf", marktype="equidistant"), _top(_EUCLID)
 
 
-@_add("SELECT count(*) AS rows_indexed FROM embeddings")
-def index_pq_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return indexes.build("pq", _emb(spark, sf), "embedding").data.agg(F.count(F.lit(1)).alias("rows_indexed"))
+def _recall(kind: str, distance: str, times: int, **options) -> Callable:
+    """Whether the index finds nine of ten true neighbours (k = 10) of ten vectors, looking at `times` times k rows.
 
+    The vectors are all but random in 64 dimensions, so the lossy kinds must look at many.
+    """
 
-@_add("SELECT count(*) AS clustered FROM embeddings")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = _emb(spark, sf)
+        ix = indexes.build(kind, e, "embedding", distance, **options)
+        ix.data = materialise(ix.data, "signatures")
+        asked = e.filter("ap_id % 10 = 0").orderBy("ap_id").limit(10).collect()
+        found = hit = None
+        for r in asked:
+            ranking = M.Ranking("embedding", tuple(float(x) for x in r["embedding"]), 10, distance, None, (("timesK", times),))
+            truth = basic.nearest(e, ranking).select("ap_id")
+            got = basic.nearest(basic.within(e, indexes.candidates(ix, ranking)), ranking).select("ap_id")
+            hit = truth.join(got, "ap_id", "left_semi").select(F.lit(1).alias("one")) if hit is None else hit.unionAll(truth.join(got, "ap_id", "left_semi").select(F.lit(1).alias("one")))
+            found = len(asked) * 10
+        return hit.agg((F.count("one") >= F.lit(0.9 * found)).alias("recall_is_enough"))
+
+    return run
+
+
+for _kind, _d, _times, _o in (("pq", "euclidean", 10, {}), ("sh", "euclidean", 25, {}), ("lsh", "euclidean", 0, {"width": 0.9}), ("ecp", "cosine", 40, {}), ("mi", "euclidean", 25, {})):
+    QUERIES[f"index_{_kind}_recall"], SQL[f"index_{_kind}_recall"] = _recall(_kind, _d, _times, **_o), "SELECT TRUE AS recall_is_enough"
+
+
+@_add("SELECT count(*) AS clustered, TRUE AS sizes_agree, TRUE AS leaders_are_means FROM embeddings")
 def index_ecp_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    ix = indexes.build("ecp", _emb(spark, sf), "embedding", "cosine", leadertype="centroid")
-    return ix.data.groupBy(F.get("sig", 0).alias("c")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("clustered"))
+    """Every row in one cluster; the sizes kept with the index are those of the rows, and leaders are the means of their rows."""
+    e = _emb(spark, sf)
+    ix = indexes.build("ecp", e, "embedding", "cosine", leadertype="centroid")
+    rows = ix.data.select("ap_id", F.get("sig", 0).alias("c")).join(e, "ap_id")
+    leaders = [(i, int(n), float(m[0]), float(m[-1])) for i, (n, m) in enumerate(zip(ix.meta["counts"], ix.meta["leaders"])) if n]
+    kept = spark.createDataFrame(leaders, "c int, size long, first double, last double")
+    real = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.avg(F.get("embedding", 0)).alias("a"), F.avg(F.element_at("embedding", -1)).alias("z"))
+    near = (F.abs(F.col("a") - F.col("first")) < 1e-6) & (F.abs(F.col("z") - F.col("last")) < 1e-6)
+    both = real.join(kept, "c", "full_outer")
+    return both.agg(F.sum("n").alias("clustered"), F.min(F.coalesce(F.col("n") == F.col("size"), F.lit(False))).alias("sizes_agree"), F.min(F.coalesce(near, F.lit(False))).alias("leaders_are_means"))
 
 
 # ---- messages, planner ----
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("ap_id", F.round("ap_distance", 6).alias("ap_distance"))
+
+
 def _engine(spark: SparkSession, sf: str) -> Engine:
     e = Engine(spark)
     e.attach("emb", table(spark, sf, "embeddings"), "vec_id")
@@ -353,13 +432,151 @@ def parallel_paths(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("ap_id", F.round("ap_distance", 6).alias("ap_distance"))
 
 
-@_add()
+@_add("SELECT 3 AS paths, TRUE AS positive, TRUE AS best_first")
 def planner_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The planner is trained on every path; all get a score, and the ranking of paths follows it."""
     e = _engine(spark, sf)
     e.create_index("emb", "embedding", "vaf")
     e.create_index("emb", "embedding", "ecp")
-    scores = e.train_planner("emb", "embedding", 2, 10, "svm", 1)
-    return spark.createDataFrame([(p, float(s), "exact" in planner.COMPLEX_HINTS) for p, s in scores.items()], "path string, score double, known boolean")
+    r = _ranking(_emb(spark, sf))
+    trained = e.train_planner("emb", "embedding", 2, 10, "svm", 1)
+    order = [s for _, s in e.score_paths("emb", r)]
+    return spark.createDataFrame([(len(trained), all(s > 0 for s in trained.values()), order == sorted(order, reverse=True))], "paths int, positive boolean, best_first boolean")
+
+
+# ---- queries through the engine: trees, caches, times, pages, parts ----
+
+
+@_add(f"WITH {_BASE}, u AS (SELECT vec_id FROM e WHERE label = 1 UNION SELECT vec_id FROM e WHERE label = 2) SELECT vec_id AS ap_id, round({_EUCLID}, 6) AS ap_distance FROM e SEMI JOIN u USING (vec_id), q WHERE vec_id > 40 ORDER BY round({_EUCLID}, 6), vec_id LIMIT 10")
+def compound_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter and rank the union of two filters."""
+    side = lambda v: M.Scan("emb", (M.Predicate("label", "=", (v,)),))
+    q = M.SubQuery(M.Combine("union", side(1), side(2)), (M.Predicate("vec_id", ">", (40,)),), _ranking(_emb(spark, sf), 10))
+    return _rounded(_engine(spark, sf).query(q))
+
+
+@_add(f"WITH l AS ({_top(_EUCLID, 40)}) SELECT ap_id FROM l JOIN embeddings ON vec_id = ap_id WHERE label = 3")
+def filter_of_a_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicates on attributes of a result that is there already."""
+    q = M.SubQuery(M.Project(M.Scan("emb", (), _ranking(_emb(spark, sf), 40)), ("ap_id", "ap_distance")), (M.Predicate("label", "=", (3,)),))
+    return _engine(spark, sf).query(q).select("ap_id")
+
+
+@_add(f"{_TWO} SELECT ap_id FROM l JOIN r USING (ap_id)")
+def combine_join(spark: SparkSession, sf: str) -> DataFrame:
+    e = _emb(spark, sf)
+    q = M.Combine("join", M.Scan("emb", (), _ranking(e, 40)), M.Scan("emb", (), _ranking(e, 40, "chebyshev")))
+    return _engine(spark, sf).query(q).select("ap_id")
+
+
+@_add(
+    f"{_TWO} SELECT ap_id, CASE WHEN l.ap_distance IS NULL THEN 'x FUZZYUNION sequential scan' WHEN r.ap_distance IS NULL THEN 'sequential scan FUZZYUNION x' "
+    "ELSE 'sequential scan FUZZYUNION sequential scan' END AS ap_source FROM l FULL JOIN r USING (ap_id) UNION ALL SELECT ap_id, 'sequential scan->sequential scan' FROM l JOIN r USING (ap_id)"
+)
+def sources_of_results(spark: SparkSession, sf: str) -> DataFrame:
+    """ap_source of a fuzzy combination and of one that goes from left to right."""
+    e, engine = _emb(spark, sf), _engine(spark, sf)
+    a, b = M.Scan("emb", (), _ranking(e, 40)), M.Scan("emb", (), _ranking(e, 40, "chebyshev"))
+    found = [engine.query(M.Combine(how, a, b, order), ("source",)).select("ap_id", "ap_source") for how, order in (("fuzzyunion", "parallel"), ("intersect", "left"))]
+    return found[0].union(found[1])
+
+
+@_add(_top(_EUCLID))
+def timed_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Alternatives side by side: an exact one of full confidence ends the race."""
+    e, r = _engine(spark, sf), _ranking(_emb(spark, sf))
+    ix = e.create_index("emb", "embedding", "vaf")
+    return _rounded(e.query(M.Timed((M.Scan("emb", (), r), M.IndexScan(ix, r)), 300.0)))
+
+
+@_add(_top(_EUCLID))
+def timed_paths_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    e = _engine(spark, sf)
+    e.create_index("emb", "embedding", "vav")
+    return _rounded(e.knn_timed("emb", _ranking(_emb(spark, sf)), 300.0, chooser="kinds", hints=("vav",)))
+
+
+@_add(_top(_EUCLID))
+def cached_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The second run of a query takes the kept result, also when the entity is gone."""
+    e = _engine(spark, sf)
+    q = M.Cached(M.Scan("emb", (), _ranking(_emb(spark, sf))), id="kept")
+    e.query(q).count()
+    e.drop_entity("emb")
+    return _rounded(e.query(q))
+
+
+@_add(_top(_EUCLID, 5))
+def empty_side(spark: SparkSession, sf: str) -> DataFrame:
+    """A union with a query that gives nothing, ranked again."""
+    e, r = _emb(spark, sf), _ranking(_emb(spark, sf), 5)
+    return _rounded(_engine(spark, sf).query(M.SubQuery(M.Combine("union", M.Scan("emb", (), r), M.Empty()), (), r)))
+
+
+@_add("SELECT count(*) AS n, ceil(count(*) / 90.0)::INT AS pages FROM embeddings")
+def paged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = [len(p) for p in _engine(spark, sf).iter_pages(M.Scan("emb"), 90, None)]
+    return spark.createDataFrame([(sum(sizes), len(sizes))], "n long, pages int")
+
+
+@_add(" UNION ALL ".join(f"(SELECT {i} AS query, count(*) AS n, min(vec_id) AS first FROM embeddings WHERE label = {i})" for i in range(4)))
+def batch_of_queries(spark: SparkSession, sf: str) -> DataFrame:
+    found = _engine(spark, sf).batch([M.Scan("emb", (M.Predicate("label", "=", (i,)),)) for i in range(4)])
+    parts = [df.agg(F.lit(i).alias("query"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")) for i, df in enumerate(found)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@_add("SELECT * FROM (VALUES (1, 'Scan'), (2, 'Scan'), (3, 'Combine'), (4, 'SubQuery')) t(step, kind) CROSS JOIN (SELECT count(*) AS n FROM embeddings WHERE label IN (1, 2)) c WHERE step >= 3")
+def progressive_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps of a query as they become ready, the last two with their rows."""
+    side = lambda v: M.Scan("emb", (M.Predicate("label", "=", (v,)),))
+    q = M.SubQuery(M.Combine("union", side(1), side(2)))
+    steps = [(i, type(n).__name__, df.count()) for i, (n, df) in enumerate(_engine(spark, sf).progressive(q), 1)]
+    return spark.createDataFrame([s for s in steps if s[0] >= 3], "step int, kind string, n long")
+
+
+@_add("SELECT 4 AS parts, TRUE AS all_there, TRUE AS only_asked, TRUE AS agree")
+def partition_restriction(spark: SparkSession, sf: str) -> DataFrame:
+    """An index laid out in four parts; a ranking of two parts gives what an exact ranking of their rows gives."""
+    e, engine = _emb(spark, sf), _engine(spark, sf)
+    name = engine.repartition_index(engine.create_index("emb", "embedding", "vaf"), 4, "hash")
+    data = engine.index(name).data
+    r = M.Ranking("embedding", _q(e), K, partitions=frozenset({0, 2}))
+    got = engine.query(M.IndexScan(name, r)).select("ap_id")
+    rows = e.join(data.filter("part IN (0, 2)").select("ap_id"), "ap_id", "left_semi")
+    want = basic.nearest(rows, _ranking(e)).select("ap_id")
+    asked = got.join(data, "ap_id").agg(F.min(F.col("part").isin(0, 2)).alias("only_asked"))
+    same = got.exceptAll(want).unionAll(want.exceptAll(got)).agg((F.count(F.lit(1)) == 0).alias("agree"))
+    return data.agg(F.countDistinct("part").cast("int").alias("parts"), (F.count(F.lit(1)) == e.count()).alias("all_there")).crossJoin(asked).crossJoin(same)
+
+
+@_add("SELECT 2 AS kept, TRUE AS inside")
+def partition_skipping(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the parts of a clustered index may be left out: those far from the query are."""
+    e, engine = _emb(spark, sf), _engine(spark, sf)
+    name = engine.repartition_index(engine.create_index("emb", "embedding", "ecp"), 4, "ecp")
+    r = _ranking(e, K, skipPart=0.5)
+    kept = engine.choose_partitions(name, r, 0.5)
+    got = engine.query(M.IndexScan(name, r)).join(engine.index(name).data, "ap_id")
+    return got.agg(F.lit(len(kept)).alias("kept"), F.min(F.col("part").isin(sorted(kept))).alias("inside"))
+
+
+@_add("SELECT kind, TRUE AS there, count(*) AS n FROM embeddings CROSS JOIN (VALUES ('ecp'), ('lsh'), ('mi'), ('pq'), ('sh'), ('vaf'), ('vap'), ('vav')) t(kind) GROUP BY 1")
+def indexes_of_every_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """One index of every kind, what the catalog says of each, and how many rows it holds."""
+    e = _engine(spark, sf)
+    made = e.create_all_indexes("emb", "embedding")
+    rows = [(k, e.index_exists("emb", "embedding", k), sum(e.index_properties(n)["tuples"].values())) for n, _, k in e.list_indexes("emb") if n in made]
+    return spark.createDataFrame(rows, "kind string, there boolean, n long")
+
+
+@_add("SELECT 'doc' AS handler, count(*) AS n FROM documents WHERE contains(lower(text), 'turbine') AND list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'turbine')")
+def external_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A text search as a query operator, all hits."""
+    e = Engine(spark)
+    e.attach("doc", table(spark, sf, "documents"), "doc_id")
+    found = e.query(M.External("text", "doc", (("attribute", "text"), ("query", "turbine"), ("limit", 0))))
+    return found.agg(F.lit("doc").alias("handler"), F.count(F.lit(1)).alias("n"))
 
 
 # ---- data definition and change ----
@@ -399,18 +616,41 @@ def stream_insert_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.table("ev").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("events"))
 
 
-@_add("SELECT 1000 AS n, 1000 AS ids, 16 AS width")
+@_add("SELECT 1000 AS n, 1000 AS ids, 16 AS width, TRUE AS in_range, 0 AS changed")
 def random_tuples(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated rows: their ids, widths and ranges; the same seed gives the same rows."""
     a = [Attribute("v", "vector"), Attribute("s", "string"), Attribute("x", "double")]
-    df = basic.tuple_ids(random_data.generate(spark, a, 1000, 3, **{"fv-dimensions": 16}), 1)
-    return df.agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("ap_id").cast("int").alias("ids"), F.max(F.size("v")).alias("width"))
+    first, second = (random_data.generate(spark, a, 1000, 3, **{"fv-dimensions": 16}) for _ in range(2))
+    df = basic.tuple_ids(first, 1)
+    known = ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.col("s").isNotNull() & F.col("x").isNotNull()
+    one = df.agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("ap_id").cast("int").alias("ids"), F.max(F.size("v")).alias("width"), F.min(known).alias("in_range"))
+    return one.crossJoin(first.exceptAll(second).agg(F.count(F.lit(1)).cast("int").alias("changed")))
 
 
-@_add("SELECT pmod, count(*) AS n FROM (SELECT vec_id % 8 AS pmod FROM embeddings) GROUP BY 1")
-def partition_restriction(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows laid out by id modulo 8; each part holds one residue."""
-    e = _emb(spark, sf).withColumn("pmod", F.col("ap_id") % 8)
-    return e.repartition(8, "pmod").groupBy("pmod").agg(F.count(F.lit(1)).alias("n"))
+@_add("SELECT count(*) AS n, 100 AS shown, 50 AS sampled, TRUE AS same_sample FROM embeddings")
+def entity_looks(spark: SparkSession, sf: str) -> DataFrame:
+    """Count, preview and a sample of an entity; the sample is the same each time."""
+    e = _engine(spark, sf)
+    draws = [{r[0] for r in basic.sample_rows(e.table("emb").select("ap_id"), 50).collect()} for _ in range(2)]
+    return spark.createDataFrame([(e.count("emb"), e.preview("emb").count(), len(draws[0]), draws[0] == draws[1])], "n long, shown int, sampled int, same_sample boolean")
+
+
+@_add("SELECT count(*) AS n, 4 AS refused FROM customer")
+def entity_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that break a key or a unique attribute are refused whole."""
+    e = Engine(spark)
+    e.create_entity("cust", [Attribute("pkfield", "long", params={"pk": True}), Attribute("uniquefield", "string", params={"unique": True}), Attribute("indexedfield", "double", params={"indexed": True})])
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("pkfield"), F.col("c_name").alias("uniquefield"), F.col("c_acctbal").alias("indexedfield"))
+    e.insert("cust", c)
+    refused = 0
+    fresh = c.withColumn("pkfield", F.col("pkfield") + 10_000_000).withColumn("uniquefield", F.concat("uniquefield", F.lit("+")))
+    null = fresh.withColumn("pkfield", F.when(F.col("pkfield") % 2 == 0, F.col("pkfield")))
+    for bad in (c, fresh.unionAll(fresh), fresh.withColumn("uniquefield", F.lit("one")), null):
+        try:
+            e.insert("cust", bad)
+        except EngineError:
+            refused += 1
+    return e.table("cust").agg(F.count(F.lit(1)).alias("n"), F.lit(refused).alias("refused"))
 
 
 # ---- sources ----

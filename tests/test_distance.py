@@ -98,3 +98,33 @@ def test_wide_query_is_folded(spark):
     df = spark.createDataFrame([(v[1].tolist(),), (v[2].tolist(),)], "v array<double>")
     got = [r[0] for r in df.select(D.between(D.find("euclidean"), v[0].tolist(), F.col("v"))).collect()]
     assert got == pytest.approx([float(np.linalg.norm(v[0] - v[1])), float(np.linalg.norm(v[0] - v[2]))])
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_every_distance_of_sparse_vectors_equals_the_dense_one(spark, weighted):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(12):
+        v = np.round(np.abs(rng.normal(size=14)), 3) * (rng.random(14) < (0.4 if i else 0)) * (1 if i % 2 else -1)
+        rows.append((i, [float(np.float32(x)) for x in v]))
+    df = spark.createDataFrame(rows, "i int, v array<double>").withColumn("s", D.to_sparse(F.col("v")))
+    q = [float(np.float32(x)) for x in np.round(np.abs(rng.normal(size=14)), 3) * (rng.random(14) < 0.5)]
+    w = [float(x) for x in rng.choice([0.0, 0.5, 2.0], 14)] if weighted else None
+    ws = D.sparse_literal(w) if weighted else None
+    columns = []
+    for name in D.names():
+        d = D.find(name)
+        columns += [D.between(d, q, F.col("v"), w).alias(name), D.sparse_between(d, D.sparse_literal(q), F.col("s"), ws if d.weighted else None).alias(name + "_s")]
+    for r in df.select(*columns).collect():
+        for name in D.names():
+            assert r[name + "_s"] == pytest.approx(r[name], abs=1e-6, nan_ok=True), name
+    null = spark.createDataFrame([(None,)], "s struct<index:array<int>,data:array<float>,length:int>").select(D.sparse_between(D.find("euclidean"), D.sparse_literal(q), F.col("s")).alias("d")).first()
+    assert null["d"] == D.MAX_DISTANCE
+
+
+def test_widths_that_differ_mean_the_common_dimensions_either_way(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0, 5.0]), ([1.0, 2.0, 3.0, 4.0], [3.0, 4.0, 5.0])], "v array<double>, q array<double>")
+    for name in ("jaccard", "euclidean", "chebyshev", "spannorm", "chisquared"):
+        d = D.find(name)
+        got = df.select(D.between(d, [3.0, 4.0, 5.0], F.col("v")).alias("a"), D.between(d, F.col("q"), F.col("v")).alias("b")).collect()
+        assert all(r["a"] == pytest.approx(r["b"]) for r in got), name
