@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenscan.llm.graph import block_edges, blocks, both_ways, cell_forest, components, group_counts, large_components, runs, sketch, tile_edges, to_nodes
-from lumenscan.runtime import discard, materialise, materialise_bucketed
+from lumenscan.llm.graph import block_entries, blocks, both_ways, cell_forest, components, group_counts, large_components, runs, sketch, tile_edges, to_nodes
+from lumenscan.runtime import discard, materialise, materialise_bucketed, release
 
 INFLATION = 2.0
 #: Entries below this share of their column's largest are dropped.
@@ -47,56 +47,58 @@ def _joined_where_it_lies(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TOGETHER, before)
 
 
-def markov_sparse(edges: DataFrame, together: bool = True, inflation: float = INFLATION) -> DataFrame:
-    """(label, nid, cluster, flow) of the graph (label, u, v, s), u < v, label naming connected components.
+def entries(edges: DataFrame) -> DataFrame:
+    """(label, col, row, s, p) of a graph (label, u, v, s), u < v: both ways, with loops of weight one; p is the share of the column."""
+    ways = both_ways(edges.select("u", "v", "label", "s")).select("label", F.col("u").alias("col"), F.col("v").alias("row"), "s")
+    loops = ways.select("label", "col").distinct().select("label", "col", F.col("col").alias("row"), F.lit(1.0).alias("s"))
+    return ways.union(loops).withColumn("p", F.col("s") / F.sum("s").over(W.partitionBy("label", "col")))
 
-    The matrix is a table of entries (label, col, row, p). A round joins its
-    rows with its columns, sums, inflates and prunes; components that have
-    settled leave. together: the components are of bounded size and each lies
-    in one partition; otherwise rows and columns are shuffled. Both give the
-    same numbers but for the order of sums.
+
+def markov_sparse(matrix: DataFrame, together: bool = True, inflation: float = INFLATION) -> DataFrame:
+    """What is left of a matrix (label, col, row, p) of connected components when all have settled: its attractor rows.
+
+    A round joins the rows of the table with its columns, sums, inflates and
+    prunes; components that have settled leave. together: the components are
+    of bounded size and the table lies in buckets of label; otherwise it lies
+    by col, and rows and columns are shuffled. Both give the same numbers but
+    for the order of sums.
     """
-    spark = edges.sparkSession
     key = "label" if together else "col"
-
-    def placed(df: DataFrame, name: str, lies: bool) -> DataFrame:
-        return materialise_bucketed(df, key, name, placed=lies and together)
-
-    column = W.partitionBy("label", "col")
-    ways = both_ways(edges.select("u", "v", "label", "s")).select("label", F.col("u").alias("col"), F.col("v").alias("row"), F.col("s").alias("p"))
-    loops = ways.select("label", "col").distinct().select("label", "col", F.col("col").alias("row"), F.lit(1.0).alias("p"))
-    first = materialise_bucketed(ways.union(loops), key, "mcl")
-    done, settled = [], F.col("change") <= SETTLED * F.col("peak")
-    with _joined_where_it_lies(spark):
-        m = placed(first.withColumn("p", F.col("p") / F.sum("p").over(column)), "mcl", True)
-        discard(first)
-        for _ in range(MAX_ROUNDS):
+    column, part = W.partitionBy("label", "col"), W.partitionBy("label")
+    m, done = matrix.select("label", "col", "row", "p"), []
+    with _joined_where_it_lies(matrix.sparkSession):
+        for turn in range(MAX_ROUNDS):
             through = m.select("label", F.col("col").alias("mid"), F.col("row").alias("to"), F.col("p").alias("q"))
             flows = m.select("label", F.col("row").alias("mid"), "col", "p").join(through, ["label", "mid"])
             square = flows.groupBy("label", "col", F.col("to").alias("row")).agg(F.sum(F.col("p") * F.col("q")).alias("x"))
-            square = placed(square.join(m.withColumnRenamed("p", "old"), ["label", "col", "row"], "left"), "square", True)
-            state = square.groupBy("label").agg(F.max(F.abs(F.col("x") - F.coalesce("old", F.lit(0.0)))).alias("change"), F.max("x").alias("peak"))
+            square = square.join(m.withColumnRenamed("p", "old"), ["label", "col", "row"], "left")
+            change, peak = F.max(F.abs(F.col("x") - F.coalesce("old", F.lit(0.0)))), F.max("x")
+            if together:
+                square = square.withColumn("change", change.over(part)).withColumn("peak", peak.over(part))
+            else:  # a component may be of any size
+                square = materialise(square, "square")
+                square = square.join(square.groupBy("label").agg(change.alias("change"), peak.alias("peak")), "label")
             inflated = square.withColumn("p", F.pow("x", inflation)).withColumn("top", F.max("p").over(column)).filter(F.col("p") >= PRUNE * F.col("top"))
-            normal = inflated.withColumn("p", F.col("p") / F.sum("p").over(column)).select("label", "col", "row", "p")
-            step = placed(normal.join(state, "label").withColumn("settled", settled).select("label", "col", "row", "p", "settled"), "mcl", True)
-            discard(m)
-            discard(square)
+            normal = inflated.withColumn("p", F.col("p") / F.sum("p").over(column))
+            step = normal.select("label", "col", "row", "p", (F.col("change") <= SETTLED * F.col("peak")).alias("settled"))
+            step = materialise_bucketed(step, key, "mcl", placed=together)
             done.append(step.filter("settled").select("label", "col", "row", "p"))
             m = step.filter(~F.col("settled")).select("label", "col", "row", "p")
             if m.isEmpty():
-                break
-        else:
-            raise RuntimeError(f"a component has not settled in {MAX_ROUNDS} rounds")
-    ends = reduce(DataFrame.union, done)
-    return _attractors(ends) if together else _far_attractors(ends)
+                return reduce(DataFrame.union, done)
+    raise RuntimeError(f"a component has not settled in {MAX_ROUNDS} rounds")
 
 
-def _attractors(ends: DataFrame) -> DataFrame:
-    """Clusters of settled entries, component by component."""
+def settled_clusters(ends: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, x, link): clusters of settled entries, component by component, as rows (nid, cluster, flow), and after
+    them the links (label, u, v, s) that lie within a cluster, as rows (u, v, s) marked as links."""
+    rows = ends.select("label", F.lit(False).alias("link"), F.col("col").alias("a"), F.col("row").alias("b"), F.col("p").alias("x"))
+    rows = rows.union(links.select("label", F.lit(True), "u", "v", "s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
-            label, col, row, p = (t.column(c).to_numpy() for c in ("label", "col", "row", "p"))
+            link, a, b, x = (t.column(c).to_numpy() for c in ("link", "a", "b", "x"))
+            col, row, p = a[~link], b[~link], x[~link]
             nid, at = np.unique(np.concatenate([col, row]), return_inverse=True)
             c, r = at[: len(col)], at[len(col) :]
             low = np.arange(len(nid))
@@ -109,26 +111,30 @@ def _attractors(ends: DataFrame) -> DataFrame:
             # The least attractor names the cluster.
             name = np.full(len(nid), len(nid))
             np.minimum.at(name, low[r], r)
-            where = np.empty(len(nid), np.int64)
-            where[c] = label
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(nid), pa.array(nid[name[low]]), pa.array(np.bincount(r, p, minlength=len(nid)))], ["label", "nid", "cluster", "flow"])
+            u, v = a[link], b[link]
+            inside = low[np.searchsorted(nid, u)] == low[np.searchsorted(nid, v)]
+            columns = [
+                np.concatenate([nid, u[inside]]), np.concatenate([nid[name[low]], v[inside]]),
+                np.concatenate([np.bincount(r, p, minlength=len(nid)), x[link][inside]]), np.arange(len(nid) + inside.sum()) >= len(nid),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(col) for col in columns], ["a", "b", "x", "link"])
 
     n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ends.repartition(n, "label").sortWithinPartitions("label").mapInArrow(run, "label long, nid long, cluster long, flow double")
+    return rows.repartition(n, "label").sortWithinPartitions("label").mapInArrow(run, "a long, b long, x double, link boolean")
 
 
-def _far_attractors(ends: DataFrame) -> DataFrame:
+def settled_clusters_of_any_size(ends: DataFrame, links: DataFrame) -> DataFrame:
     """The same for components of any size, by joins."""
     ends = materialise(ends, "ends")
     near = components(ends.select(F.col("col").alias("u"), F.col("row").alias("v")))
     attractor = ends.join(near, ends["row"] == near["nid"]).groupBy(near["label"].alias("met")).agg(F.min("row").alias("cluster"))
     flow = ends.groupBy("row").agg(F.sum("p").alias("flow"))
-    cols = ends.select("label", "col").distinct()
-    return (
-        cols.join(near.select("nid", F.col("label").alias("met")), F.col("col") == F.col("nid")).join(attractor, "met")
-        .join(flow, F.col("nid") == F.col("row"), "left")
-        .select("label", "nid", "cluster", F.coalesce("flow", F.lit(0.0)).alias("flow"))
-    )
+    found = near.select("nid", F.col("label").alias("met")).join(attractor, "met").join(flow, F.col("nid") == F.col("row"), "left")
+    found = materialise(found.select("nid", "cluster", F.coalesce("flow", F.lit(0.0)).alias("flow")), "clusters")
+    u, v = found.select(F.col("nid").alias("u"), F.col("cluster").alias("cu")), found.select(F.col("nid").alias("v"), F.col("cluster").alias("cv"))
+    kept = links.join(u, "u").join(v, "v").filter("cu = cv")
+    rows = found.select(F.col("nid").alias("a"), F.col("cluster").alias("b"), F.col("flow").alias("x"), F.lit(False).alias("link"))
+    return rows.union(kept.select("u", "v", "s", F.lit(True)))
 
 
 def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,28 +150,21 @@ def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
     sketches = materialise(sketch(nodes, group_counts(nodes), threshold), "sketches")
     forest = materialise(cell_forest(sketches, threshold), "forest")
     discard(sketches)
+    release(nodes.sparkSession)
     labels = materialise(components(forest), "components")
     discard(forest)
-    small = materialise_bucketed(block_edges(blocks(labels, nodes), threshold), "label", "links")
-    with _joined_where_it_lies(nodes.sparkSession):
-        found = materialise_bucketed(markov_sparse(small), "label", "clusters", placed=True)
-        links = _within(small, found)
+    release(nodes.sparkSession)
+    small = materialise_bucketed(block_entries(blocks(labels, nodes), threshold), "label", "entries")
+    links = small.filter("col < row").select("label", F.col("col").alias("u"), F.col("row").alias("v"), "s")
+    found = materialise(settled_clusters(markov_sparse(small), links), "clusters")
     large = materialise(large_components(labels), "large")
     if not large.isEmpty():
         # Large components are compared whole too, in tiles.
-        inner = materialise(tile_edges(large, nodes, threshold), "links")
-        part = materialise(markov_sparse(inner, together=False), "clusters")
-        links = materialise(links.union(_within(inner, part)), "links")
-        found = materialise(found.union(part), "clusters")
-    return found.select("nid", "cluster", "flow"), links, members
-
-
-def _within(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """The edges whose two ends are in one cluster."""
-    u = found.select("label", F.col("nid").alias("u"), F.col("cluster").alias("cu"))
-    v = found.select("label", F.col("nid").alias("v"), F.col("cluster").alias("cv"))
-    kept = edges.join(u, ["label", "u"]).join(v, ["label", "v"]).filter("cu = cv").select("u", "v", "s")
-    return materialise(kept, "links")
+        links = materialise(tile_edges(large, nodes, threshold), "links")
+        matrix = materialise_bucketed(entries(links), "col", "entries")
+        found = materialise(found.union(settled_clusters_of_any_size(markov_sparse(matrix, together=False), links)), "clusters")
+    clusters = found.filter(~F.col("link")).select(F.col("a").alias("nid"), F.col("b").alias("cluster"), F.col("x").alias("flow"))
+    return clusters, found.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("x").alias("s")), members
 
 
 def all_clusters(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:

@@ -229,8 +229,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: int = 1, rows: int = 20_000) ->
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def cell_blocks(cell: np.ndarray, small: int = 384) -> Iterator[tuple[int, int]]:
-    """Rows to compare at once: several small cells or up to BLOCK rows of one."""
+def cell_blocks(cell: np.ndarray, small: int = 384, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Rows to compare at once: several small cells or up to `most` (BLOCK) rows of one."""
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     ends = np.append(starts[1:], len(cell))
     k = 0
@@ -238,26 +238,28 @@ def cell_blocks(cell: np.ndarray, small: int = 384) -> Iterator[tuple[int, int]]
         a = starts[k]
         while k + 1 < len(starts) and ends[k + 1] - a <= small:
             k += 1
-        for b in range(a, ends[k], BLOCK):
-            yield b, min(b + BLOCK, ends[k])
+        step = most or BLOCK
+        for b in range(a, ends[k], step):
+            yield b, min(b + step, ends[k])
         k += 1
 
 
 def cell_rows(sketches: DataFrame) -> DataFrame:
-    """(cell, t, nid, slack, sketch, parts): a row for each table; parts is above 1 for cells of more than BLOCK rows."""
+    """(cell, t, nid, slack, sketch): a row for each table; with parts, above 1 for cells of more than BLOCK rows, if there are any."""
     cells = sketches.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     large = materialise(cells.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "cells")
     rows = sketches.select(F.posexplode("cells").alias("t", "cell"), "nid", "slack", "sketch")
     if large.isEmpty():
-        return rows.select("cell", "t", "nid", "slack", "sketch", F.lit(1).alias("parts"))
+        return rows.select("cell", "t", "nid", "slack", "sketch")
     return rows.join(large, "cell", "left").select("cell", "t", "nid", "slack", "sketch", F.coalesce("parts", F.lit(1)).alias("parts"))
 
 
 def spread_cells(sketches: DataFrame) -> DataFrame:
     """(cell, part, nid, slack, sketch): cells whole in a task, large ones in random parts, other parts in every table."""
     n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("nid", "t"), F.col("parts")).cast("int")
-    rows = cell_rows(sketches).select("cell", part.alias("part"), "nid", "slack", "sketch")
+    rows = cell_rows(sketches)
+    part = F.pmod(F.xxhash64("nid", "t"), F.col("parts")).cast("int") if "parts" in rows.columns else F.lit(0)
+    rows = rows.select("cell", part.alias("part"), "nid", "slack", "sketch")
     return rows.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "nid")
 
 
@@ -268,43 +270,51 @@ def cell_forest(sketches: DataFrame, floor: float) -> DataFrame:
     BLOCK rows is cut into parts of about TILE, and every two parts are
     compared in one task.
     """
-    placed = cell_rows(sketches).withColumn("part", F.pmod(F.xxhash64("nid", F.lit(81)), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = placed.select("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "nid", "slack", "sketch")
-    tiles = tiles.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "nid")
+    rows = cell_rows(sketches)
+    if "parts" not in rows.columns:
+        tiles, keys = rows.select("cell", "nid", "slack", "sketch").repartition("cell").sortWithinPartitions("cell"), 1
+    else:
+        placed = rows.withColumn("part", F.pmod(F.xxhash64("nid", F.lit(81)), F.col("parts")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tiles = placed.select("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "nid", "slack", "sketch")
+        tiles, keys = tiles.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b"), 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 3):
-            cell, a, b, nid, slack = (t.column(c).to_numpy() for c in ("cell", "a", "b", "nid", "slack"))
-            key = np.cumsum(np.concatenate([[True], (cell[1:] != cell[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        for t in runs(batches, keys):
+            new = np.ones(t.num_rows, bool)
+            new[1:] = False
+            for c in t.columns[:keys]:
+                c = c.to_numpy()
+                new[1:] |= c[1:] != c[:-1]
+            key, nid, slack = np.cumsum(new), t.column("nid").to_numpy(), t.column("slack").to_numpy()
             sketched = t.column("sketch").combine_chunks()
-            sketched = sketched.chunk(0) if isinstance(sketched, pa.ChunkedArray) else sketched
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(starts[1:], len(key))
-            us, vs, k = [], [], 0
-            while k < len(starts):
-                p = starts[k]
-                while k + 1 < len(starts) and ends[k + 1] - p <= 384:
-                    k += 1
-                z = ends[k]
-                k += 1
+            us, vs = [], []
+            for p, z in cell_blocks(key, most=t.num_rows):
                 if z - p < 2:
                     continue
                 for at, unit in by_width(sketched.slice(p, z - p)):
-                    s = unit @ unit.T
-                    i, j = np.nonzero(s >= (floor - slack[p:z][at])[:, None])
-                    ok = (i < j) & (key[p:z][at][i] == key[p:z][at][j])
-                    i, j = i[ok], j[ok]
+                    own, k, floors = nid[p:z][at], key[p:z][at], (floor - slack[p:z][at])[:, None]
+                    left, right = [], []
+                    for a in range(0, len(at), 256):
+                        i, j = np.nonzero(unit[a : a + 256] @ unit[a:].T >= floors[a : a + 256])
+                        ok = (i < j) & (k[a:][i] == k[a:][j])
+                        left.append(i[ok] + a)
+                        right.append(j[ok] + a)
+                    i, j = np.concatenate(left), np.concatenate(right)
+                    if not len(i):
+                        continue
                     root = np.arange(len(at))
-                    while len(i):
+                    while True:
                         low = np.minimum(root[i], root[j])
                         if (low == root[i]).all() and (low == root[j]).all():
                             break
                         np.minimum.at(root, i, low)
                         np.minimum.at(root, j, low)
-                    own = nid[p:z][at]
-                    joined = np.flatnonzero(root != np.arange(len(at)))
-                    us.append(own[root[joined]])
+                    least = np.full(len(at), np.iinfo(np.int64).max)  # the least node of each group, so that tables agree
+                    np.minimum.at(least, root, own)
+                    u = least[root]
+                    joined = u != own
+                    us.append(u[joined])
                     vs.append(own[joined])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
@@ -399,19 +409,25 @@ def blocks(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def block_edges(packed: DataFrame, threshold: float) -> DataFrame:
-    """(label, u, v, s), u < v: every pair of a block whose stored vectors reach threshold."""
+def block_entries(packed: DataFrame, threshold: float) -> DataFrame:
+    """(label, col, row, s, p): the matrices of blocks: every pair whose stored vectors reach threshold, both ways, and
+    loops of weight one. s is the cosine, p its share of the column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for (nids, unit), label in zip(block_vectors(batch), batch.column(3).to_pylist()):
                 s = np.round(unit @ unit.T, 6)
-                i, j = np.nonzero(s >= threshold)
-                keep = nids[i] < nids[j]
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), label)), pa.array(nids[i]), pa.array(nids[j]), pa.array(s[i, j])], ["label", "u", "v", "s"])
-
-    return packed.mapInArrow(run, "label long, u long, v long, s double")
+                np.fill_diagonal(s, 1.0)
+                col, row = np.nonzero(s >= threshold)
+                w = s[col, row]
+                total = np.bincount(col, w, minlength=len(nids))
+                for held, x in zip(out, (np.full(len(col), label), nids[col], nids[row], w, w / total[col])):
+                    held.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["label", "col", "row", "s", "p"])
+
+    return packed.mapInArrow(run, "label long, col long, row long, s double, p double")
 
 
 def large_components(labels: DataFrame) -> DataFrame:

@@ -163,7 +163,13 @@ def test_sparse_squaring_agrees_with_full_matrices(spark, together):
     results = []
     for parts, chosen in ((1, edges), (5, edges[::-1]), (3, [e for e in edges if e[0] < 200])):
         df = spark.createDataFrame(chosen, schema).repartition(parts, "v")
-        results.append({r["nid"]: (r["cluster"], r["flow"]) for r in clusters.markov_sparse(df, together).collect()})
+        matrix = graph.materialise_bucketed(clusters.entries(df), "label" if together else "col")
+        ends = clusters.markov_sparse(matrix, together)
+        found = (clusters.settled_clusters if together else clusters.settled_clusters_of_any_size)(ends, df)
+        rows = found.collect()
+        results.append({r["a"]: (r["b"], r["x"]) for r in rows if not r["link"]})
+        kept = {(r["a"], r["b"]) for r in rows if r["link"]}
+        assert kept == {(u, v) for _, u, v, _ in chosen if results[-1][u][0] == results[-1][v][0]}
     for c, w in enumerate(matrices):
         for a, z in ((0, 16), (16, 24)):
             cluster, flow = dense_markov(w[a:z, a:z])
