@@ -1,11 +1,11 @@
 """The k most similar vectors of every vector: a neighbour graph by NN-descent.
 
 Every node has a list of its most similar nodes so far. Lists begin with what
-the node meets in its hash cells. In a round every node shows itself to a few
-of its neighbours (and stays with itself): all that meet at a common neighbour
+the node meets in its hash cells. In a round a node receives a few of its
+neighbours and of the nodes that have it for a neighbour: all that meet there
 are compared, and what is better than the end of a list enters it, until
-hardly any place changes. Which neighbours a node goes to is drawn by a hash
-of the neighbour, so nodes with common neighbours mostly meet. At last the
+hardly any place changes. Which neighbours these are is drawn by a hash of the
+neighbour, so nodes with common neighbours mostly meet. At last the
 lists are scored with the stored vectors. Queries walk the graph greedily.
 """
 
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenscan.llm.graph import by_width, cell_blocks, group_counts, pair_cosines, runs, sketch, spread_cells, to_nodes
-from lumenscan.runtime import discard, materialise, materialise_bucketed
+from lumenscan.runtime import discard, materialise, materialise_bucketed, release
 
 #: Length of a node's list while descending is at least this, and three times k.
 LIST = 16
-#: Neighbours that a node is compared at in a round, besides itself.
-MEETINGS = 3
+#: Neighbours that a node is sent to in a round, and that are sent to it.
+MEETINGS = 2
 #: Share of pairs at the floor that may share no hash cell: the rounds find them.
 MISS = 0.1
 #: Rounds end when no more than this share of the lists' places changed; they are never cut short.
@@ -37,9 +37,15 @@ BEAM = 24
 
 _FOUND = "nid long, near array<long>, s array<float>"
 _LISTS = _FOUND + ", meet array<long>, known binary, least float, fresh int"
+_DRAW = np.uint64(0x2545F4914F6CDD1D)
 _NOTHING = -2.0
 
 
+def _drawn(nids: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of each node, another one every turn."""
+    return (nids.astype(np.uint64) ^ np.uint64((turn + 1) * 0x5851F42D4C957F2D & (1 << 64) - 1)) * _DRAW
+
+
 def _packed(owner: np.ndarray, near: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     """Entries in order of their owner as a row for each owner."""
     start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
@@ -88,9 +94,9 @@ def cell_lists(sketches: DataFrame, floor: float, k: int) -> DataFrame:
 def merged(found: DataFrame, lists: DataFrame | None, k: int, turn: int) -> DataFrame:
     """The lists with what was found, written out in buckets of nid.
 
-    meet: where the node is compared next; known: the low halves of its
-    neighbours' numbers; least: what a newcomer must exceed; fresh: places
-    taken by newcomers.
+    meet: the neighbours it meets next; known: 16 bits of a hash of each of its
+    neighbours; least: what a newcomer must exceed; fresh: places taken by
+    newcomers.
     """
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = found.select("nid", "near", "s", F.lit(False).alias("old"))
@@ -117,22 +123,17 @@ def merged(found: DataFrame, lists: DataFrame | None, k: int, turn: int) -> Data
             ends = base.column(1).offsets.to_numpy()
             size = np.diff(ends)
             row = np.repeat(np.arange(len(size)), size)
-            draw = (v.astype(np.uint64) ^ np.uint64((turn + 1) * 0x5851F42D4C957F2D & (1 << 64) - 1)) * np.uint64(0x2545F4914F6CDD1D)
+            draw = _drawn(v, turn)
             by_draw = np.lexsort((draw, row))
             met = by_draw[np.arange(len(v)) - ends[row] < MEETINGS]
-            meet_ends = np.concatenate([[0], np.cumsum(np.minimum(size, MEETINGS) + 1)])
-            meet = np.empty(meet_ends[-1], np.int64)
-            meet[meet_ends[:-1]] = base.column(0).to_numpy()
-            rest = np.ones(len(meet), bool)
-            rest[meet_ends[:-1]] = False
-            meet[rest] = v[met]
-            low = v.astype(np.uint32)
+            meet_ends = np.concatenate([[0], np.cumsum(np.minimum(size, MEETINGS))])
+            short = (draw >> np.uint64(48)).astype(np.uint16)
             least = np.where(size == k, x[ends[1:] - 1], _NOTHING).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *base.columns,
-                    pa.ListArray.from_arrays(pa.array(meet_ends.astype(np.int32)), pa.array(meet)),
-                    pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(low))]),
+                    pa.ListArray.from_arrays(pa.array(meet_ends.astype(np.int32)), pa.array(v[met])),
+                    pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(short))]),
                     pa.array(least),
                     pa.array(np.add.reduceat(~old, ends[:-1]).astype(np.int32) if len(size) else np.empty(0, np.int32)),
                 ],
@@ -143,18 +144,24 @@ def merged(found: DataFrame, lists: DataFrame | None, k: int, turn: int) -> Data
     return materialise_bucketed(placed.mapInArrow(run, _LISTS), "nid", "lists", placed=True)
 
 
-def meetings(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> DataFrame:
-    """(nid, near, s): better neighbours of the nodes that meet at a common one."""
+def meetings(lists: DataFrame, sketches: DataFrame, floor: float, k: int, turn: int) -> DataFrame:
+    """(nid, near, s): better neighbours of the nodes that meet at a common one; turn is that of the lists.
+
+    A node is at home, where it meets the drawn of its list, and goes to each
+    of these, so that neighbours of neighbours are compared either way.
+    """
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shown = lists.select("nid", "meet", "known", "least").join(sketches.select("nid", "slack", "sketch"), "nid")
-    shown = shown.select(F.explode("meet").alias("mid"), "nid", "known", "least", "slack", "sketch")
+    links = lists.select("nid", F.explode("meet").alias("v"))
+    places = links.select(F.col("nid").alias("mid"), F.col("v").alias("nid")).union(links.select(F.col("v").alias("mid"), "nid")).union(lists.select(F.col("nid").alias("mid"), "nid"))
+    shown = places.repartition(n, "nid").distinct().join(lists.select("nid", "known", "least"), "nid").join(sketches.select("nid", "slack", "sketch"), "nid")
+    shown = shown.select("mid", "nid", "known", "least", "slack", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
             mid, nid, least, slack = (t.column(c).to_numpy() for c in ("mid", "nid", "least", "slack"))
             sketches, known = t.column("sketch").combine_chunks(), t.column("known").combine_chunks()
-            ends = np.frombuffer(known.buffers()[1], np.int32)[known.offset : known.offset + len(known) + 1] // 4
-            low = np.frombuffer(known.buffers()[2], np.uint32)
+            ends = np.frombuffer(known.buffers()[1], np.int32)[known.offset : known.offset + len(known) + 1] // 2
+            hashes = np.frombuffer(known.buffers()[2], np.uint16)
             mine, theirs, scores = [], [], []
             for a, z in cell_blocks(mid):
                 if z - a < 2:
@@ -168,12 +175,13 @@ def meetings(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> Dat
                     if m[0] != m[-1]:
                         ok &= m[:, None] == m[None, :]
                     np.fill_diagonal(ok, False)
-                    # What is known already: in the list, by the low half of its number.
+                    # What is known already, by its hash; of 4,000 newcomers one may be taken for known this turn.
                     size = np.diff(ends)[at]
                     row = np.repeat(np.arange(len(at)), size)
-                    entry = low[np.repeat(ends[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-                    order = np.argsort(own.astype(np.uint32), kind="stable")
-                    short = own.astype(np.uint32)[order]
+                    entry = hashes[np.repeat(ends[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+                    drawn = (_drawn(own, turn) >> np.uint64(48)).astype(np.uint16)
+                    order = np.argsort(drawn, kind="stable")
+                    short = drawn[order]
                     left, right = np.searchsorted(short, entry), np.searchsorted(short, entry, "right")
                     while (hit := left < right).any():
                         ok[row[hit], order[left[hit]]] = False
@@ -195,7 +203,7 @@ def meetings(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> Dat
 
 
 def descend(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> DataFrame:
-    """Rounds of NN-descent over lists from `merged`, until hardly any place changes.
+    """Rounds of NN-descent over lists from `merged` at turn 0, until hardly any place changes.
 
     Ends of lists only rise, so the rounds come to an end by themselves.
     """
@@ -203,8 +211,9 @@ def descend(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> Data
     turn = 0
     while True:
         turn += 1
-        step = merged(meetings(lists, sketches, floor, k), lists, k, turn)
+        step = merged(meetings(lists, sketches, floor, k, turn - 1), lists, k, turn)
         discard(lists)
+        release(lists.sparkSession)
         lists = step
         fresh = lists.agg(F.sum("fresh")).first()[0] or 0
         if fresh <= DELTA * places:
@@ -224,6 +233,7 @@ def neighbour_graph(vectors: DataFrame, k: int, floor: float | None) -> tuple[Da
     else:
         flat = sketch(nodes, counts, floor, MISS)
     sketches = materialise_bucketed(flat, "nid", "sketches")
+    release(sketches.sparkSession)
     low = _NOTHING / 2 - 1 if floor is None else floor
     lists = descend(merged(cell_lists(sketches, low, k), None, k, 0), sketches, low, k)
     return nodes, members, sketches, lists
