@@ -31,6 +31,8 @@ MOST_CYCLES = 50
 PACK_ROWS = 50_000
 #: Ranks of a block of a large list, and results of small queries that are solved side by side.
 BLOCK_ROWS = 20_000
+#: Results of large queries that a partition holds at least.
+PART_ROWS = 50_000
 
 _OUT = "query_id string, ap_id long, stationarity double, scans int, listed int, worst_rank int"
 
@@ -132,16 +134,17 @@ def _distributed(results: DataFrame, damping: float) -> DataFrame:
     does, so a round shuffles them to their blocks and their flows back.
     """
     spark = results.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = materialise(_ranked(results), "ranked")
+    # As many partitions as the entries need: rounds are many and short.
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), ranked.count() // PART_ROWS))
     items = materialise(ranked.groupBy("query_id", "ap_id").agg(F.count(F.lit(1)).alias("listed"), F.max("rank").alias("worst_rank")).withColumn("item", F.monotonically_increasing_id()), "items")
     sizes = ranked.groupBy("query_id", "ap_source").agg(F.max("size").alias("s")).groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
     sizes = materialise(items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "query_id"), "sizes")
     scan = F.xxhash64("query_id", "ap_source").alias("scan")
     block = F.floor((F.col("rank") - 1) / BLOCK_ROWS).cast("int").alias("block")
     entries = ranked.join(items.select("query_id", "ap_id", "item"), ["query_id", "ap_id"]).select("item", scan, block, "rank", "size")
-    entries = materialise_bucketed(entries, "item", "entries")
-    state = materialise_bucketed(items.join(sizes, "query_id").select("item", "query_id", "n", "k", (1.0 / F.col("n")).alias("p"), F.array().cast("array<double>").alias("path")), "item", "walk")
+    entries = materialise_bucketed(entries, "item", "entries", buckets=n)
+    state = materialise_bucketed(items.join(sizes, "query_id").select("item", "query_id", "n", "k", (1.0 / F.col("n")).alias("p"), F.array().cast("array<double>").alias("path")), "item", "walk", buckets=n)
     inside = W.partitionBy("scan", "block").orderBy(F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
     later = W.partitionBy("scan").orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("scan")
@@ -173,7 +176,7 @@ def _distributed(results: DataFrame, damping: float) -> DataFrame:
 
     for _ in range(MOST_CYCLES):
         for _ in range(CYCLE):
-            step = materialise_bucketed(one_round(state), "item", "walk")
+            step = materialise_bucketed(one_round(state), "item", "walk", buckets=n)
             discard(state)
             state = step
         change = state.groupBy("query_id").agg(F.sum(F.abs(steps[-1])).alias("c")).agg(F.max("c")).first()[0]
@@ -184,7 +187,7 @@ def _distributed(results: DataFrame, damping: float) -> DataFrame:
         ahead = materialise(state.join(w, state["query_id"].eqNullSafe(w["query_id"])).select("item", state["query_id"], "n", "k", ahead.alias("x")), "ahead")
         total = ahead.groupBy("query_id").agg(F.sum("x").alias("t")).withColumnRenamed("query_id", "q")
         scaled = ahead.join(total, F.col("query_id").eqNullSafe(F.col("q"))).select("item", "query_id", "n", "k", (F.col("x") / F.col("t")).alias("p"), F.array().cast("array<double>").alias("path"))
-        step = materialise_bucketed(scaled, "item", "walk")
+        step = materialise_bucketed(scaled, "item", "walk", buckets=n)
         discard(state)
         discard(ahead)
         state = step
