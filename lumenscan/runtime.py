@@ -66,15 +66,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None, dictionary: bool = True) -> DataFrame:
+    """Write df to the shared folder and read it back. dictionary: off for columns of numbers that hardly repeat.
 
     Cuts lineage with a copy that outlives any executor and fixes values such
     as partition numbers, which a recomputation could otherwise change.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("parquet.enable.dictionary", str(dictionary).lower())
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -83,7 +83,7 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: list[str] | N
     return out
 
 
-def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed", placed: bool = False, buckets: int | None = None) -> DataFrame:
+def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed", placed: bool = False, buckets: int | None = None, dictionary: bool = True) -> DataFrame:
     """As materialise, laid out in buckets of `key`: later joins on it need not shuffle this side.
 
     placed: its tasks hold the partitions of repartition(n, key) already, n being buckets or else spark.sql.shuffle.partitions.
@@ -92,7 +92,7 @@ def materialise_bucketed(df: DataFrame, key: str, label: str = "bucketed", place
     path, name = scratch_path(spark, label), f"{label}_{uuid.uuid4().hex}"
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df if placed else df.repartition(n, key)
-    rows.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    rows.write.format("parquet").option("parquet.enable.dictionary", str(dictionary).lower()).bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     _named[path] = name
     out = spark.table(name)
     out._scratch_path = path
