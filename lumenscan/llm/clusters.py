@@ -70,16 +70,18 @@ def markov_sparse(matrix: DataFrame, together: bool = True, inflation: float = I
         for turn in range(MAX_ROUNDS):
             through = m.select("label", F.col("col").alias("mid"), F.col("row").alias("to"), F.col("p").alias("q"))
             flows = m.select("label", F.col("row").alias("mid"), "col", "p").join(through, ["label", "mid"])
-            square = flows.groupBy("label", "col", F.col("to").alias("row")).agg(F.sum(F.col("p") * F.col("q")).alias("x"))
-            square = square.join(m.withColumnRenamed("p", "old"), ["label", "col", "row"], "left")
-            change, peak = F.max(F.abs(F.col("x") - F.coalesce("old", F.lit(0.0)))), F.max("x")
+            # The term of a flow through its own end holds the entry as it was (0 where the end attracts nothing, so its entry must go).
+            old = F.max(F.when(F.col("mid") == F.col("to"), F.col("p")))
+            square = flows.groupBy("label", "col", F.col("to").alias("row")).agg(F.sum(F.col("p") * F.col("q")).alias("x"), F.coalesce(old, F.lit(0.0)).alias("old"))
+            change, peak = F.max(F.abs(F.col("x") - F.col("old"))), F.max("x")
             if together:
-                square = square.withColumn("change", change.over(part)).withColumn("peak", peak.over(part))
+                inflated = square.withColumn("p", F.pow("x", inflation)).withColumn("top", F.max("p").over(column))
+                inflated = inflated.withColumn("change", change.over(part)).withColumn("peak", peak.over(part))
             else:  # a component may be of any size
                 square = materialise(square, "square")
                 square = square.join(square.groupBy("label").agg(change.alias("change"), peak.alias("peak")), "label")
-            inflated = square.withColumn("p", F.pow("x", inflation)).withColumn("top", F.max("p").over(column)).filter(F.col("p") >= PRUNE * F.col("top"))
-            normal = inflated.withColumn("p", F.col("p") / F.sum("p").over(column))
+                inflated = square.withColumn("p", F.pow("x", inflation)).withColumn("top", F.max("p").over(column))
+            normal = inflated.filter(F.col("p") >= PRUNE * F.col("top")).withColumn("p", F.col("p") / F.sum("p").over(column))
             step = normal.select("label", "col", "row", "p", (F.col("change") <= SETTLED * F.col("peak")).alias("settled"))
             step = materialise_bucketed(step, key, "mcl", placed=together)
             done.append(step.filter("settled").select("label", "col", "row", "p"))
@@ -155,6 +157,7 @@ def markov_clusters(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFra
     discard(forest)
     release(nodes.sparkSession)
     small = materialise_bucketed(block_entries(blocks(labels, nodes), threshold), "label", "entries")
+    release(nodes.sparkSession)
     links = small.filter("col < row").select("label", F.col("col").alias("u"), F.col("row").alias("v"), "s")
     found = materialise(settled_clusters(markov_sparse(small), links), "clusters")
     large = materialise(large_components(labels), "large")
