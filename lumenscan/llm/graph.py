@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.runtime import discard, materialise, materialise_bucketed
+from lumenscan.runtime import discard, materialise, materialise_bucketed, release
 
 #: Width of the projection of sparse vectors, and of every sketch at most.
 SPARSE_WIDTH = 128
@@ -72,17 +72,17 @@ def _rotation(width: int, table: int, digit: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def _projection(block: int) -> np.ndarray:
+def _projection(block: int, width: int) -> np.ndarray:
     """Rows block*1024 .. of the projection of sparse positions."""
     rng = np.random.default_rng([block, 78])
-    return rng.standard_normal((1024, SPARSE_WIDTH)).astype(np.float32)
+    return rng.standard_normal((1024, width)).astype(np.float32)
 
 
-def _project(pos: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    rows = np.empty((len(pos), SPARSE_WIDTH), np.float32)
+def _project(pos: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    rows = np.empty((len(pos), width), np.float32)
     for b in np.unique(pos >> 10):
         at = (pos >> 10) == b
-        rows[at] = _projection(int(b))[pos[at] & 1023]
+        rows[at] = _projection(int(b), width)[pos[at] & 1023]
     return np.add.reduceat(rows * data[:, None].astype(np.float32), offsets[:-1], axis=0)
 
 
@@ -109,28 +109,29 @@ def to_nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     for seed in range(4):
         nid, check = F.xxhash64(F.lit(seed), "grp", "vec", "pos"), F.hash(F.lit(seed), "grp", "vec", "pos")
-        keyed = materialise(vectors.select(nid.alias("nid"), check.alias("check"), "id", "grp", "vec", "pos"), "keyed")
+        keyed = materialise(vectors.select(nid.alias("nid"), check.alias("check"), "id", "grp", "vec", "pos"), "keyed", dictionary=False)
         first = [F.first(c).alias(c) for c in ("grp", "vec", "pos")]
-        nodes = materialise_bucketed(keyed.groupBy("nid").agg(*first, F.min("check").alias("low"), F.max("check").alias("high")), "nid", "nodes")
+        nodes = materialise_bucketed(keyed.groupBy("nid").agg(*first, F.min("check").alias("low"), F.max("check").alias("high")), "nid", "nodes", dictionary=False)
         if nodes.filter("low <> high").isEmpty():
             members = materialise(keyed.select("nid", "id", "grp").distinct(), "members")
             discard(keyed)
+            release(nodes.sparkSession)
             return nodes, members
         discard(nodes)
         discard(keyed)
     raise RuntimeError("different vectors kept sharing a hash")
 
 
-def sketch(nodes: DataFrame, counts: dict[str, int], threshold: float, miss: float = 0.001, company: int = 0) -> DataFrame:
+def sketch(nodes: DataFrame, counts: dict[str, int], threshold: float, miss: float = 0.001, company: int = 0, width: int = SPARSE_WIDTH) -> DataFrame:
     """(nid, slack, sketch, cells): slack is what the sketch's cosine may fall short by.
 
     Pairs at `threshold` or above are to share a cell, but for a share of about
     `miss`. Cells of sparse vectors are planned for two deviations of the
     projection less. With `company`, every node is in a random cell of about
-    so many besides.
+    so many besides. width: that of a sparse vector's projection.
     """
     cell_rows = CELL_ROWS
-    cosine = {True: threshold, False: threshold - 2 * (1 - threshold**2) / math.sqrt(SPARSE_WIDTH)}
+    cosine = {True: threshold, False: threshold - 2 * (1 - threshold**2) / math.sqrt(width)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +152,7 @@ def sketch(nodes: DataFrame, counts: dict[str, int], threshold: float, miss: flo
                     p = pos.values.to_numpy(zero_copy_only=False)[np.repeat(pos.offsets.to_numpy()[at] - ends[:-1], size[at]) + np.arange(ends[-1])].astype(np.int64)
                     own = values[step]
                     own = own / np.repeat(np.maximum.reduceat(np.abs(own), ends[:-1]), size[at])
-                    unit = unit_rows(_project(p, own, ends).astype(np.float64)).astype(np.float32)
+                    unit = unit_rows(_project(p, own, ends, width).astype(np.float64)).astype(np.float32)
                 plan = plan_hashes(counts[names[g]], unit.shape[1], cosine[n >= 0], miss, cell_rows)
                 cells = _cells(unit, plan, _seed(names[g]))
                 if company and plan.digits:
