@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +44,17 @@ def _load(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens): sizes of whole texts in tokens of a public tokenizer.
+    """(doc_id, source, tokens): sizes of whole texts in tokens of a public tokenizer, whose file is sent to the workers.
 
     source is compared trimmed, in lower case, '-' equal to '_'; a null source
     stays null. Null and empty texts have no tokens.
     """
 
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rsplit("/", 1)[-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _load(tokenizer)
+        encoder = _load(SparkFiles.get(name))
         for b in batches:
             n = [len(encoder.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])

@@ -30,8 +30,10 @@ MEETINGS = 2
 MISS = 0.1
 #: Rounds end when no more than this share of the lists' places changed; they are never cut short.
 DELTA = 0.0001
-#: Cosine for which cells are planned where lists have no floor, and nodes of a random cell that everyone is also in.
-OPEN_COSINE, COMPANY = 0.7, 64
+#: Where lists have no floor: cosine for which cells are planned, nodes of a random cell that everyone is also in, and
+#: neighbours sent, share of places and width of a sparse vector's sketch in place of those above (most are not near each other,
+#: so there is more to find and less to tell it by).
+OPEN_COSINE, COMPANY, OPEN_MEETINGS, OPEN_DELTA, OPEN_WIDTH = 0.7, 64, 5, 0.002, 256
 #: Nodes that a query keeps while it walks.
 BEAM = 24
 
@@ -91,7 +93,7 @@ def cell_lists(sketches: DataFrame, floor: float, k: int) -> DataFrame:
     return spread_cells(sketches).mapInArrow(run, _FOUND)
 
 
-def merged(found: DataFrame, lists: DataFrame | None, k: int, turn: int) -> DataFrame:
+def merged(found: DataFrame, lists: DataFrame | None, k: int, turn: int, sent: int = MEETINGS) -> DataFrame:
     """The lists with what was found, written out in buckets of nid.
 
     meet: the neighbours it meets next; known: 16 bits of a hash of each of its
@@ -125,8 +127,8 @@ def merged(found: DataFrame, lists: DataFrame | None, k: int, turn: int) -> Data
             row = np.repeat(np.arange(len(size)), size)
             draw = _drawn(v, turn)
             by_draw = np.lexsort((draw, row))
-            met = by_draw[np.arange(len(v)) - ends[row] < MEETINGS]
-            meet_ends = np.concatenate([[0], np.cumsum(np.minimum(size, MEETINGS))])
+            met = by_draw[np.arange(len(v)) - ends[row] < sent]
+            meet_ends = np.concatenate([[0], np.cumsum(np.minimum(size, sent))])
             short = (draw >> np.uint64(48)).astype(np.uint16)
             least = np.where(size == k, x[ends[1:] - 1], _NOTHING).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +204,7 @@ def meetings(lists: DataFrame, sketches: DataFrame, floor: float, k: int, turn:
     return shown.repartitionByRange(n, "mid", "nid").sortWithinPartitions("mid", "nid").mapInArrow(run, _FOUND)
 
 
-def descend(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> DataFrame:
+def descend(lists: DataFrame, sketches: DataFrame, floor: float, k: int, sent: int = MEETINGS, delta: float = DELTA) -> DataFrame:
     """Rounds of NN-descent over lists from `merged` at turn 0, until hardly any place changes.
 
     Ends of lists only rise, so the rounds come to an end by themselves.
@@ -211,12 +213,12 @@ def descend(lists: DataFrame, sketches: DataFrame, floor: float, k: int) -> Data
     turn = 0
     while True:
         turn += 1
-        step = merged(meetings(lists, sketches, floor, k, turn - 1), lists, k, turn)
+        step = merged(meetings(lists, sketches, floor, k, turn - 1), lists, k, turn, sent)
         discard(lists)
         release(lists.sparkSession)
         lists = step
         fresh = lists.agg(F.sum("fresh")).first()[0] or 0
-        if fresh <= DELTA * places:
+        if fresh <= delta * places:
             return lists
 
 
@@ -229,13 +231,14 @@ def neighbour_graph(vectors: DataFrame, k: int, floor: float | None) -> tuple[Da
     nodes, members = to_nodes(vectors)
     counts = group_counts(nodes)
     if floor is None:
-        flat = sketch(nodes, counts, OPEN_COSINE, 0.5, COMPANY)
+        flat = sketch(nodes, counts, OPEN_COSINE, 0.5, COMPANY, OPEN_WIDTH)
     else:
         flat = sketch(nodes, counts, floor, MISS)
     sketches = materialise_bucketed(flat, "nid", "sketches")
     release(sketches.sparkSession)
     low = _NOTHING / 2 - 1 if floor is None else floor
-    lists = descend(merged(cell_lists(sketches, low, k), None, k, 0), sketches, low, k)
+    sent, delta = (OPEN_MEETINGS, OPEN_DELTA) if floor is None else (MEETINGS, DELTA)
+    lists = descend(merged(cell_lists(sketches, low, k), None, k, 0, sent), sketches, low, k, sent, delta)
     return nodes, members, sketches, lists
 
 
@@ -261,6 +264,7 @@ def exact_lists(lists: DataFrame, nodes: DataFrame, k: int, slack: float) -> Dat
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(size)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(nid), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[keep]))], ["place", "nid", "near"])
 
+    release(lists.sparkSession)
     asked = materialise(lists.filter(F.size("near") > 0).select("nid", "near", "s").mapInArrow(cut, "place long, nid long, near array<long>"), "asked")
     need = asked.select("place", F.explode(F.array_append("near", F.col("nid"))).alias("nid")).repartition(n, "nid").distinct()
     held = need.join(nodes.select("nid", "vec", "pos"), "nid").select("place", "nid", "vec", "pos", F.lit(None).cast("array<long>").alias("near"))
@@ -402,7 +406,7 @@ def search(vectors: DataFrame, wanted: DataFrame, k: int, floor: float | None =
     nodes, members, sketches, lists = neighbour_graph(vectors, max(LIST, 3 * k), floor)
     homes, asked = to_nodes(wanted)
     counts = group_counts(nodes)
-    shape = (OPEN_COSINE, 0.5, COMPANY) if floor is None else (floor, MISS, 0)
+    shape = (OPEN_COSINE, 0.5, COMPANY, OPEN_WIDTH) if floor is None else (floor, MISS, 0)
     counts = {**{r["grp"]: 0 for r in asked.select("grp").distinct().collect()}, **counts}
     queries = materialise(sketch(homes, counts, *shape).withColumnRenamed("nid", "q"), "queries")
     low = _NOTHING / 2 - 1 if floor is None else floor

@@ -18,6 +18,9 @@ def top_n(df: DataFrame, group: list[str], score: Column, tie: str, n: int, desc
     Ties go to the smaller `tie`. Null group values form a group. Repeated rows
     are the caller's to drop. An empty table gives an empty result.
     """
+    conf, limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if n > int(conf.get(limit)):  # beyond it Spark would not prune, and a large group would go whole to one task
+        conf.set(limit, str(n))
     rank = next(c for c in ("rank", "rank_", "rank__") if c not in df.columns)
     scored = df.filter(score.isNotNull() & ~F.isnan(score.cast("double")))
     order = score.desc() if descending else score.asc()

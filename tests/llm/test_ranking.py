@@ -135,3 +135,12 @@ def test_group_limit_prunes_before_the_shuffle(spark):
     plan = top_n(df, ["g"], F.col("score"), "id", 3)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
     assert top_n(df, ["g"], F.col("score"), "id", 3).count() == 3
+
+
+def test_group_limits_hold_for_any_n(spark):
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([("a", float(i), i) for i in range(50)], "g string, s double, i long")
+    out = top_n(df, ["g"], F.col("s"), "i", 5000)
+    assert out.count() == 50 and "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
