@@ -313,15 +313,16 @@ def _ranked(lists: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> D
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("grp", "id", "other", "s", "rank")
 
 
-def nearest(vectors: DataFrame, k: int, floor: float | None = 0.9) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, floor: float | None = 0.9, graph: tuple | None = None) -> DataFrame:
     """(grp, id, other, s, rank): up to k most similar others of every id, at `floor` or above if there is one.
 
     s is the cosine of the stored vectors rounded to six decimals; ties go to
     the smaller id. Repeated rows count once, equal vectors are neighbours of
     each other, an id is never its own. With a floor a vector without such
-    others has no row. An empty collection gives none.
+    others has no row. An empty collection gives none. graph: from
+    neighbour_graph with the same k and floor, if it is there already.
     """
-    nodes, members, sketches, lists = neighbour_graph(vectors, max(LIST, 3 * k), floor)
+    nodes, members, sketches, lists = graph or neighbour_graph(vectors, max(LIST, 3 * k), floor)
     exact = exact_lists(lists, nodes, k, _slack(sketches))
     if floor is not None:
         exact = exact.filter(F.col("s") >= floor)
@@ -395,15 +396,16 @@ def enter(sketches: DataFrame, queries: DataFrame, floor: float, beam: int) -> D
     return rows.mapInArrow(run, "q long, node long, s float").groupBy("q", "node").agg(F.max("s").alias("s"))
 
 
-def search(vectors: DataFrame, wanted: DataFrame, k: int, floor: float | None = 0.9) -> DataFrame:
+def search(vectors: DataFrame, wanted: DataFrame, k: int, floor: float | None = 0.9, graph: tuple | None = None) -> DataFrame:
     """(grp, id, other, s, rank) of the vectors `wanted` (grp, id, vec, pos) against all of `vectors`.
 
     Wanted vectors need not be stored. A query enters the graph in its hash
     cells, never at its own node, and walks it greedily; what it found is
     scored with the stored vectors. Stored equals of a query are neighbours
-    too, except its own id. Others below `floor` are not reported.
+    too, except its own id. Others below `floor` are not reported. graph: as
+    for nearest.
     """
-    nodes, members, sketches, lists = neighbour_graph(vectors, max(LIST, 3 * k), floor)
+    nodes, members, sketches, lists = graph or neighbour_graph(vectors, max(LIST, 3 * k), floor)
     homes, asked = to_nodes(wanted)
     counts = group_counts(nodes)
     shape = (OPEN_COSINE, 0.5, COMPANY, OPEN_WIDTH) if floor is None else (floor, MISS, 0)

@@ -11,7 +11,7 @@ from lumenscan.llm.clusters import all_clusters, similar_pairs
 from lumenscan.llm.leaks import find_leaks
 from lumenscan.llm.lists import nearest_lists
 from lumenscan.llm.mixture import mix
-from lumenscan.llm.neighbours import nearest, search
+from lumenscan.llm.neighbours import LIST, nearest, neighbour_graph, search
 from lumenscan.llm.rankwalk import answered_results, rank_items
 from lumenscan.llm.subjects import corpus_by_subject, subject_areas
 from lumenscan.llm.topn import oriented_results, top_n
@@ -103,9 +103,10 @@ def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _p4_wanted(vectors)
     key = ["collection", "part", "id", "other"]
     truth = materialise(_p4_rows(nearest_lists(vectors, 5, wanted)), "truth")
-    graph = _p4_rows(nearest(vectors, 5, None)).select(*key, F.lit(1).alias("in_lists"))
-    walked = _p4_rows(search(vectors, wanted, 5, None)).select(*key, F.lit(1).alias("in_search"))
-    held = truth.join(graph, key, "left").join(walked, key, "left").groupBy("collection", "part")
+    graph = neighbour_graph(vectors, LIST, None)
+    listed = _p4_rows(nearest(vectors, 5, None, graph)).select(*key, F.lit(1).alias("in_lists"))
+    walked = _p4_rows(search(vectors, wanted, 5, None, graph)).select(*key, F.lit(1).alias("in_search"))
+    held = truth.join(listed, key, "left").join(walked, key, "left").groupBy("collection", "part")
     return held.agg(F.count(F.lit(1)).alias("places"), F.count("in_lists").alias("in_lists"), F.count("in_search").alias("in_search"))
 
 
